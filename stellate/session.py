@@ -34,3 +34,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions that keep all cores busy without making a task too small."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for work that costs far more than reading: in as many parts as there are cores, if the files give fewer."""
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
