@@ -25,7 +25,7 @@ from .spaces import Params
 #: The probability that a stop leaves out no better neighbour, of the choice of cells and within a cell.
 CONFIDENCE = 0.999
 #: Rows sampled of each space to fit its upper tree, at most about so many; rows of a cell that the tree aims at; queries of a task.
-SAMPLE, CELL, BLOCK = 16384, 32768, 32768
+SAMPLE, CELL, BLOCK = 16384, 65536, 65536
 _LEAF, _BATCH = 256, 256
 
 
@@ -139,78 +139,75 @@ def by_collection(batch: pa.RecordBatch, params: dict[str, Params]):
             yield name, rows, vectors_of(batch.column("vector").take(pa.array(rows)))
 
 
-def _fit(groups: DataFrame, params: dict[str, Params], sample: int, cell: int, block: int, seed: int) -> list[Space]:
-    """The spaces, from the count and greatest length of each band and a sample of about so many rows of it."""
+def fit(rows: DataFrame, params: dict[str, Params], sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, seed: int = 7) -> list[Space]:
+    """The spaces of rows (coll, id, vector), from the count and greatest length of each band and a sample of it.
+
+    Rows may be more than those searched later. Of each collection about so many rows are sampled, by a hash of the id.
+    """
+    counts = {r[0]: r[1] for r in rows.select("coll").groupBy("coll").count().collect() if r[0] in params}
+    share = {name: min(1.0, sample / n) if n > cell else 0.0 for name, n in counts.items()}
+    schema = pa.schema([("coll", pa.string()), ("band", pa.int32()), ("n", pa.int64()), ("most", pa.float64()), ("data", pa.binary())])
 
     def measure(batches):
         for batch in batches:
-            for name, _, v in by_collection(batch, params):
+            for name, at, v in by_collection(batch, params):
                 band, length = spaces.bands(v, params[name]), np.linalg.norm(v.astype(np.float64), axis=1)
-                kinds, at = np.unique(band, return_inverse=True)
-                most = np.zeros(len(kinds))
-                np.maximum.at(most, at, length)
-                yield pa.RecordBatch.from_pydict({"coll": [name] * len(kinds), "band": pa.array(kinds, pa.int32()), "n": pa.array(np.bincount(at), pa.int64()), "most": most})
-
-    found = groups.select("coll", "vector").mapInArrow(measure, "coll string, band int, n long, most double").groupBy("coll", "band").agg(F.sum("n"), F.max("most")).orderBy("coll", "band").collect()
-    share = {(c, b): min(1.0, sample / n) for c, b, n, _ in found}
-
-    def draw(batches):
-        for batch in batches:
-            for name, rows, v in by_collection(batch, params):
-                band = spaces.bands(v, params[name])
-                u = batch.column("u").to_numpy(zero_copy_only=False)[rows]
-                keep = u < np.array([share[name, int(b)] for b in band])
-                for b in np.unique(band[keep]):
-                    part = v[keep & (band == b)]
-                    yield pa.RecordBatch.from_pydict({"coll": [name], "band": pa.array([b], pa.int32()), "data": [part.tobytes()]}, schema=pa.schema([("coll", pa.string()), ("band", pa.int32()), ("data", pa.binary())]))
-
-    u = (F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
-    many = any(n > cell for _, _, n, _ in found)
-    drawn: dict[tuple[str, int], list[np.ndarray]] = {}
-    if many:  # else no space needs more than one cell
-        for name, band, data in groups.select("coll", "vector", u).mapInArrow(draw, "coll string, band int, data binary").collect():
-            drawn.setdefault((name, band), []).append(np.frombuffer(data, np.float32).reshape(-1, params[name].size))
+                drawn = batch.column("u").to_numpy(zero_copy_only=False)[at] < share.get(name, 0.0)
+                for b in np.unique(band):
+                    here = band == b
+                    yield pa.RecordBatch.from_pylist([{"coll": name, "band": int(b), "n": int(here.sum()), "most": float(length[here].max()), "data": v[here & drawn].tobytes()}], schema=schema)
+
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
+    measured = rows.select("coll", "vector", u).mapInArrow(measure, "coll string, band int, n long, most double, data binary")
+    parts = F.filter(F.collect_list("data"), lambda x: F.length(x) > 0)
+    found = measured.groupBy("coll", "band").agg(F.sum("n"), F.max("most"), parts).orderBy("coll", "band").collect()
     result, cells = [], 0
-    for place, (name, band, n, most) in enumerate(found):
+    for place, (name, band, n, most, data) in enumerate(found):
         p = params[name]
         matrix = projection(p.size + (p.distance == "Dot"), seed + place)
-        rows = np.concatenate(drawn[name, band]) if (name, band) in drawn else np.zeros((0, p.size), np.float32)
-        projected = spaces.stored(rows, p, most) @ matrix if len(rows) else np.zeros((0, matrix.shape[1]), np.float32)
+        drawn = np.frombuffer(b"".join(data), np.float32).reshape(-1, p.size)
+        projected = spaces.stored(drawn, p, most) @ matrix
         tree = Cells.fit(projected, -(-n // cell))
-        total = sum(x[2] for x in found if x[0] == name)
-        result.append(Space(name, band, p, most, matrix, tree, max(1, -(-total // block)), cells))
+        result.append(Space(name, band, p, most, matrix, tree, max(1, -(-counts[name] // block)), cells))
         cells += len(tree.low)
     return result
 
 
+_ROUTED = "space int, cell int, salt int, role tinyint, ids array<long>, vector binary"
+_DATA, _QUERY = 1, 2
+
+
 def _route(fitted: list[Space], confidence: float):
-    """Rows to the cells where they are searched and from which they ask; to each salt of a cell, its rows and a part of the queries."""
-    schema = pa.schema([("space", pa.int32()), ("cell", pa.int32()), ("salt", pa.int32()), ("query", pa.bool_()), ("multi", pa.bool_()), ("id", pa.int64()), ("vector", pa.binary())])
+    """Rows to the cells where they are found (in each salt) and to those where they ask (in one); role tells which, or both."""
     params = {s.coll: s.params for s in fitted}
 
     def route(batches):
         for batch in batches:
-            ids, multi = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("multi").to_numpy(zero_copy_only=False)
+            ids = batch.column("ids")
+            first = ids.flatten().to_numpy(zero_copy_only=False)[np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))[:-1]].astype(np.int64)] if len(ids) else None
             for name, rows, v in by_collection(batch, params):
                 data = np.ascontiguousarray(v).view(f"V{4 * v.shape[1]}").ravel()
                 band = spaces.bands(v, params[name])
+                mixed = (first[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
                 for n, s in enumerate(fitted):
                     if s.coll != name:
                         continue
                     own = np.flatnonzero(band == s.band)
-                    parts = []
+                    home = np.full(len(v), -1)
                     if len(own):
-                        cell = s.cells.place(s.stored(v[own]))
-                        parts += [(own, cell, np.full(len(own), salt), False) for salt in range(s.salts)]
-                    reach = s.squared(s.params.limit, v)
-                    row, cell = s.cells.reached(s.asked(v), reach, confidence)
-                    parts.append((row, cell, (ids[rows[row]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % s.salts, True))
-                    for row, cell, salt, query in parts:
-                        if len(row):
-                            at = rows[row]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), n, np.int32)), pa.array((cell + s.first_cell).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.full(len(row), query)), pa.array(multi[at]), pa.array(ids[at]), _binary(data[row])], schema=schema)
+                        home[own] = s.cells.place(s.stored(v[own]))
+                    row, cell = s.cells.reached(s.asked(v), s.squared(s.params.limit, v), confidence)
+                    both = np.zeros(len(v), bool)
+                    both[row[home[row] == cell]] = True
+                    apart = home[row] != cell
+                    parts = [(own, home[own], np.full(len(own), salt), np.where(both[own] & (mixed[own] % s.salts == salt), _DATA | _QUERY, _DATA)) for salt in range(s.salts)]
+                    parts.append((row[apart], cell[apart], mixed[row[apart]] % s.salts, np.full(apart.sum(), _QUERY)))
+                    for at, cell, salt, role in parts:
+                        if len(at):
+                            columns = [pa.array(np.full(len(at), n, np.int32)), pa.array((cell + s.first_cell).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(role.astype(np.int8)), ids.take(pa.array(rows[at])), _binary(data[at])]
+                            yield pa.RecordBatch.from_arrays(columns, names=["space", "cell", "salt", "role", "ids", "vector"])
 
-    return route, "space int, cell int, salt int, query boolean, multi boolean, id long, vector binary"
+    return route
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -255,15 +252,17 @@ class Best:
 
     def __init__(self, k: int, larger: bool):
         self.k, self.sign = k, -1.0 if larger else 1.0
-        self.query, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.query, self.id, self.place, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
-    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+    def add(self, query: np.ndarray, ids: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
         query, ids, score = np.concatenate([self.query, query]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
+        place = np.concatenate([self.place, place])
         order = np.lexsort((ids, self.sign * score, query))
         query = query[order]
         start = np.maximum.accumulate(np.where(np.r_[True, query[1:] != query[:-1]], np.arange(len(query)), 0)) if len(query) else query
         keep = np.arange(len(query)) - start < self.k
-        self.query, self.id, self.score = query[keep], ids[order][keep], score[order][keep]
+        kept = order[keep]
+        self.query, self.id, self.place, self.score = query[keep], ids[kept], place[kept], score[kept]
 
     def worst(self, queries: int, otherwise: float) -> np.ndarray:
         """The score that a new one must reach: the k-th best where there are k, else as given."""
@@ -276,12 +275,13 @@ class Best:
 
 
 def search_cell(s: Space, ids: np.ndarray, data: np.ndarray, multi: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, score) of the queries' best in the cell that reach the limit. A group of copies (multi) may be its own neighbour."""
+    """(query, row of data, score), by their places: the queries' best that reach the limit. A group of copies (multi) may be its own neighbour."""
     p, k = s.params, s.params.top_k + 1
     rows, places = s.stored(data), s.asked(queries)
     far = spaces.chi_square_quantile(confidence, rows.shape[1])
     tree = Tree(rows)
-    rows, ids, data, multi = rows[tree.order], ids[tree.order], data[tree.order].astype(np.float64), multi[tree.order]
+    ids, multi = ids[tree.order], multi[tree.order]
+    rows, data = rows[tree.order], data[tree.order].astype(np.float64)
     # A product of these with (-2q, 1, |q|^2 - reach) is the squared distance less what a query reaches.
     wide = np.concatenate([rows, np.einsum("ij,ij->i", rows, rows)[:, None], np.ones((len(rows), 1), np.float32)], axis=1)
     order = Tree(places).order
@@ -301,96 +301,111 @@ def search_cell(s: Space, ids: np.ndarray, data: np.ndarray, multi: np.ndarray,
             at += len(some)
             some = np.sort(some[gaps[some] <= reach.max()])
             column = np.concatenate([np.arange(*tree.bounds[i]) for i in some])
-            ask = np.concatenate([-2 * q, np.ones((len(q), 1), np.float32), (np.einsum("ij,ij->i", q, q) - reach)[:, None].astype(np.float32)], axis=1)
-            over = ask @ wide[column].T
-            slack = 1e-5 * reach[:, None].astype(np.float32) + 1e-6
-            hit = over <= slack
-            counts = hit.sum(axis=1)
-            crowded = np.flatnonzero(counts > 8 * k)
+            allowed = reach * (1 + 1e-5) + 1e-6
+            ask = np.concatenate([-2 * q, np.ones((len(q), 1), np.float32), (np.einsum("ij,ij->i", q, q) - allowed)[:, None].astype(np.float32)], axis=1)
+            over = (ask @ wide[column].T).ravel()
+            hit = np.flatnonzero(over <= 0)
+            who = hit // len(column)
+            crowded = np.flatnonzero(np.bincount(who, minlength=len(q)) > 8 * k)
             if len(crowded):
                 # Incremental: the nearest projections of these queries first; what the test then leaves out needs no look.
-                take = np.argpartition(over[crowded], 4 * k, axis=1)[:, : 4 * k]
+                take = np.argpartition(over.reshape(len(q), -1)[crowded], 4 * k, axis=1)[:, : 4 * k]
                 near = np.repeat(crowded, 4 * k), take.ravel()
-                _verify(best, near, column, ids, data, multi, raw, own, p)
-                hit[near] = False
+                _verify(best, *near, column, ids, data, multi, raw, own, p)
+                over[near[0] * len(column) + near[1]] = np.inf
                 new = np.minimum(reach, far * spaces.squared_reach(best.worst(len(q), p.limit), lengths, p, s.most))
-                hit &= over <= (slack + (new - reach)[:, None].astype(np.float32))
-                reach = new
-            _verify(best, np.nonzero(hit), column, ids, data, multi, raw, own, p)
+                hit = hit[over[hit] <= (new - reach)[who]]
+                who = hit // len(column)
+            _verify(best, who, hit % len(column), column, ids, data, multi, raw, own, p)
             reach = np.minimum(reach, far * spaces.squared_reach(best.worst(len(q), p.limit), lengths, p, s.most))
-        out.append((own[best.query], best.id, best.score))
-    return tuple(np.concatenate([o[n] for o in out]) for n in range(3))  # type: ignore[return-value]
+        out.append((batch[best.query], best.place, best.score))
+    query, place, score = (np.concatenate([o[n] for o in out]) for n in range(3))
+    return query, tree.order[place], score
 
 
-def _verify(best: Best, pairs, column, ids, data, multi, raw, own, p: Params, most: int = 200_000) -> None:
+def _verify(best: Best, query, place, column, ids, data, multi, raw, own, p: Params, most: int = 200_000) -> None:
     """Scores pairs of queries and candidates by their whole vectors."""
-    query, place = pairs[0], column[pairs[1]]
+    place = column[place]
     other = (ids[place] != own[query]) | multi[place]
     query, place = query[other], place[other]
     for a in range(0, len(query), most):
         i, j = query[a : a + most], place[a : a + most]
         score = spaces.scores(raw[i], data[j], p)
         good = spaces.reaches(score, p)
-        best.add(i[good], ids[j[good]], score[good])
+        best.add(i[good], ids[j[good]], j[good], score[good])
+
+
+_FOUND = "coll string, id long, members array<long>, near long, score double"
 
 
 def _search(fitted: list[Space], confidence: float):
-    schema = pa.schema([("coll", pa.string()), ("id", pa.int64()), ("near", pa.int64()), ("score", pa.float64())])
+    names = ["coll", "id", "members", "near", "score"]
+    schema = pa.schema([("coll", pa.string()), ("id", pa.int64()), ("members", pa.list_(pa.int64())), ("near", pa.int64()), ("score", pa.float64())])
 
     def search(table: pa.Table) -> pa.Table:
         s = fitted[table.column("space")[0].as_py()]
-        query, ids = table.column("query").to_numpy(), table.column("id").to_numpy()
-        multi, v = table.column("multi").to_numpy(), unpack(table.column("vector"), s.params.size)
-        if not query.any() or query.all():
+        role, v = table.column("role").to_numpy(), unpack(table.column("vector"), s.params.size)
+        ids = table.column("ids").combine_chunks()
+        length = ids.value_lengths().to_numpy(zero_copy_only=False)
+        flat, start = ids.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(length)[:-1]]
+        first = flat[start]
+        data, ask = np.flatnonzero(role & _DATA), np.flatnonzero(role & _QUERY)
+        if not len(data) or not len(ask):
             return schema.empty_table()
-        a, b, score = search_cell(s, ids[~query], v[~query], multi[~query], ids[query], v[query], confidence)
-        return pa.Table.from_arrays([pa.array([s.coll] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(score)], schema=schema)
+        query, place, score = search_cell(s, first[data], v[data], length[data] > 1, first[ask], v[ask], confidence)
+        query, place = ask[query], data[place]
+        # Groups of copies give their ids; of these, again, the best.
+        times = length[place]
+        near = flat[np.repeat(start[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        query, score = np.repeat(query, times), np.repeat(score, times)
+        best = Best(s.params.top_k + 1, s.params.larger_better)
+        best.add(query, near, near, score)
+        return pa.Table.from_arrays([pa.array([s.coll] * len(best.id), pa.string()), pa.array(first[best.query]), ids.take(pa.array(best.query)), pa.array(best.id), pa.array(best.score)], names=names)
 
-    return search, "coll string, id long, near long, score double"
+    return search
 
 
-def best_groups(groups: DataFrame, params: dict[str, Params], confidence: float = CONFIDENCE, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """(coll, id, near, score): the top_k + 1 best groups of copies of each, by their smallest ids. groups as from spaces.classes."""
-    fitted = _fit(groups, params, sample, cell, block, seed)
+def search_groups(groups: DataFrame, fitted: list[Space], confidence: float = CONFIDENCE) -> DataFrame:
+    """Of groups of copies (coll, ids, vector) the top_k + 1 best ids of each, itself included if it has several: (coll, id, members, near, score)."""
     if not fitted:
-        return groups.sparkSession.createDataFrame([], "coll string, id long, near long, score double")
-    route, routed = _route(fitted, confidence)
-    rows = groups.select("coll", "rep", "vector", (F.size("ids") > 1).alias("multi")).mapInArrow(route, routed)
-    search, found = _search(fitted, confidence)
-    return rows.groupBy("space", "cell", "salt").applyInArrow(search, found)
+        return groups.sparkSession.createDataFrame([], _FOUND)
+    rows = groups.select("coll", "ids", "vector").mapInArrow(_route(fitted, confidence), _ROUTED)
+    found = rows.groupBy("space", "cell", "salt").applyInArrow(_search(fitted, confidence), _FOUND)
+    return _best(found, {s.coll: s.params for s in fitted}, ["coll", "id"], 1)
 
 
-def rank(rows: DataFrame, params: dict[str, Params], near: str, extra: int) -> DataFrame:
-    """The best top_k + extra of each (coll, id); on equal scores the smaller near first."""
+def _best(rows: DataFrame, params: dict[str, Params], key: list[str], extra: int) -> DataFrame:
+    """The best top_k + extra of each key; on equal scores the smaller near first."""
     larger, most = F.lit(False), F.lit(0)
     for name, p in params.items():
         most = F.when(F.col("coll") == name, p.top_k + extra).otherwise(most)
         larger = F.when(F.col("coll") == name, p.larger_better).otherwise(larger)
-    order = Window.partitionBy("coll", "id").orderBy(F.when(larger, -F.col("score")).otherwise(F.col("score")), near)
+    order = Window.partitionBy(*key).orderBy(F.when(larger, -F.col("score")).otherwise(F.col("score")), "near")
     ranked = rows.withColumn("_rank", F.row_number().over(order))
-    # A fixed bound beside that of the collection lets the rank be cut before the shuffle.
+    # A fixed bound beside that of the collection lets ranks be cut before the shuffle.
     return ranked.where(F.col("_rank") <= max([p.top_k for p in params.values()], default=0) + extra).where(F.col("_rank") <= most).drop("_rank")
 
 
-def neighbours(points: DataFrame, params: dict[str, Params], **options) -> DataFrame:
+def neighbours(points: DataFrame, params: dict[str, Params], confidence: float = CONFIDENCE, **options) -> DataFrame:
     """(coll, id, near, score): for each point its top_k best others of the collection, of which those that reach the limit.
 
-    points as from spaces.valid_points. An empty table gives an empty result; so does a collection of one point.
+    points has id, collection_name, vector and version, of which the current rows count. An empty table gives an empty
+    result, as does a collection of one point.
     """
-    points = checkpoint(points)
     most = max([p.top_k for p in params.values()], default=1)
-    groups = checkpoint(spaces.classes(points, most))
-    found = rank(best_groups(groups, params, **options), params, "near", 1)
-    several = checkpoint(groups.where(F.size("ids") > 1).select("coll", "rep", "ids"))
-    copies = found.join(several.withColumnRenamed("rep", "near"), ["coll", "near"], "left")
-    listed = copies.select("coll", "id", F.explode(F.coalesce("ids", F.array("near"))).alias("near"), "score")
-    listed = rank(listed, params, "near", 1)
+    scan = points.select("id", F.col("collection_name").alias("coll"), "vector")
+    fitted = fit(spaces.fitting(scan, params), params, **options)
+    valid = spaces.valid_points(points, params)
+    found = checkpoint(search_groups(spaces.classes(valid, most), fitted, confidence))
     # All members of a group of copies have the group's neighbours, without themselves.
-    small = several.where(F.size("ids") <= most).select("coll", F.col("rep").alias("id"), F.explode("ids").alias("member"))
-    large = spaces.overflow_members(points, most - 1).select("coll", F.col("rep").alias("id"), F.col("id").alias("member"))
-    members = small.unionByName(large)
-    all_ = listed.join(members, ["coll", "id"], "left").select("coll", F.coalesce("member", "id").alias("id"), "near", "score").where("id <> near")
-    return rank(all_, params, "near", 0)
+    more = F.size("members") > most + 1
+    listed = found.where(~more).select("coll", "id", F.explode("members").alias("member"), "near", "score").where("member <> near")
+    result = _best(listed, params, ["coll", "id", "member"], 0)
+    large = found.where(more).drop("members")
+    if not large.isEmpty():
+        members = spaces.overflow_members(valid, most).withColumnRenamed("rep", "id")
+        result = result.unionByName(_best(large.join(members, ["coll", "id"]).where("member <> near"), params, ["coll", "id", "member"], 0))
+    return result.select("coll", F.col("member").alias("id"), "near", "score")
 
 
 def neighbour_pairs(points: DataFrame, params: dict[str, Params], **options) -> DataFrame:

@@ -9,8 +9,7 @@ from . import bpe, knn, mixing, spaces
 
 
 def _points(spark: SparkSession, d: str):
-    params = spaces.read_params(table(spark, d, "vector_params"), table(spark, d, "search_params"))
-    return spaces.valid_points(table(spark, d, "points"), params), params
+    return table(spark, d, "points"), spaces.read_params(table(spark, d, "vector_params"), table(spark, d, "search_params"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bands of the Dot distance: so many for each doubling of a vector's length.
@@ -38,10 +38,8 @@ def read_params(vector_params: DataFrame, search_params: DataFrame) -> dict[str,
     return {r[0]: Params(int(r[1]), r[2], int(r[3]), float(r[4])) for r in rows.collect() if None not in r}
 
 
-def valid_points(points: DataFrame, params: dict[str, Params]) -> DataFrame:
-    """(id, coll, vector) of current rows whose vector has its collection's size and isn't null, all zeros or without a number in some place."""
-    newest = F.max_by(F.struct("collection_name", "vector"), F.coalesce("version", F.lit(-(2**63))))
-    rows = points.where("id is not null").groupBy("id").agg(newest.alias("row")).select("id", F.col("row.collection_name").alias("coll"), "row.vector")
+def fitting(rows: DataFrame, params: dict[str, Params]) -> DataFrame:
+    """Rows with columns coll and vector whose vector has its collection's size and isn't null, all zeros or without a number in some place."""
     fits = F.lit(False)
     for name, p in params.items():
         fits = fits | ((F.col("coll") == name) & (F.size("vector") == p.size))
@@ -49,18 +47,22 @@ def valid_points(points: DataFrame, params: dict[str, Params]) -> DataFrame:
     return rows.where(fits).where(~bad & F.exists("vector", lambda x: x != 0))
 
 
+def valid_points(points: DataFrame, params: dict[str, Params]) -> DataFrame:
+    """(id, coll, vector) of the current rows that fit."""
+    newest = F.max_by(F.struct("collection_name", "vector"), F.coalesce("version", F.lit(-(2**63))))
+    rows = points.where("id is not null").groupBy("id").agg(newest.alias("row")).select("id", F.col("row.collection_name").alias("coll"), "row.vector")
+    return fitting(rows, params)
+
+
 def classes(points: DataFrame, most: int) -> DataFrame:
-    """Groups of exact copies: (coll, h, ids, vector, rep) with the group's most + 1 smallest ids, in order.
+    """Groups of exact copies: (coll, ids, vector) with the group's smallest ids in order, most + 2 at most.
 
-    Later members of a larger group are found by overflow_members; nothing is lost, and a group of any size weighs as
-    one row in the search.
+    So a group of any size weighs as one row in a search, and one with more than most + 1 ids is known to have more
+    members than are listed; overflow_members gives these.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("coll", "h").orderBy("id")
-    first = points.select("coll", _hash().alias("h"), "id", "vector").withColumn("n", F.row_number().over(order)).where(f"n <= {most + 1}")
-    groups = first.groupBy("coll", "h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vector").alias("vector"))
-    return groups.withColumn("rep", F.element_at("ids", 1))
+    first = points.select("coll", _hash().alias("h"), "id", "vector").withColumn("n", F.row_number().over(order)).where(f"n <= {most + 2}")
+    return first.groupBy("coll", "h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vector").alias("vector")).select("coll", "ids", "vector")
 
 
 def _hash():
@@ -70,10 +72,10 @@ def _hash():
 
 
 def overflow_members(points: DataFrame, most: int) -> DataFrame:
-    """(coll, rep, id) of all members of those groups of exact copies that have more than most + 1."""
+    """(coll, rep, member) of all members of those groups of exact copies that have more than most + 1; rep is the smallest id."""
     keyed = points.select("coll", _hash().alias("h"), "id")
     large = keyed.groupBy("coll", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where(f"n > {most + 1}")
-    return keyed.join(large, ["coll", "h"]).select("coll", "rep", "id")
+    return keyed.join(large, ["coll", "h"]).select("coll", "rep", F.col("id").alias("member"))
 
 
 def bands(vectors: np.ndarray, p: Params) -> np.ndarray:
