@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, knn, mixing, spaces
+from . import bpe, cluster, knn, mixing, spaces
 
 
 def _points(spark: SparkSession, d: str):
     return table(spark, d, "points"), spaces.read_params(table(spark, d, "vector_params"), table(spark, d, "search_params"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.clusters(*_points(spark, d)).select("cluster_id", "id")
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.describe(cluster.clusters(*_points(spark, d)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(*_points(spark, d))
 
@@ -32,7 +40,7 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
 
 _VALID = """valid AS (
   SELECT id, collection_name AS coll, distance, top_k, score_threshold AS lim, vector::DOUBLE[] AS v FROM (
@@ -48,6 +56,9 @@ _SCORED = """scored AS (
   FROM valid a JOIN valid b ON a.coll = b.coll AND a.id <> b.id)"""
 
 ORACLES = {
+    "p2_found": f"""WITH {_VALID}, {_SCORED}, near AS (
+  SELECT id, least(id, min(near)) AS cluster_id FROM scored WHERE CASE WHEN larger THEN score >= lim ELSE score <= lim END GROUP BY id)
+SELECT cluster_id, id FROM near""",
     "p5_found": f"""WITH {_VALID}, {_SCORED}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN larger THEN -score ELSE score END, near) AS n FROM scored)
 SELECT DISTINCT least(id, near) AS id_low, greatest(id, near) AS id_high FROM ranked
