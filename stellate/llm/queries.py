@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, cluster, knn, mixing, spaces
+from . import bpe, cluster, knn, mixing, sentences, spaces
 
 
 def _points(spark: SparkSession, d: str):
@@ -40,7 +40,11 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
 
 _VALID = """valid AS (
   SELECT id, collection_name AS coll, distance, top_k, score_threshold AS lim, vector::DOUBLE[] AS v FROM (
