@@ -32,7 +32,7 @@ class Repeated:
 
 
 #: The two spellings of a dynamically typed value's kinds, and what they hold.
-_KINDS = {"nullValue": "null", "null_value": "null", "numberValue": "plain", "number_value": "plain", "doubleValue": "plain", "double_value": "plain", "integerValue": "plain", "integer_value": "plain", "stringValue": "plain", "string_value": "plain", "boolValue": "plain", "bool_value": "plain", "structValue": "struct", "struct_value": "struct", "listValue": "list", "list_value": "list"}
+_KINDS = {"nullValue": "null", "null_value": "null", "numberValue": "number", "number_value": "number", "doubleValue": "number", "double_value": "number", "integerValue": "number", "integer_value": "number", "stringValue": "plain", "string_value": "plain", "boolValue": "plain", "bool_value": "plain", "structValue": "struct", "struct_value": "struct", "listValue": "list", "list_value": "list"}
 
 
 def _refuse(name: str):
@@ -57,6 +57,8 @@ def untyped(value):
     of = _KINDS[kind]
     if of == "plain":
         return inner
+    if of == "number":  # which may be written as a text
+        return float(inner) if isinstance(inner, str) else inner
     if of == "null" or inner is None:
         return None
     if of == "list":
