@@ -65,10 +65,11 @@ def copies(doc_id: Column, rate: Column, seed: int = _SEED) -> Column:
 
 
 def mix(docs: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """All columns of docs, and copy: a row for each use of a document, counted from 1."""
-    rates = plan(sized(docs, name, folder), targets).select(F.col("skey").alias("_skey"), F.col("rate").alias("_rate"))
-    used = docs.join(rates, source_key(F.col("source")) == F.col("_skey")).withColumn("_n", copies(F.col("doc_id"), F.col("_rate")))
-    return used.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_skey", "_rate", "_n")
+    """All columns of docs, and copy (in place of one of that name): a row for each use of a document, counted from 1."""
+    rates = plan(sized(docs, name, folder), targets).select("skey", "rate")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy"]).alias("row"), source_key(F.col("source")).alias("skey"))
+    used = rows.join(rates, "skey").withColumn("n", copies(F.col("row.doc_id"), F.col("rate"))).where("n > 0")
+    return used.select("row.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
 
 
 def shares(docs: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
