@@ -59,7 +59,8 @@ _ITEM = re.compile(r"\s*(?:[-*+•‣◦▪●○·–]|(\d{1,4})[.)]|\(?[a-zA-Z
 _LINE = re.compile(r"[^\r\n  \x0b\x0c\x85]*(?:\r\n|[\r\n  \x0b\x0c\x85]|$)")
 _SPEAKER = re.compile(r"[\w.\-]{1,24}(?: [\w.\-]{1,24})?\s?[:：]\s+")
 _WORD = re.compile(r"[^\s]+")
-_SURE = 3.0
+#: An end of more than this evidence is one in any best sequence, as the lengths of spans weigh 2 together at most. Spans from this length on weigh alike.
+_SURE, _LONG = 2.0, 2000
 
 
 def _script(c: str) -> str:
@@ -133,20 +134,26 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
 def _pairs(s: str, begin: int, end: int) -> list[tuple[int, int]]:
     """(open, close) of matched quotation marks and brackets; inner ones included."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # how often each closing mark is on the stack
     out = []
     for m in _MARK.finditer(s, begin, end):
         c, at = m[0], m.start()
-        place = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == c), -1)
-        if place >= 0 and not (c == "’" and at + 1 < end and s[at + 1].isalnum()):
-            out.append((stack[place][1], at))
-            del stack[place:]
+        after = s[at + 1] if at + 1 < end else " "
+        if waiting.get(c) and not (c == "’" and after.isalnum()):
+            while True:
+                closer, start = stack.pop()
+                waiting[closer] -= 1
+                if closer == c:
+                    break
+            out.append((start, at))
         elif c in _PAIRS:
-            after = s[at + 1] if at + 1 < end else " "
             if c in '"`＂' and after.isspace():
                 continue
             if c == '"' and at > begin and s[at - 1].isdigit() and not after.isalpha():
                 continue  # inches
-            stack.append((_PAIRS[c], at))
+            closer = _PAIRS[c]
+            stack.append((closer, at))
+            waiting[closer] = waiting.get(closer, 0) + 1
     return out
 
 
@@ -314,7 +321,7 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
             score = _full_stop(s, begin, at, after, end)
         else:
             score = 4.0 if spaced and kind != "low" else -6.0
-        if score > -_SURE:
+        if score > -3.0:
             out.append((stop, score, score, -1))
     return out
 
@@ -395,23 +402,32 @@ def _choose(s: str, begin: int, inner: int, end: int) -> list[int]:
     best, back = [0.0] + [float("-inf")] * (size - 1), [0] * size
     label = _SPEAKER.match(s, inner, end)
     firm = 0  # the last place at which every best sequence has an end
+    near, far = 0, -1  # spans from before near are so long that they differ no more by length; far is the best of their begins
     for j in range(1, size):
-        for i in range(j - 1, firm - 1, -1):
-            score = best[i] + _length(ends[j] - ends[i])
-            if j < size - 1:
-                _, plain, opening, opener = places[j - 1]
-                if opener >= 0:
-                    at = ends[i] if i else inner
-                    lead = s[at:opener].strip()
-                    if i == 0 and label:
-                        lead = s[min(label.end(), opener) : opener].strip()
-                    score += opening if not lead else plain
-                else:
-                    score += plain
+        plain, opening, opener = (places[j - 1][1], places[j - 1][2], places[j - 1][3]) if j < size - 1 else (0.0, 0.0, -1)
+        while near < j and ends[j] - ends[near] >= _LONG:
+            if far < 0 or best[near] > best[far]:
+                far = near
+            near += 1
+        begins = [*range(max(near, firm), j)]
+        if far >= firm:
+            begins.append(far)
+        head = -1  # where a span begins with the quotation that ends here
+        if opener >= 0:
+            head = bisect_right(ends, opener, 0, j) - 1
+            lead = s[(ends[head] if head else inner) : opener].strip()
+            if head == 0 and label:
+                lead = s[min(label.end(), opener) : opener].strip()
+            if lead or head < firm:
+                head = -1
+            else:
+                begins.append(head)
+        for i in begins:
+            score = best[i] + _length(ends[j] - ends[i]) + (opening if i == head else plain)
             if score > best[j]:
                 best[j], back[j] = score, i
-        if j < size - 1 and min(places[j - 1][1], places[j - 1][2]) >= _SURE:
-            firm = j
+        if j < size - 1 and min(plain, opening) > _SURE:
+            firm, near, far = j, j, -1
     cuts = []
     j = back[size - 1]
     while j > 0:
