@@ -173,7 +173,8 @@ def neighbour_graph(v: np.ndarray, p: Params, k: int = NEIGHBOURS, seed: int = 1
 
 def _sampled(n: int, i: np.ndarray, j: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A few of the j of each i, as a matrix filled up with -1."""
-    order = np.lexsort((rng.random(len(i)), i))
+    order = rng.permutation(len(i))
+    order = order[np.argsort(i[order].astype(np.int32), kind="stable")]
     i, j = i[order], j[order]
     out = np.full((n, _SAMPLE), -1, np.int64)
     if len(i):
