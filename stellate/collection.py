@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .filters import Scope, compile_filter
 from .functions.metrics import DISTANCES
 from .functions.text import TextIndex
-from .functions.values import ColumnValues, JsonValues, Values
+from .functions.values import ColumnValues, JsonValues, Values, is_true
 
 
 @dataclass(frozen=True)
@@ -67,10 +67,11 @@ class Collection:
         return Scope(self.values, self.index.get, F.col(self.id), named)
 
     def condition(self, spec: dict | None) -> Column:
-        return compile_filter(spec, self.scope())
+        """Whether each point meets a filter, never null."""
+        return is_true(compile_filter(spec, self.scope()))
 
     def where(self, spec: dict | None) -> DataFrame:
-        return self.df.where(self.condition(spec)) if spec else self.df
+        return self.df.where(compile_filter(spec, self.scope())) if spec else self.df
 
     def vector(self, name: str = "") -> Dense | Sparse:
         found = self.vectors.get(name) or self.sparse.get(name)

@@ -1,4 +1,4 @@
-"""The filter language, compiled to a column expression that is never null.
+"""The filter language, compiled to a column expression. A condition that is null doesn't hold, as in any WHERE.
 
 A filter has the clauses must, should, must_not and min_should; all of them hold together. Conditions are those of a
 field (match, range, datetime, geography, number of values, emptiness), of a point (id, vectors, slice), nested filters on
@@ -51,12 +51,12 @@ def compile_filter(spec: dict | None, scope: Scope) -> Column:
     parts = [compile_condition(c, scope) for c in _list(spec.get("must"))]
     if _list(spec.get("should")):
         parts.append(_any([compile_condition(c, scope) for c in _list(spec["should"])]))
-    parts += [~compile_condition(c, scope) for c in _list(spec.get("must_not"))]
+    parts += [~is_true(compile_condition(c, scope)) for c in _list(spec.get("must_not"))]
     if spec.get("min_should"):
         least = spec["min_should"]["min_count"]
         if least < 1:
             raise ValueError("min_count is 1 at least")
-        hits = [compile_condition(c, scope).cast("int") for c in spec["min_should"]["conditions"]]
+        hits = [is_true(compile_condition(c, scope)).cast("int") for c in spec["min_should"]["conditions"]]
         parts.append(reduce(lambda a, b: a + b, hits, F.lit(0)) >= least)
     return _all(parts)
 
@@ -90,7 +90,7 @@ def compile_condition(spec: dict, scope: Scope) -> Column:
     if scope.id is None and any(k in spec for k in ("has_id", "has_vector", "slice")):
         raise ValueError("conditions on points aren't allowed within nested filters")
     if "has_id" in spec:
-        return is_true(scope.id.isin(list(spec["has_id"]))) if spec["has_id"] else F.lit(False)
+        return scope.id.isin(list(spec["has_id"])) if spec["has_id"] else F.lit(False)
     if "has_vector" in spec:
         column = (scope.vectors or {}).get(spec["has_vector"])
         return F.lit(False) if column is None else column.isNotNull()

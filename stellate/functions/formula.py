@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..filters import Scope, compile_condition
 from . import geo
-from .values import parse_time
+from .values import is_true, parse_time
 
 _SCORE = re.compile(r"\$score(?:\[(\d+)\])?$")
 
@@ -39,11 +39,11 @@ class Formula:
         if isinstance(e, str):
             return self._variable(e)
         if len(e) != 1 or "key" in e or set(e) & {"must", "should", "must_not", "min_should"}:
-            return compile_condition(e, self.scope).cast("double")
+            return is_true(compile_condition(e, self.scope)).cast("double")
         ((kind, x),) = e.items()
         plain = getattr(self, f"_{kind}", None)
         if plain is None:
-            return compile_condition(e, self.scope).cast("double")
+            return is_true(compile_condition(e, self.scope)).cast("double")
         return plain(x)
 
     def _variable(self, name: str) -> Column:

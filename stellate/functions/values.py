@@ -1,7 +1,7 @@
 """Access to payload values: a path into a JSON payload, or a column that holds a field.
 
 A field has any number of values. A condition on it holds if it holds for one of them; an array counts by its elements.
-Conditions are never null: what is missing or of another type just doesn't match.
+What is missing or of another type doesn't match: a condition is then false, or null where that lets it reach the scan.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ def _spark_path(steps: list[str | int]) -> str:
 
 def parse_time(text: Column) -> Column:
     """Microseconds since 1970 in UTC of a date or time in one of the accepted forms, else null."""
+    text = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Zz+ -])", "$1:00")
     zoned = F.when(text.rlike(r"(Z|z|:\d{2}\s?[+-]\d{2}(:?\d{2})?|\d\s?[+-]\d{4})$") | text.rlike(r"T.*[+-]\d{2}(:?\d{2})?$"), text).otherwise(F.concat(text, F.when(F.length(text) == 10, F.lit("T00:00:00Z")).otherwise(F.lit("Z"))))
     return F.when(text.rlike(_TIME), F.unix_micros(zoned.try_cast("timestamp")))
 
@@ -198,7 +199,7 @@ class ColumnValues(Values):
         self.column, self.kind = column, kind.elementType if isinstance(kind, T.ArrayType) else kind
 
     def _some(self, test: Test) -> Column:
-        return is_true(F.exists(self.column, lambda x: is_true(test(x)))) if self.many else is_true(test(self.column))
+        return F.exists(self.column, lambda x: is_true(test(x))) if self.many else test(self.column)
 
     def _if(self, kinds: tuple, test: Test) -> Column:
         return self._some(test) if isinstance(self.kind, kinds) else F.lit(False)
