@@ -53,7 +53,10 @@ def matrix_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarities(vector: Column, examples: list[list[float]], distance: str) -> Column:
-    """An array with the similarity to each example; null without a vector of their size."""
+    """An array with the similarity to each example; null without a vector of their size.
+
+    It isn't declared deterministic, so that a filter on scores doesn't have them computed twice: make it a column once.
+    """
     wanted = np.asarray(examples, np.float64)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -66,7 +69,7 @@ def similarities(vector: Column, examples: list[list[float]], distance: str) ->
         mask[rows] = False
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(found), mask=pa.array(mask))
 
-    return score(vector)
+    return score.asNondeterministic()(vector)
 
 
 def max_similarities(vectors: Column, examples: list[list[list[float]]], distance: str) -> Column:
@@ -82,7 +85,7 @@ def max_similarities(vectors: Column, examples: list[list[list[float]]], distanc
             out.append([float(similarity_matrix(w, m, distance).max(axis=1).sum()) for w in wanted] if rows else None)
         return pa.array(out, pa.list_(pa.float64()))
 
-    return score(vectors)
+    return score.asNondeterministic()(vectors)
 
 
 def sparse_product(vector: Column, indices: list[int], values: list[float]) -> Column:

@@ -50,10 +50,11 @@ def query_groups(c: Collection, request: dict, group_by: str, group_size: int =
     hits = ranked.df.join(keys, F.col("id") == F.col("_id")).drop("_id")
     order = ranked.order()
     best = hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy("group_key").orderBy(*order))).where(F.col("hit_rank") <= group_size)
-    heads = best.where("hit_rank = 1").orderBy(*order).limit(limit)
-    heads = heads.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).select("group_key", "group_rank")
-    # At most limit rows.
-    result = best.join(F.broadcast(heads), "group_key").select("group_key", "group_rank", "hit_rank", "id", "score")
+    # A row for each group with its few hits; the shuffle of the ranking serves both.
+    groups = best.groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct("hit_rank", "id", "score"))).alias("hits"))
+    groups = groups.withColumn("id", F.col("hits")[0]["id"]).withColumn("score", F.col("hits")[0]["score"]).orderBy(*order).limit(limit)
+    groups = groups.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    result = groups.select("group_key", "group_rank", F.explode("hits").alias("hit")).select("group_key", "group_rank", "hit.hit_rank", "hit.id", "hit.score")
     if lookup is not None:
         extra = payload_columns(lookup, lookup_payload) + vector_columns(lookup, lookup_vectors)
         found = lookup.df.select(F.col(lookup.id).cast("string").alias("group_key"), F.col(lookup.id).alias("lookup_id"), *[x.alias(f"lookup_{n}") for x, n in zip(extra, lookup.df.select(*extra).columns)])

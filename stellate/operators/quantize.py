@@ -113,8 +113,9 @@ def search(c: Collection, model, column: str, vector: list[float], limit: int =
         return pa.array(out, mask=np.isnan(out))
 
     many = max(limit, int(limit * oversampling)) if rescore else limit
-    rows = c.where(filter).select(F.col(c.id).alias("id"), F.col(target.column).alias("v"), rough(F.col(column)).alias("score")).where("score IS NOT NULL")
+    rows = c.where(filter).select(F.col(c.id).alias("id"), F.col(target.column).alias("v"), rough.asNondeterministic()(F.col(column)).alias("score")).where("score IS NOT NULL")
     best = rows.orderBy(F.col("score").desc(), F.col("id").desc()).limit(many)
     if rescore:
-        best = best.select("id", metrics.shown(F.get(metrics.similarities(F.col("v"), [vector], target.distance), F.lit(0)), target.distance).alias("score"))
+        best = best.select("id", metrics.similarities(F.col("v"), [vector], target.distance).alias("s"))
+        best = best.select("id", metrics.shown(F.get("s", F.lit(0)), target.distance).alias("score"))
     return Ranked(best.select("id", "score"), metrics.larger_better(target.distance) or not rescore).top(limit).df

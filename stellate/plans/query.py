@@ -101,6 +101,7 @@ class Query:
         self._check(request, 0)
         self.known: dict[tuple, object] = {}
         self.named: set = set()
+        self.similar: dict[str, Column] = {}  # columns of similarities that the scores at hand refer to
         self._resolve()
 
     # Validation ------------------------------------------------------------------------------------------------------
@@ -199,7 +200,10 @@ class Query:
             return Ranked(rows.select(id_, F.rand(r.get("seed")).alias("score")))
         if isinstance(q, dict) and "order_by" in q:
             return self._ordered(rows, q["order_by"])
+        self.similar = {}
         score, larger = self._score(q, r)
+        target = self.c.vector(r.get("using", ""))
+        rows = rows.where(F.col(target.column).isNotNull()).withColumns(self.similar)
         return Ranked(rows.select(id_, score.alias("score")).where("score IS NOT NULL"), larger)
 
     def _ordered(self, rows: DataFrame, spec) -> Ranked:
@@ -255,7 +259,9 @@ class Query:
             if any(len(x) != target.size for x in examples):
                 raise ValueError(f"vectors of this name have the size {target.size}")
             found = metrics.similarities(F.col(target.column), examples, target.distance)
-        return [F.get(found, F.lit(n)) for n in range(len(examples))]
+        name = f"_similar{len(self.similar)}"
+        self.similar[name] = found
+        return [F.get(name, F.lit(n)) for n in range(len(examples))]
 
     def _if_present(self, score: Column, target: Dense | Sparse) -> Column:
         return F.when(F.col(target.column).isNotNull(), score)

@@ -31,10 +31,11 @@ def embeddings(spark: SparkSession, d: str, distance: str = "Cosine") -> Collect
     return Collection(table(spark, d, "embeddings"), "vec_id", {"": Dense("embedding", 64, distance)})
 
 
-def points(spark: SparkSession, d: str, **index) -> Collection:
-    """The current rows of all collections of points; their payload is JSON."""
-    df = newest_versions(table(spark, d, "points"))
-    return Collection(df, "id", {"": Dense("vector", 64)}, {"text": Sparse("sparse_text", index.pop("idf", False))}, "payload", index=index)
+def points(spark: SparkSession, d: str, vectors: bool = False, idf: bool = False, **index) -> Collection:
+    """The current rows of all collections of points; their payload is JSON. A version's row is chosen as a whole, so only what is used is read."""
+    df = newest_versions(table(spark, d, "points").select("id", "version", "payload", *(["vector", "sparse_text"] if vectors else [])))
+    dense, sparse_ = ({"": Dense("vector", 64)}, {"text": Sparse("sparse_text", idf)}) if vectors else ({}, {})
+    return Collection(df, "id", dense, sparse_, "payload", index=index)
 
 
 def multi(spark: SparkSession, d: str) -> Collection:
@@ -179,7 +180,7 @@ _add("t5_order_by", lambda s, d: scroll.scroll(orders(s, d), None, 40, order_by=
 _add("t5_order_by_values", lambda s, d: scroll.scroll(points(s, d, price="float"), None, 200, order_by={"key": "price", "start_from": 20}, with_payload=False), f"WITH {_P}, u AS (SELECT id, unnest({_items('price')}) AS x FROM p) SELECT id, {_N} AS order_value FROM u WHERE {_N} >= 20 ORDER BY 2, 1 LIMIT 200")
 _add("r9_retrieve", lambda s, d: scroll.retrieve(orders(s, d), [7, 3, 1, -5, 32, 2], ["o_custkey"]), "SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderkey IN (7, 3, 1, 32, 2)")
 _add("r10_count", lambda s, d: scroll.count(points(s, d), {"must_not": [{"is_empty": {"key": "city"}}]}), f"WITH {_P} SELECT count(*) AS count FROM p WHERE coalesce(len(list_filter({_items('city')}, lambda x: true)) > 0 AND json_type(payload, '$.city') <> 'NULL', false)")
-_add("a11_newest_versions", lambda s, d: newest_versions(table(s, d, "points")).select("id", "version", "shard_key"), "SELECT id, max(version) AS version, arg_max_null(shard_key, version) AS shard_key FROM points GROUP BY id")
+_add("a11_newest_versions", lambda s, d: newest_versions(table(s, d, "points").select("id", "version", "shard_key")), "SELECT id, max(version) AS version, arg_max_null(shard_key, version) AS shard_key FROM points GROUP BY id")
 
 # Filters -----------------------------------------------------------------------------------------------------------------
 
@@ -239,7 +240,7 @@ _filter("f20_field_is_null", {"must": [_key("city", is_null=True)]}, f"coalesce(
 _filter("f21_is_empty", {"must": [{"is_empty": {"key": "city"}}]}, "coalesce(json_type(payload, '$.city') = 'NULL' OR json_type(payload, '$.city') = 'ARRAY' AND json_array_length(payload, '$.city') = 0, true)")
 _filter("f22_is_null", {"must": [{"is_null": {"key": "price"}}]}, "coalesce(json_type(payload, '$.price') = 'NULL', false)")
 _filter("f23_has_id", {"must": [{"has_id": [5, 10, 15, 20, 25, 200, 2000]}]}, "id IN (5, 10, 15, 20, 25, 200, 2000)")
-_add("f24_has_vector", lambda s, d: points(s, d).where({"must": [{"has_vector": "text"}], "must_not": [{"has_vector": ""}]}).select("id"), "SELECT id FROM (SELECT id, arg_max_null(vector, version) AS v, arg_max_null(sparse_text, version) AS t FROM points GROUP BY id) WHERE v IS NULL AND t IS NOT NULL")
+_add("f24_has_vector", lambda s, d: points(s, d, True).where({"must": [{"has_vector": "text"}], "must_not": [{"has_vector": ""}]}).select("id"), "SELECT id FROM (SELECT id, arg_max_null(vector, version) AS v, arg_max_null(sparse_text, version) AS t FROM points GROUP BY id) WHERE v IS NULL AND t IS NOT NULL")
 _filter("f25_slice", {"must": [{"slice": {"total": 4, "index": 1}}]}, None)
 _filter("f28_alternatives", {"must": [_key("price", range={"lt": 5}, match={"value": 79})]}, f"{_some('price', _NUM, _N + ' < 5')} OR {_some('price', _INT, _N + ' = 79')}")
 
@@ -253,7 +254,7 @@ _add("f26_nested", lambda s, d: nested(s, d).where({"must": [{"nested": {"key":
 c AS (SELECT id, unnest(CASE WHEN json_type(payload, '$.country.cities') = 'ARRAY' THEN json_extract(payload, '$.country.cities[*]') ELSE [] END) AS x FROM n WHERE wire = 'rest' AND json_valid(payload))
 SELECT DISTINCT id FROM c WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.population') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract_string(x, '$.population') AS DOUBLE) > 1 AND json_type(x, '$.sightseeing') = 'ARRAY' AND json_array_length(x, '$.sightseeing') >= 2""")
 _add("f13_typed_columns", lambda s, d: Collection(table(s, d, "lineitem"), "l_orderkey").where({"must": [_key("l_quantity", range={"gte": 30}), _key("l_returnflag", match={"any": ["A", "R"]}), _key("l_shipdate", range={"lt": "1995-01-01"})]}).groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 30 AND l_returnflag IN ('A', 'R') AND l_shipdate < TIMESTAMP '1995-01-01' GROUP BY 1")
-_add("f30_shard_key", lambda s, d: newest_versions(table(s, d, "points")).where(F.col("shard_key").startswith("tenant-m")).select("id"), "SELECT id FROM (SELECT id, arg_max_null(shard_key, version) AS shard_key FROM points GROUP BY id) WHERE shard_key LIKE 'tenant-m%'")
+_add("f30_shard_key", lambda s, d: newest_versions(table(s, d, "points").select("id", "version", "shard_key")).where(F.col("shard_key").startswith("tenant-m")).select("id"), "SELECT id FROM (SELECT id, arg_max_null(shard_key, version) AS shard_key FROM points GROUP BY id) WHERE shard_key LIKE 'tenant-m%'")
 
 # Sparse vectors, several vectors, text -----------------------------------------------------------------------------------
 
@@ -271,14 +272,14 @@ _SQ = f"{_SP}, f AS (SELECT id FROM c WHERE t IS NOT NULL AND id % 7 = 0 ORDER B
 
 
 def _sparse(spark: SparkSession, d: str, idf: bool) -> DataFrame:
-    c = points(spark, d, idf=idf)
+    c = points(spark, d, True, idf)
     return _rounded(query(c, {"query": _sparse_query(c), "using": "text", "limit": 100_000}))
 
 
 _add("v2_sparse_nearest", lambda s, d: _sparse(s, d, False), f"WITH {_SQ} SELECT id, round(sum(weight), 5) AS score FROM w JOIN q USING (dim) GROUP BY id")
 _add("v3_sparse_idf", lambda s, d: _sparse(s, d, True), f"WITH {_SQ}, n AS (SELECT count(*) AS n FROM c WHERE t IS NOT NULL), g AS (SELECT dim, count(*) AS df FROM w GROUP BY dim), i AS (SELECT dim, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM g, n) SELECT id, round(sum(weight * idf), 5) AS score FROM w JOIN q USING (dim) JOIN i USING (dim) GROUP BY id")
-_add("a9_document_frequency", lambda s, d: sparse.document_frequencies(points(s, d).df.where("sparse_text IS NOT NULL"), "id", "sparse_text"), f"WITH {_SP} SELECT dim, count(*) AS df FROM w GROUP BY dim")
-_add("r2_sparse_batch", lambda s, d: _rounded(sparse.batch_products(points(s, d).df.where("sparse_text IS NOT NULL"), "id", "sparse_text", sparse.postings(points(s, d).df.where("sparse_text IS NOT NULL AND id % 50 = 0"), "id", "sparse_text").withColumnRenamed("id", "query_id"), 5)).select("query_id", "score"), f"WITH {_SP}, s AS (SELECT a.id AS query_id, b.id, sum(a.weight * b.weight) AS score FROM w a JOIN w b USING (dim) WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT query_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id DESC) <= 5")
+_add("a9_document_frequency", lambda s, d: sparse.document_frequencies(points(s, d, True).df.where("sparse_text IS NOT NULL"), "id", "sparse_text"), f"WITH {_SP} SELECT dim, count(*) AS df FROM w GROUP BY dim")
+_add("r2_sparse_batch", lambda s, d: _rounded(sparse.batch_products(points(s, d, True).df.where("sparse_text IS NOT NULL"), "id", "sparse_text", sparse.postings(points(s, d, True).df.where("sparse_text IS NOT NULL AND id % 50 = 0"), "id", "sparse_text").withColumnRenamed("id", "query_id"), 5)).select("query_id", "score"), f"WITH {_SP}, s AS (SELECT a.id AS query_id, b.id, sum(a.weight * b.weight) AS score FROM w a JOIN w b USING (dim) WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT query_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id DESC) <= 5")
 _MULTI = f"{_E}, m AS (SELECT id % 50 AS id, v FROM e), q AS (SELECT id AS qid, v AS qv FROM e WHERE id IN (3, 4)), x AS (SELECT m.id, qid, max({_SIM['Cosine'].format(a='m.v', b='qv')}) AS best FROM m, q GROUP BY 1, 2)"
 
 
@@ -299,7 +300,7 @@ _add("v12_multi_recommend", _multi_reco, f"WITH {_MULTI}, s AS (SELECT id, sum(C
 
 
 def _sparse_reco(spark: SparkSession, d: str) -> DataFrame:
-    c = points(spark, d)
+    c = points(spark, d, True)
     x = _sparse_query(c)
     return _rounded(query(c, {"query": {"recommend": {"positive": [x], "negative": [], "strategy": "sum_scores"}}, "using": "text", "limit": 100_000}))
 
