@@ -1,7 +1,7 @@
 """Groups of mutually similar vectors, each described by its size and its most typical members.
 
-1. Vectors are dealt into blocks of bounded size by random hyperplanes, in several rounds with other hyperplanes, so that
-   two near ones meet in some block. Exact copies go as one.
+1. Vectors are dealt into blocks of like size by cuts along random directions, in several rounds with other directions, so
+   that two near ones meet in some block. Exact copies go as one.
 2. In a block, neighbour descent builds the graph of nearest neighbours: from the leaves of a random projection forest,
    then by comparing the neighbours of neighbours until little changes. Its edges are the pairs that reach the limit.
 3. Communities maximise modularity: by moving nodes and contracting, first in each block, then on the graph of these
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, parallelism
 from . import spaces
-from .knn import CONFIDENCE, _binary, by_collection, fit, search_groups, unpack
+from .knn import CONFIDENCE, SAMPLE, Cells, _binary, by_collection, fit, search_groups, unpack
 from .spaces import Params
 
 #: Rows of a block that the rounds aim at; neighbours kept of a row; ids listed of a group of copies.
 BLOCK, NEIGHBOURS, COPIES = 65536, 8, 30
 #: The forest that starts the descent: trees, rows of a leaf. Rounds of descent at most, and neighbours joined in each.
 _TREES, _LEAF, _ROUNDS, _SAMPLE = 12, 256, 4, 5
+#: Random directions of a round, of which each cut takes the widest.
+_DIRECTIONS = 8
 
 
 def _unit(v: np.ndarray, p: Params) -> np.ndarray:
@@ -262,31 +264,40 @@ _MEMBER, _LINK, _TYPICAL = 0, 1, 2
 _PARTS = "kind tinyint, coll string, round int, a long, b long, c long, w double, ids array<long>, vector binary"
 
 
-def _deal(counts: dict[str, int], params: dict[str, Params], block: int, seed: int):
-    """Rows to blocks: (coll number, round, block), by the signs of random projections cut at their medians in the sample."""
-    plans = {}
+def _deal(scan: DataFrame, counts: dict[str, int], params: dict[str, Params], block: int, seed: int):
+    """Rows to blocks: (collection number, round, block).
+
+    The blocks of a round are the cells of a tree over random projections, cut at the medians of a sample of at most
+    about SAMPLE rows, so that they are of like size even where a third of all rows lies close together.
+    """
+    plans: dict[str, list[tuple[np.ndarray, Cells]]] = {}
     for place, (name, n) in enumerate(sorted(counts.items())):
         levels = max(0, math.ceil(math.log2(max(1, n) / block)))
         rng = np.random.default_rng((seed, place))
-        plans[name] = [rng.standard_normal((params[name].size, levels)).astype(np.float32) for _ in range(1 + 2 * levels)]
+        sample = np.zeros((0, params[name].size), np.float32)
+        if levels:
+            u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / n) * (1 << 30)))
+            sample = np.array([r[0] for r in scan.where((F.col("coll") == name) & u).select("vector").collect()], np.float32).reshape(-1, params[name].size)
+        matrices = [rng.standard_normal((params[name].size, _DIRECTIONS)).astype(np.float32) for _ in range(1 + 2 * levels)]
+        plans[name] = [(m, Cells.fit(_direction(sample, params[name]) @ m, -(-n // block))) for m in matrices]
     names = sorted(counts)
 
     def deal(batches):
         for batch in batches:
             ids = batch.column("ids")
             for name, rows, v in by_collection(batch, {n: params[n] for n in names}):
-                p = params[name]
-                unit = _unit(v, replace(p, distance="Cosine")) if p.larger_better else v
                 data = np.ascontiguousarray(v).view(f"V{4 * v.shape[1]}").ravel()
-                middle = batch.column("middle").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[:1] if not p.larger_better else None
-                for number, matrix in enumerate(plans[name]):
-                    side = (unit - middle if middle is not None else unit) @ matrix > 0
-                    code = side @ (1 << np.arange(matrix.shape[1])) if matrix.shape[1] else np.zeros(len(rows), np.int64)
+                for number, (matrix, cells) in enumerate(plans[name]):
+                    code = cells.place(_direction(v, params[name]) @ matrix)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), names.index(name), np.int32)), pa.array(np.full(len(rows), number, np.int32)), pa.array(code.astype(np.int32)), ids.take(pa.array(rows)), _binary(data)], names=["space", "round", "block", "ids", "vector"])
 
     return deal, "space int, round int, block int, ids array<long>, vector binary", names
 
 
+def _direction(v: np.ndarray, p: Params) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True).astype(np.float32) if p.larger_better else v
+
+
 def _work(names: list[str], params: dict[str, Params]):
     """A block's rows to its members of communities, the links between these, and their typical members."""
     schema = pa.schema([("kind", pa.int8()), ("coll", pa.string()), ("round", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("w", pa.float64()), ("ids", pa.list_(pa.int64())), ("vector", pa.binary())])
@@ -404,16 +415,9 @@ def clusters(points: DataFrame, params: dict[str, Params], block: int = BLOCK, s
     counts = {r[0]: r[1] for r in scan.groupBy("coll").count().collect()}
     valid = spaces.valid_points(points, params)
     groups = spaces.classes(valid, COPIES)
-    middles = F.lit(None).cast("array<float>")
-    for name, p in params.items():
-        if not p.larger_better and counts.get(name, 0) > block:
-            mean = scan.where(F.col("coll") == name).select(*[F.avg(F.get("vector", F.lit(n))).alias(f"m{n}") for n in range(p.size)]).first()
-            middles = F.when(F.col("coll") == name, F.array(*[F.lit(float(x)).cast("float") for x in mean])).otherwise(middles)
-        elif not p.larger_better:
-            middles = F.when(F.col("coll") == name, F.array_repeat(F.lit(0.0).cast("float"), p.size)).otherwise(middles)
-    deal, dealt, names = _deal(counts, params, block, seed)
+    deal, dealt, names = _deal(scan, counts, params, block, seed)
     rounds = max([1 + 2 * max(0, math.ceil(math.log2(max(1, n) / block))) for n in counts.values()], default=1)
-    blocks = groups.select("coll", "ids", "vector", middles.alias("middle")).mapInArrow(deal, dealt)
+    blocks = groups.select("coll", "ids", "vector").mapInArrow(deal, dealt)
     parts = checkpoint(blocks.groupBy("space", "round", "block").applyInArrow(_work(names, params), _PARTS))
 
     members = parts.where(F.col("kind") == _MEMBER)

@@ -98,3 +98,28 @@ def test_modularity():
     edges = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]
     label = cluster.communities(6, *map(np.array, zip(*edges)), np.ones(7))
     assert len(set(label[:3])) == 1 and len(set(label[3:])) == 1 and label[0] != label[5]
+
+
+def test_a_group_of_most_rows_is_split_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    centre /= np.linalg.norm(centre)
+    hot, alone = centre + rng.standard_normal((900, 16)) * 0.02, rng.standard_normal((500, 16))
+    pairs = np.repeat(rng.standard_normal((40, 16)), 2, axis=0) + rng.standard_normal((80, 16)) * 0.02
+    v = np.concatenate([hot, alone, pairs]).astype(np.float32)
+    rows = [(n, "c", x.tolist(), 1, "", "", "") for n, x in enumerate(v)]
+    plain = [(r[0], r[1], r[2], r[3]) for r in rows]
+    table = spark.createDataFrame(rows, SCHEMA)
+    label = {}
+    for p, a, others in scored(plain):
+        like = [b for b, s in others if s >= p.limit]
+        if like:
+            label[a] = min([a, *like])
+    got = {r["id"]: r["cluster_id"] for r in cluster.clusters(table, PARAMS, block=200).collect()}
+    assert sum(got.get(x) != label.get(x) for x in {*got, *label}) <= 0.02 * len(label)
+    near = {tuple(r) for r in knn.neighbour_pairs(table, PARAMS, cell=200, block=300, sample=700).collect()}
+    expected = neighbours(plain)
+    assert len(near & expected) >= 0.98 * len(expected)
+    deal, kind, _ = cluster._deal(table.selectExpr("id", "collection_name coll", "vector"), {"c": len(v)}, PARAMS, 200, 1)
+    blocks = table.selectExpr("collection_name coll", "array(id) ids", "vector").mapInArrow(deal, kind).groupBy("round", "block").count().collect()
+    assert max(r["count"] for r in blocks) <= 400
