@@ -21,6 +21,13 @@ ENGLISH = frozenset(
 )
 
 
+def stop_words(language: str) -> frozenset[str]:
+    """The common words that Spark knows of a language."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return frozenset(w.lower() for w in StopWordsRemover.loadDefaultStopWords(language))
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """How a text field is cut into tokens. tokenizer: word (letters and digits), whitespace, prefix (beginnings of words)."""

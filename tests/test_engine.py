@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stellate.collection import Collection, Dense, Sparse
 from stellate.functions import jsonops, text
 from stellate.functions.metrics import similarity_matrix
-from stellate.operators import aggregate, mmr, mutate, quantize, scroll
+from stellate.operators import aggregate, ivf, mmr, mutate, quantize, scroll
 from stellate.operators.batch import nearest_batch
 from stellate.plans.query import average, discover, query, query_batch, recommend, search
 from stellate.sources.catalog import Catalog
@@ -180,6 +180,7 @@ def test_text():
 
 
 def test_tokens(spark):
+    assert {"der", "und"} <= text.stop_words("german") and "the" in text.stop_words("english")
     df = spark.createDataFrame([("The Café's 2nd, quick-brown",), (None,), ("",)], "t string")
     one = lambda how, **k: [r[0] for r in df.select(text.tokens(F.col("t"), how, **k)).collect()]
     assert one(text.TextIndex()) == [["the", "café", "s", "2nd", "quick", "brown"], [], []]
@@ -197,12 +198,32 @@ def test_quantised_search_finds_the_best(spark):
     c = Collection(df, "id", {"": Dense("v", 32, "Cosine")})
     q = v[5] + 0.2 * rng.standard_normal(32)
     best = [r["id"] for r in search(c, q.tolist()).collect()]
-    for model, least in ((quantize.Scalar.fit(df, "v"), 10), (quantize.Product.fit(df, "v", 4, 64), 7), (quantize.Binary(), 5)):
+    for model, least in ((quantize.Scalar.fit(df, "v"), 10), (quantize.Product.fit(df, "v", 4, 64), 7), (quantize.Binary(), 5), (quantize.Rotated(4), 10), (quantize.Rotated(2), 9), (quantize.Rotated(1), 5)):
         found = quantize.search(quantize.encode_column(c, model, "codes"), model, "codes", q.tolist(), 10, 8.0).collect()
         assert len({r["id"] for r in found} & set(best)) >= least and found[0]["id"] == 5
     assert quantize.search(quantize.encode_column(c, quantize.Binary(), "codes"), quantize.Binary(), "codes", q.tolist(), 10, rescore=False).count() == 10
 
 
+def test_cells_find_most_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16)) * 3
+    v = (centres[rng.integers(0, 20, 2000)] + rng.standard_normal((2000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(n, x.tolist(), "clash") for n, x in enumerate(v)] + [(5000, None, ""), (5001, [1.0], "")], "id long, v array<float>, other string")
+    for distance in ("Cosine", "Euclid"):
+        c = Collection(df, "id", {"": Dense("v", 16, distance)})
+        model = ivf.Cells.fit(c, 20)
+        indexed = ivf.index(c, model)
+        indexed.df.write.mode("overwrite").partitionBy("cell").parquet(str(tmp_path / distance))
+        stored = indexed.with_df(spark.read.parquet(str(tmp_path / distance)))
+        hits = 0
+        for n in range(10):
+            best = {r["id"] for r in search(c, v[n].tolist()).collect()}
+            found = ivf.search(stored, model, v[n].tolist(), 10, 6)
+            hits += len(best & {r["id"] for r in found.collect()})
+        assert hits >= 90
+        assert "PartitionFilters: [isnotnull(cell" in found._jdf.queryExecution().toString() or "PartitionFilters: [cell" in found._jdf.queryExecution().toString()
+
+
 def test_catalog_and_streams(spark, c, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "store"))
     catalog.create("a", mutate.create_index(c, "t", text.TextIndex(stopwords=frozenset(["x"]))))
