@@ -51,6 +51,7 @@ _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】"
 _BRACKETS = frozenset("([{（［【〔")
 _MARK = re.compile(r"[()\[\]{}（）［］【】「」『』《》〈〉〔〕“”‘’«»‹›„‚\"`＂]")
 _CLOSERS = frozenset(")]}）］】」』》〉〕”’»›\"'＂")
+_EDGES = frozenset("）］】」』》〉〕。！？，、：；…”»")
 _STRONG = "。！？｡।॥؟۔‼⁇⁈⁉．።။།។៕։"
 _TERM = re.compile(rf"[.!?…{_STRONG}]+|[;;]|(?<=[฀-๿])\s+(?=\S)")
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
@@ -178,10 +179,13 @@ def _next(s: str, at: int, end: int) -> tuple[str, str]:
 
 
 def _before(s: str, begin: int, at: int) -> str:
-    """The word that ends at a place."""
+    """The word that ends at a place; it begins behind white space, a mark of another script, or a sentence joined to it."""
     a = at
-    while a > begin and not s[a - 1].isspace() and at - a < 40:
+    while a > begin and not s[a - 1].isspace() and s[a - 1] not in _EDGES and at - a < 40:
         a -= 1
+    joined = s.rfind(".", a, at)
+    if joined - a > 1 and s[joined - 2 : joined].isalpha() and s[joined - 2 : joined].islower() and s[joined + 1].isupper():
+        a = joined + 1
     while a < at and not s[a].isalnum():
         a += 1
     return s[a:at]
@@ -217,7 +221,7 @@ def _full_stop(s: str, begin: int, at: int, after: int, end: int) -> float:
     if kind == "low":
         return _lowly(low, joint, previous)
     if len(word) == 1 and word.isupper() and word.isalpha():
-        return 3.0 if previous in _LETTERED else -4.0
+        return 3.0 if previous in _LETTERED and not stopped else -4.0
     if low in _OPEN or joint in _OPEN:
         if kind in ("digit", "name"):
             return 1.0 if low in ("etc", "usw", "κλπ") or joint in ("т.д", "т.п") else -4.0
@@ -244,7 +248,8 @@ def _joined(s: str, begin: int, at: int, after: int, end: int) -> bool:
         return len(word) > 1
     if c.isupper():
         n = s[after + 1 : after + 2]
-        return (len(word) > 1 or word.isdigit()) and not word.isupper() and (n.islower() or n.isspace() or n in "'’" or _script(c) != "latin")
+        initial = n == "." and s[after + 2 : after + 3].isspace() and s[after + 3 : after + 4].isupper()
+        return (len(word) > 1 or word.isdigit()) and not word.isupper() and (initial or n.islower() or n.isspace() or n in "'’" or _script(c) != "latin")
     if c.isalpha() and not c.islower() and not c.isdigit():
         same = _script(s[at - 1]) == _script(c) != "latin" and not s[at - 1].isdigit()
         return same or len(word) > 2 and word.isalpha() and word.islower() and "." not in _before(s, begin, at)

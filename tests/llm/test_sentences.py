@@ -30,6 +30,7 @@ CASES = [
     ("ค่า wal_keep ไม่ต้องเปลี่ยน เราจะลองใหม่ ตัวกรองเหลือ 31 จุด ดัชนีใหม่", ["ค่า wal_keep ไม่ต้องเปลี่ยน", "เราจะลองใหม่", "ตัวกรองเหลือ 31 จุด", "ดัชนีใหม่"]),
     ("# 1.5 Heads. Up\n- wait 5 min. or so\n- stop. Then wait.\n1. one\n2. two\n```\na. B.\n\nc\n```\ntext\nmore. End", ["# 1.5 Heads. Up", "- wait 5 min. or so", "- stop.", "Then wait.", "1. one", "2. two", "```\na. B.\n\nc\n```", "text\nmore.", "End"]),
     ("bot: Ready. user: no\r\n \r\nNext one", ["bot: Ready.", "user: no", "Next one"]),
+    ("（可能。）Est. cost: 5. It is fast.J. R. Hall left.", ["（可能。）", "Est. cost: 5.", "It is fast.", "J. R. Hall left."]),
     ("", []), (" \n\t", []), ("...", ["..."]), ("(a [b “c", ["(a [b “c"]),
 ]
 
