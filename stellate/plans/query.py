@@ -1,7 +1,7 @@
 """The universal query: a tree of requests, each of which becomes a lazy DataFrame of ids and scores.
 
 A request is a mapping: prefetch (a request or several, nested to any depth up to MAX_DEPTH), query, using, filter, params,
-score_threshold, limit, offset, with_payload, with_vectors, lookup_from. Only what a request itself bounds comes to the
+score_threshold, limit (None: all rows), offset, with_payload, with_vectors, lookup_from. Only what a request itself bounds comes to the
 driver: the vectors of ids that it names, the examples of feedback, and the candidates of a diversity reranking.
 """
 
@@ -48,8 +48,11 @@ class Ranked:
         good = (s >= threshold if self.inclusive else s > threshold) if self.larger else (s <= threshold if self.inclusive else s < threshold)
         return Ranked(self.df.where(good), self.larger, self.inclusive, self.by_id)
 
-    def top(self, limit: int, offset: int = 0) -> Ranked:
-        df = self.df.orderBy(*self.order()).limit(limit + offset)
+    def top(self, limit: int | None, offset: int = 0) -> Ranked:
+        if limit is None and not offset:
+            return self
+        df = self.df.orderBy(*self.order())
+        df = df if limit is None else df.limit(limit + offset)
         return Ranked(df.offset(offset) if offset else df, self.larger, self.inclusive, self.by_id)
 
 
@@ -119,8 +122,11 @@ class Query:
             raise ValueError("fusion uses no vector")
         if r.get("score_threshold") is not None and (q is None or kind == "order_by"):
             raise ValueError("a score threshold needs scores")
-        if r.get("limit", LIMIT) < 1 or r.get("offset", 0) < 0:
+        limit = r.get("limit", LIMIT)
+        if limit is not None and limit < 1 or r.get("offset", 0) < 0:
             raise ValueError("limit is 1 at least, offset 0")
+        if limit is None and kind == "nearest" and q.get("mmr") is not None:
+            raise ValueError("a diversity reranking needs a limit")
         if kind == "recommend" and q["recommend"].get("strategy", "average_vector") == "average_vector" and not q["recommend"].get("positive"):
             raise ValueError("an average needs a positive example")
         for x in inner:
@@ -369,8 +375,9 @@ def hydrate(c: Collection, found: DataFrame, request: dict, order: list[Column])
     if not extra:
         return found.orderBy(*order).drop("place")
     wide = c.df.select(F.col(c.id).alias("_id"), *extra)
-    # The chosen rows are no more than the request's limit.
-    return wide.join(F.broadcast(found), F.col("_id") == F.col("id")).drop("_id").orderBy(*order).drop("place").select("id", *[x for x in found.columns if x not in ("id", "place")], *[x for x in wide.columns if x != "_id"])
+    # With a limit the chosen rows are few; without one they may be the whole table.
+    chosen = found if request.get("limit", LIMIT) is None else F.broadcast(found)
+    return wide.join(chosen, F.col("_id") == F.col("id")).drop("_id").orderBy(*order).drop("place").select("id", *[x for x in found.columns if x not in ("id", "place")], *[x for x in wide.columns if x != "_id"])
 
 
 def query(collection: Collection, request: dict, others: dict[str, Collection] | None = None) -> DataFrame:

@@ -82,7 +82,7 @@ for _d in _SIM:
         f"WITH {_E}, s AS (SELECT id, {_SIM[_d].format(a='e.v', b='(SELECT v FROM e WHERE id = 0)')} AS score FROM e WHERE label IN (1, 2, 3) AND id <> 0) SELECT id, round(score, 5) AS score FROM s ORDER BY {_order} LIMIT 10",
     )
 _add("t3_offset", lambda s, d: _rounded(query(embeddings(s, d), {"query": 0, "limit": 5, "offset": 5})), f"WITH {_E}, s AS (SELECT id, {_cos(0)} AS score FROM e WHERE id <> 0) SELECT id, round(score, 5) AS score FROM s ORDER BY score DESC, id DESC LIMIT 5 OFFSET 5")
-_add("t6_score_threshold", lambda s, d: _rounded(query(embeddings(s, d), {"query": 0, "limit": 100_000, "score_threshold": 0.1})), f"WITH {_E} SELECT id, round({_cos(0)}, 5) AS score FROM e WHERE id <> 0 AND {_cos(0)} > 0.1")
+_add("t6_score_threshold", lambda s, d: _rounded(query(embeddings(s, d), {"query": 0, "limit": None, "score_threshold": 0.1})), f"WITH {_E} SELECT id, round({_cos(0)}, 5) AS score FROM e WHERE id <> 0 AND {_cos(0)} > 0.1")
 _add("p4_with_payload", lambda s, d: _rounded(query(embeddings(s, d), {"query": 3, "limit": 7, "with_payload": True})), f"WITH {_E}, s AS (SELECT id, {_cos(3)} AS score, label FROM e WHERE id <> 3) SELECT id, round(score, 5) AS score, label FROM s ORDER BY score DESC, id DESC LIMIT 7")
 QUERIES["r1_with_payload"], ORACLES["r1_with_payload"] = QUERIES.pop("p4_with_payload"), ORACLES.pop("p4_with_payload")
 _add("r2_nearest_batch", lambda s, d: _rounded(batch.nearest_batch(embeddings(s, d), _vectors(embeddings(s, d), list(range(20))), 5)), f"WITH {_E}, q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < 20), s AS (SELECT query_id, id, {_SIM['Cosine'].format(a='e.v', b='qv')} AS score FROM e, q) SELECT query_id, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 5")
@@ -102,7 +102,7 @@ _add("v7_reco_sum_scores", lambda s, d: _rounded(recommend(embeddings(s, d), [1,
 _PAIRS = [{"positive": 1, "negative": 2}, {"positive": 3, "negative": 4}]
 _add("v8_discover", lambda s, d: _rounded(discover(embeddings(s, d), 0, _PAIRS)), _best(f"sign({_cos(1)} - {_cos(2)}) + sign({_cos(3)} - {_cos(4)}) + {_SIG.format(x=_cos(0))}", "0, 1, 2, 3, 4"))
 _far = [f"least({_cos(a)} - {_cos(b)} - 1.1920928955078125e-07, 0)" for a, b in ((1, 2), (3, 4))]
-_add("v9_context", lambda s, d: _rounded(discover(embeddings(s, d), None, _PAIRS, limit=100_000)), f"WITH {_E} SELECT id, round({' + '.join(_FS.format(x=x) for x in _far)}, 5) AS score FROM e WHERE id NOT IN (1, 2, 3, 4)")
+_add("v9_context", lambda s, d: _rounded(discover(embeddings(s, d), None, _PAIRS, limit=None)), f"WITH {_E} SELECT id, round({' + '.join(_FS.format(x=x) for x in _far)}, 5) AS score FROM e WHERE id NOT IN (1, 2, 3, 4)")
 _FEED = {"relevance_feedback": {"target": 0, "feedback": [{"example": 1, "score": 0.9}, {"example": 2, "score": 0.5}, {"example": 3, "score": 0.1}], "strategy": {"naive": {"a": 1.0, "b": 0.5, "c": 0.25}}}}
 _add("v10_relevance_feedback", lambda s, d: _rounded(query(embeddings(s, d), {"query": _FEED})), _best(f"{_cos(0)} + 0.25 * (pow(0.4, 0.5) * ({_cos(1)} - {_cos(2)}) + pow(0.8, 0.5) * ({_cos(1)} - {_cos(3)}) + pow(0.4, 0.5) * ({_cos(2)} - {_cos(3)}))", "0, 1, 2, 3"))
 _add("v19_no_query", lambda s, d: query(embeddings(s, d), {"filter": _LABELS, "limit": 25}), "SELECT vec_id AS id, 1.0::DOUBLE AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY id LIMIT 25")
@@ -273,7 +273,7 @@ _SQ = f"{_SP}, f AS (SELECT id FROM c WHERE t IS NOT NULL AND id % 7 = 0 ORDER B
 
 def _sparse(spark: SparkSession, d: str, idf: bool) -> DataFrame:
     c = points(spark, d, True, idf)
-    return _rounded(query(c, {"query": _sparse_query(c), "using": "text", "limit": 100_000}))
+    return _rounded(query(c, {"query": _sparse_query(c), "using": "text", "limit": None}))
 
 
 _add("v2_sparse_nearest", lambda s, d: _sparse(s, d, False), f"WITH {_SQ} SELECT id, round(sum(weight), 5) AS score FROM w JOIN q USING (dim) GROUP BY id")
@@ -302,7 +302,7 @@ _add("v12_multi_recommend", _multi_reco, f"WITH {_MULTI}, s AS (SELECT id, sum(C
 def _sparse_reco(spark: SparkSession, d: str) -> DataFrame:
     c = points(spark, d, True)
     x = _sparse_query(c)
-    return _rounded(query(c, {"query": {"recommend": {"positive": [x], "negative": [], "strategy": "sum_scores"}}, "using": "text", "limit": 100_000}))
+    return _rounded(query(c, {"query": {"recommend": {"positive": [x], "negative": [], "strategy": "sum_scores"}}, "using": "text", "limit": None}))
 
 
 _add("v11_sparse_recommend", _sparse_reco, f"WITH {_SQ}, s AS (SELECT id, sum(weight) AS score FROM w JOIN q USING (dim) GROUP BY id) SELECT c.id, round(coalesce(score, 0), 5) AS score FROM c LEFT JOIN s USING (id) WHERE t IS NOT NULL")
@@ -330,8 +330,8 @@ def _case(test: str, value: str, other: str) -> str:
 
 
 _TEAL = {"must": [_color]}
-_add("p2_include_payload", lambda s, d: _changed(query(points(s, d), {"limit": 100_000, "with_payload": {"include": ["color", "title"]}})), _state(count="NULL::VARCHAR"))
-_add("p3_exclude_payload", lambda s, d: _changed(query(points(s, d), {"limit": 100_000, "with_payload": {"exclude": ["color"]}})), _state(color="NULL::VARCHAR"))
+_add("p2_include_payload", lambda s, d: _changed(query(points(s, d), {"limit": None, "with_payload": {"include": ["color", "title"]}})), _state(count="NULL::VARCHAR"))
+_add("p3_exclude_payload", lambda s, d: _changed(query(points(s, d), {"limit": None, "with_payload": {"exclude": ["color"]}})), _state(color="NULL::VARCHAR"))
 for _n in ("p2_include_payload", "p3_exclude_payload"):
     QUERIES["payload" + _n[2:]], ORACLES["payload" + _n[2:]] = QUERIES.pop(_n), ORACLES.pop(_n)
 _add("r16_set_payload", lambda s, d: _changed(mutate.set_payload(points(s, d), {"color": None, "count": 5}, filter=_TEAL).df), _state(_case(_colorsql, "NULL", "color"), _case(_colorsql, "'5'", "count")))
