@@ -25,7 +25,6 @@ from ..session import checkpoint
 
 #: Up to so many distinct unmatched rows a side, a key is paired by an exact assignment.
 EXACT_LIMIT = 256
-_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -126,8 +125,11 @@ def _apart(how: Compare, a, b) -> int:
     return int(a != b)
 
 
-def _pairer(fields: list[Compare]):
-    """An UDF from the unmatched rows of a key to pairs of places in that list, -1 where a partner is missing."""
+def _pairer(fields: list[Compare], most: int | None = None):
+    """An UDF from the unmatched rows of a key to pairs of places in that list, -1 where a partner is missing.
+
+    With most, rows that differ in more names aren't paired, and as many as can be are.
+    """
 
     @F.arrow_udf(_PAIRS)
     def pairs(groups: pa.Array) -> pa.Array:
@@ -146,10 +148,12 @@ def _pairer(fields: list[Compare]):
                 for j, b in enumerate(many):
                     if (a, b) not in price:
                         price[a, b] = sum(_apart(f, rows[a][f"f{n}"], rows[b][f"f{n}"]) for n, f in enumerate(fields))
-                    cost[i, j] = price[a, b]
+                    cost[i, j] = price[a, b] if most is None or price[a, b] <= most else 1 + len(few) * (most + 1)
             to = assignment(cost) if few else []
             free = set(range(len(many))) - {int(j) for j in to}
             out = [(few[i], many[int(j)]) for i, j in enumerate(to)] + [(-1, many[j]) for j in sorted(free)]
+            if most is not None:
+                out = [(a, b) for a, b in out if a >= 0 and price[a, b] <= most]
             result.append([{"l": b, "r": a} if flip else {"l": a, "r": b} for a, b in out])
         return pa.array(result, pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))
 
@@ -185,34 +189,91 @@ def _pair_small(rows: DataFrame, fields: list[Compare]) -> DataFrame:
     return pairs.select("key", at("l"), at("r"))
 
 
+def _traits(rest: DataFrame, fields: list[Compare]) -> DataFrame:
+    """Adds what groups are made of: h (a field's hash), m (a vector's mean), e (hashes of all payload entries), x (these in one)."""
+    for n, how in enumerate(fields):
+        c = F.col(f"f{n}")
+        if how.kind == "vector" and how.tolerance > 0:
+            total = F.aggregate(c, F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0)))
+            mean = F.when(F.size(c) > 0, total / F.size(c))
+            rest = rest.withColumns({f"h{n}": F.xxhash64(F.size(c)), f"m{n}": F.when(F.abs(mean) < how.tolerance * 2.0**60, mean)})
+        elif how.kind != "json":
+            rest = rest.withColumn(f"h{n}", F.xxhash64(c))
+    hashed = [F.transform(f"f{n}", lambda y, n=n: F.xxhash64(F.lit(n), y["k"], y["v"])) for n, how in enumerate(fields) if how.kind == "json"]
+    rest = rest.withColumn("e", F.concat(*hashed) if hashed else F.array().cast("array<bigint>"))
+    return rest.withColumn("x", F.aggregate("e", F.lit(0).cast("long"), lambda a, y: a.bitwiseXOR(y)))
+
+
+def _passes(fields: list[Compare]) -> list[tuple[tuple[int, ...], str, int, int | None]]:
+    """(fields left out, how payloads agree, grid or seed, names that may differ) of each pass of _pair_large, the strictest first."""
+    plain, nested = [n for n, how in enumerate(fields) if how.kind != "json"], any(how.kind == "json" for how in fields)
+    grid = {n for n in plain if fields[n].kind == "vector" and fields[n].tolerance > 0}
+    found = []
+    for drop in range(len(plain) + 1):
+        for out in combinations(plain, drop):
+            # Two grids, half a cell apart: what is within the tolerance shares a cell of one of them.
+            for shift in (0, 1) if grid - {*out} else (0,):
+                found += [(out, "all", shift, drop)] + ([(out, "one", shift, drop + 1)] if nested else [])
+    found.sort(key=lambda x: (x[3], x[1], x[0], x[2]))
+    if nested:
+        found += [(tuple(plain), "alike", seed, most) for most in (len(plain) + 1, 2 * len(plain) + 2) for seed in range(3)]
+    return [*found, (tuple(plain), "any", 0, None)]
+
+
 def _pair_large(rows: DataFrame, fields: list[Compare]) -> DataFrame:
-    """As _pair_small, for keys with any number of rows, none of which is brought into one task.
+    """As _pair_small, for keys with any number of rows.
 
-    Rows are paired that agree in all fields but one, then in all but two, and so on; rows that agree are numbered on
-    either side and joined by number. It is a maximal pairing of each level, not always the cheapest of all.
+    Rows are grouped that may differ in no name, then in one, and so on: by fields left out, vectors by a grid, payloads without
+    one of their keys in turn. Groups are cut into parts of at most EXACT_LIMIT rows a side, each with a cheapest assignment of
+    its own. All is compared as _differing does, but the whole isn't always the cheapest of all.
     """
     names = [f"f{n}" for n in range(len(fields))]
-    rest = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("net")))).withColumn("s", F.signum("net").cast("int"))
-    rest = checkpoint(rest.withColumn("rid", F.monotonically_increasing_id()))
+    rest = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("net")))).withColumn("net", F.signum("net").cast("int"))
+    rest = checkpoint(_traits(rest.withColumn("rid", F.monotonically_increasing_id()), fields))
     done = None
-    for drop in range(1, len(fields) + 1):
-        for kept in combinations(names, len(names) - drop):
-            group = F.struct("key", F.xxhash64(F.lit(1), *kept), F.xxhash64(F.lit(2), *kept)).alias("g")
-            at = rest.select("*", group, F.pmod(F.xxhash64("rid"), F.lit(_SALTS)).alias("salt"))
-            before = Window.partitionBy("g", "s").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-            skip = at.groupBy("g", "s", "salt").count().select("g", "s", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
-            place = F.row_number().over(Window.partitionBy("g", "s", "salt").orderBy("rid"))
-            at = at.withColumn("place", place).join(skip, ["g", "s", "salt"]).withColumn("place", F.col("place") + F.col("skip"))
-            row = F.struct("net", *names)
-            left = at.where("s = 1").select("g", "place", "key", row.alias("l"), F.col("rid").alias("rl"))
-            right = at.where("s = -1").select("g", "place", row.alias("r"), F.col("rid").alias("rr"))
-            found = checkpoint(left.join(right, ["g", "place"]).select("key", "l", "r", "rl", "rr"))
+    for out, how, shift, most in _passes(fields):
+        same = []
+        for n, f in enumerate(fields):
+            if f.kind != "json" and n not in out:
+                cell = [F.floor(F.col(f"m{n}") / (4 * f.tolerance) + 0.5 * shift)] if f"m{n}" in rest.columns else []
+                same += [F.col(f"h{n}"), *cell]
+        least = F.coalesce(F.array_min(F.transform("e", lambda y: F.xxhash64(F.lit(shift), y))), F.lit(0))
+        payload = {"all": F.array("x"), "one": F.array_union(F.array("x"), F.transform("e", lambda y: F.col("x").bitwiseXOR(y))), "alike": F.array(least), "any": F.array(F.lit(0).cast("long"))}[how]
+        turn = 0
+        while True:
+            whole = (F.xxhash64(*same) if same else F.lit(0).cast("long")).alias("q")
+            keyed = rest.select("key", "net", "rid", whole, F.explode(payload).alias("p")).select("key", "net", "rid", F.xxhash64("q", "p").alias("g"))
+            both = lambda df: df.groupBy("key", "g").agg(F.count_if(F.col("net") > 0).alias("nl"), F.count_if(F.col("net") < 0).alias("nr")).where("nl > 0 and nr > 0")
+            if how == "one":
+                # A row is in several groups: it takes one of those that have rows of both sides, each turn by another order.
+                open_ = both(keyed).select(F.col("key").alias("k"), F.col("g").alias("o"))
+                keyed = keyed.join(open_, F.col("key").eqNullSafe(F.col("k")) & (F.col("g") == F.col("o")), "left_semi")
+                keyed = keyed.groupBy("rid").agg(F.min_by(F.struct("key", "net", "g"), F.xxhash64(F.lit(turn), "g")).alias("c")).select("rid", "c.*")
+            sizes = both(keyed).select(F.col("key").alias("k"), F.col("g").alias("o"), "nl", "nr")
+            chosen = keyed.join(sizes, F.col("key").eqNullSafe(F.col("k")) & (F.col("g") == F.col("o"))).select("rid", "g", "nl", "nr")
+            at = checkpoint(rest.join(chosen, "rid").withColumn("like", least).withColumn("salt", F.shiftright("like", 57)))
+            if at.isEmpty():
+                break
+            # Places on either side in the order of what payloads have in common, so that like rows come into the same part.
+            before = Window.partitionBy("key", "g", "net").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+            skip = at.groupBy("key", "g", "net", "salt").count().select(F.col("key").alias("k"), F.col("g").alias("o"), F.col("net").alias("w"), F.col("salt").alias("z"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
+            place = F.row_number().over(Window.partitionBy("key", "g", "net", "salt").orderBy("like", "x", *[f"m{n}" for n in range(len(fields)) if f"m{n}" in rest.columns], "rid")) - 1
+            at = at.withColumn("place", place).join(skip, F.col("key").eqNullSafe(F.col("k")) & (F.col("g") == F.col("o")) & (F.col("net") == F.col("w")) & (F.col("salt") == F.col("z")))
+            mine = F.when(F.col("net") > 0, F.col("nl")).otherwise(F.col("nr"))
+            part = F.floor((F.col("place") + F.col("skip")) * F.ceil(F.greatest("nl", "nr") / EXACT_LIMIT) / mine).alias("part")
+            groups = at.groupBy("key", "g", part).agg(F.collect_list(F.struct("net", *names, "rid")).alias("rows"))
+            pairs = groups.withColumn("p", F.explode(_pairer(fields, most)("rows"))).where("p.l >= 0 and p.r >= 0")
+            found = checkpoint(pairs.select("key", F.get("rows", F.col("p.l")).alias("l"), F.get("rows", F.col("p.r")).alias("r")))
+            if found.isEmpty():
+                break
             done = found if done is None else done.unionByName(found)
-            used = found.select(F.explode(F.array("rl", "rr")).alias("rid"))
+            used = found.select(F.explode(F.array("l.rid", "r.rid")).alias("rid"))
             rest = checkpoint(rest.join(used, "rid", "left_anti"))
-    row, none = F.struct("net", *names), F.lit(None)
-    alone = rest.select("key", F.when(F.col("s") == 1, row).alias("l"), F.when(F.col("s") == -1, row).alias("r"))
-    return done.select("key", "l", "r").unionByName(alone)
+            turn += 1
+    row = F.struct("net", *names)
+    alone = rest.select("key", F.when(F.col("net") > 0, row).alias("l"), F.when(F.col("net") < 0, row).alias("r"))
+    bare = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.net"), *[F.col(f"{side}.{n}") for n in names])).alias(side)
+    return alone if done is None else done.select("key", bare("l"), bare("r")).unionByName(alone)
 
 
 def paired_copies(left: DataFrame, right: DataFrame, key: str, fields: list[Compare], version: str | None = None, exact_limit: int = EXACT_LIMIT) -> DataFrame:
