@@ -439,11 +439,9 @@ def clusters(points: DataFrame, params: dict[str, Params], block: int = BLOCK, s
 
     # Parts of a group that no edge has joined: their typical members are searched among each other.
     typical = parts.where(F.col("kind") == _TYPICAL).join(found.select("round", "b", "cluster"), ["round", "b"])
-    typical = typical.groupBy("coll", "cluster").agg(F.max_by("vector", F.struct("w", -F.col("a"))).alias("data"))
-    typical = checkpoint(typical.select("coll", F.array("cluster").alias("ids"), _floats("data").alias("vector")))
-    few = {n: replace(p, top_k=8) for n, p in params.items()}
-    pairs = search_groups(typical, fit(typical.select("coll", F.element_at("ids", 1).alias("id"), "vector"), few), CONFIDENCE).select("id", "near")
-    final = _settled(found.select("cluster").distinct(), pairs)
+    typical = typical.groupBy("coll", "cluster").agg(F.max_by("vector", F.struct("w", -F.col("a"))).alias("data"), F.max("w").alias("w"))
+    typical = checkpoint(typical.select("coll", "cluster", "w", _floats("data").alias("vector")))
+    final = _merged(found.select("cluster").distinct(), typical, params)
 
     where = members.join(found.select("round", "b", "cluster"), ["round", "b"]).join(final, "cluster")
     listed = where.groupBy("coll", F.col("a").alias("rep")).agg(F.min_by("last", "round").alias("last"), F.sum("w").alias("degree"), F.min_by("ids", "round").alias("ids"))
@@ -470,6 +468,32 @@ def _floats(column: str):
     return floats(F.col(column))
 
 
+def _merged(names: DataFrame, heads: DataFrame, params: dict[str, Params], few: int = 8) -> DataFrame:
+    """(cluster, last): clusters joined whose typical members (coll, cluster, w, vector) are similar, under the smallest id.
+
+    A pass finds a few neighbours of each member. Where they may not be all, the heaviest member of each joined cluster is
+    searched again, until no similar pair is left; a cluster whose members' neighbours are all known has none beside those.
+    """
+    bounded = {n: replace(p, top_k=few) for n, p in params.items()}
+    label = names.select("cluster", F.col("cluster").alias("last"))
+    while True:
+        rows = heads.select("coll", F.array("cluster").alias("ids"), "vector")
+        fitted = fit(heads.select("coll", F.col("cluster").alias("id"), "vector"), bounded)
+        pairs = checkpoint(search_groups(rows, fitted, CONFIDENCE).select("id", "near").where("id <> near"))
+        if pairs.isEmpty():
+            return label
+        joined = checkpoint(_settled(heads.select("cluster"), pairs))
+        after = joined.select(F.col("cluster").alias("last"), F.col("last").alias("next"))
+        label = checkpoint(label.join(after, "last", "left").select("cluster", F.coalesce("next", "last").alias("last")))
+        full = pairs.groupBy("id").count().where(F.col("count") >= few).select(F.col("id").alias("cluster"))
+        again = joined.join(full, "cluster", "left_semi").select("last").distinct()
+        best = F.max_by("vector", F.struct("w", -F.col("cluster"))).alias("vector")
+        heads = heads.join(joined, "cluster").join(again, "last", "left_semi").groupBy("coll", "last").agg(F.max("w").alias("w"), best)
+        heads = checkpoint(heads.select("coll", F.col("last").alias("cluster"), "w", "vector"))
+        if heads.isEmpty():
+            return label
+
+
 def _settled(names: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cluster, last): clusters joined by pairs of them, under the smallest id."""
     pairs = checkpoint(pairs.where("id <> near"))
