@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .collection import Collection, Dense, Sparse
 from .functions.text import TextIndex, bm25_embedding, bm25_weights, tokens
-from .operators import aggregate, batch, ivf, mutate, quantize, scroll, sparse
+from .operators import aggregate, batch, ivf, mutate, quantize, recall, scroll, sparse
 from .plans.query import Query, discover, query, recommend
 from .session import table
 from .sources.catalog import newest_versions
@@ -371,7 +371,16 @@ def _compressed(fit: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _add("v23_scalar_quantised", _compressed(lambda c: quantize.Scalar.fit(c.df, "embedding")), _best(_cos(0), "-1"))
-_add("v25_binary_quantised", _compressed(lambda c: quantize.Binary()))
+
+
+def _binary(spark: SparkSession, d: str) -> DataFrame:
+    c = embeddings(spark, d)
+    coded = quantize.encode_column(c, quantize.Binary(), "codes")
+    candidates, _ = recall.bits_needed(coded, "codes")
+    return _rounded(quantize.search(coded, quantize.Binary(), "codes", _vectors(c, [0])[0], 10, (candidates + 0.5) / 10))
+
+
+_add("v25_binary_quantised", _binary)
 _add("v24_product_quantised", _compressed(lambda c: quantize.Product.fit(c.df, "embedding")))
 _add("v26_rotated_quantised", _compressed(lambda c: quantize.Rotated(4)))
 
@@ -379,7 +388,9 @@ _add("v26_rotated_quantised", _compressed(lambda c: quantize.Rotated(4)))
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     c = embeddings(spark, d)
     model = ivf.Cells.fit(c, 16)
-    return _rounded(ivf.search(ivf.index(c, model), model, _vectors(c, [0])[0], 10, 6))
+    indexed = ivf.index(c, model)
+    probes, _ = recall.cells_needed(indexed, model)
+    return _rounded(ivf.search(indexed, model, _vectors(c, [0])[0], 10, probes))
 
 
 _add("v22_approximate_cells", _cells)
