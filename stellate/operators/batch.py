@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..collection import Collection, Dense
 from ..functions import metrics
-from ..session import spread
+from ..session import parallelism, spread
+
+
+#: Queries of a block: what a task holds of them at a time.
+_BLOCK = 1024
 
 
 def nearest_batch(c: Collection, queries: dict[int, list[float]], k: int = 10, using: str = "", filter: dict | None = None) -> DataFrame:
@@ -39,3 +44,43 @@ def nearest_batch(c: Collection, queries: dict[int, list[float]], k: int = 10, u
     order = [F.col("score").desc(), F.col("id").desc()] if larger else [F.col("score"), F.col("id")]
     ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("_n") <= k).drop("_n")
+
+
+def nearest_join(c: Collection, queries: DataFrame, k: int = 10, using: str = "", filter: dict | None = None, block: int = _BLOCK) -> DataFrame:
+    """(query_id, id, score) of any number of queries (query_id, vector), which stay a DataFrame.
+
+    They are dealt in blocks, each of which meets all parts of the points; a meeting sends on its k best alone, which are merged.
+    """
+    target = c.vector(using)
+    assert isinstance(target, Dense)
+    larger = metrics.larger_better(target.distance)
+    spark, kind = c.df.sparkSession, c.df.schema[c.id].dataType.simpleString()
+    name = queries.schema["query_id"].dataType.simpleString()
+    wanted = queries.where(F.size("vector") == target.size)
+    rows = c.where(filter).select(F.col(c.id).alias("id"), F.col(target.column).alias("vector")).where(F.size("vector") == target.size)
+    blocks, parts = max(1, -(-wanted.count() // block)), parallelism(spark)
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = wanted.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), each(parts, "p"), "query_id", none("id", kind), "vector")
+    right = rows.select(each(blocks, "b"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), none("query_id", name), "id", "vector")
+
+    def best(table: pa.Table) -> pa.Table:
+        asked = pc.is_valid(table.column("query_id"))
+        q, x = table.filter(asked), table.filter(pc.invert(asked))
+        (at, m), (place, v) = (metrics.matrix_of(t.column("vector").combine_chunks(), target.size) for t in (q, x))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(m) if len(v) else 0, 64):
+            like = metrics.similarity_matrix(v, m[a : a + 64].astype(np.float64), target.distance)
+            most = min(k, len(v))
+            for n in range(like.shape[1]):
+                # Ties with the last are kept, so that the merge decides them by id.
+                top = np.flatnonzero(like[:, n] >= np.partition(like[:, n], -most)[-most])
+                found.append((np.full(len(top), at[a + n]), place[top], like[top, n]))
+        which, of, s = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        s = s if larger else np.sqrt(np.abs(s)) if target.distance == "Euclid" else np.abs(s)
+        return pa.table({"query_id": q.column("query_id").take(pa.array(which)), "id": x.column("id").take(pa.array(of)), "score": pa.array(s)})
+
+    found = left.unionByName(right).groupBy("b", "p").applyInArrow(best, f"query_id {name}, id {kind}, score double")
+    order = [F.col("score").desc(), F.col("id").desc()] if larger else [F.col("score"), F.col("id")]
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.where(F.col("_n") <= k).drop("_n")
