@@ -13,12 +13,14 @@ numbers, booleans and arrays within an array are no nodes. Lone surrogates in na
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -83,6 +85,25 @@ def record(text: str | None, wire: str | None) -> dict | None:
     return found
 
 
+def _finite(value):
+    """What JSON can't write is null."""
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_finite(v) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+@F.arrow_udf(T.StringType())
+def plain_json(texts: pa.Array, wires: pa.Array) -> pa.Array:
+    """Payloads of any wire format as plain JSON; null of what can't be decoded. Those of rest stay as they are."""
+    out: list[str | None] = []
+    for text, wire in zip(texts.to_pylist(), wires.to_pylist()):
+        found = text if wire == "rest" else record(text, wire)
+        out.append(json.dumps(_finite(found)) if isinstance(found, dict) else found)
+    return pa.array(out, pa.string())
+
+
 class Columns:
     """The leaf columns of a tree; a leaf is the name of a repeated node."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .collection import Collection, Dense, Sparse
 from .functions.text import TextIndex, bm25_embedding, bm25_weights, tokens
 from .operators import aggregate, batch, ivf, mutate, quantize, recall, scroll, sparse
+from .operators.shred import plain_json
 from .plans.query import Query, discover, query, recommend
 from .session import table
 from .sources.catalog import newest_versions
@@ -253,12 +254,16 @@ _filter("f25_slice", {"must": [{"slice": {"total": 4, "index": 1}}]}, None)
 _filter("f28_alternatives", {"must": [_key("price", range={"lt": 5}, match={"value": 79})]}, f"{_some('price', _NUM, _N + ' < 5')} OR {_some('price', _INT, _N + ' = 79')}")
 
 
-def nested(spark: SparkSession, d: str) -> Collection:
-    df = newest_versions(table(spark, d, "nested_points")).where("wire = 'rest'")
+def nested(spark: SparkSession, d: str, every: bool = False) -> Collection:
+    """The current nested points in plain JSON; with every those of all wire formats, decoded."""
+    df = newest_versions(table(spark, d, "nested_points"))
+    df = df.withColumn("payload", plain_json("payload", "wire")) if every else df.where("wire = 'rest'")
     return Collection(df, "id", payload="payload")
 
 
-_add("f26_nested", lambda s, d: nested(s, d).where({"must": [{"nested": {"key": "country.cities", "filter": {"must": [_key("population", range={"gt": 1.0}), _key("sightseeing", values_count={"gte": 2})]}}}]}).select("id"), """WITH n AS (SELECT id, arg_max_null(wire, version) AS wire, arg_max_null(payload, version) AS payload FROM nested_points GROUP BY id),
+_CITIES = {"must": [{"nested": {"key": "country.cities", "filter": {"must": [_key("population", range={"gt": 1.0}), _key("sightseeing", values_count={"gte": 2})]}}}]}
+_add("f26_nested_all", lambda s, d: nested(s, d, True).where(_CITIES).select("id"))
+_add("f26_nested", lambda s, d: nested(s, d).where(_CITIES).select("id"), """WITH n AS (SELECT id, arg_max_null(wire, version) AS wire, arg_max_null(payload, version) AS payload FROM nested_points GROUP BY id),
 c AS (SELECT id, unnest(CASE WHEN json_type(payload, '$.country.cities') = 'ARRAY' THEN json_extract(payload, '$.country.cities[*]') ELSE [] END) AS x FROM n WHERE wire = 'rest' AND json_valid(payload))
 SELECT DISTINCT id FROM c WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.population') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract_string(x, '$.population') AS DOUBLE) > 1 AND json_type(x, '$.sightseeing') = 'ARRAY' AND json_array_length(x, '$.sightseeing') >= 2""")
 _add("f13_typed_columns", lambda s, d: Collection(table(s, d, "lineitem"), "l_orderkey").where({"must": [_key("l_quantity", range={"gte": 30}), _key("l_returnflag", match={"any": ["A", "R"]}), _key("l_shipdate", range={"lt": "1995-01-01"})]}).groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 30 AND l_returnflag IN ('A', 'R') AND l_shipdate < TIMESTAMP '1995-01-01' GROUP BY 1")
