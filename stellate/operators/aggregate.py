@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..collection import Collection
@@ -62,8 +62,8 @@ def query_groups(c: Collection, request: dict, group_by: str, group_size: int =
     return result.orderBy("group_rank", "hit_rank")
 
 
-def matrix_pairs(c: Collection, sample: int = 10, limit: int = 3, using: str = "", filter: dict | None = None, seed: int | None = None, ids: list | None = None) -> DataFrame:
-    """(a, b, score): of a random sample of points (or of the given ids), each with its nearest others in the sample.
+def matrix_pairs(c: Collection, sample: int = 10, limit: int = 3, using: str = "", filter: dict | None = None, seed: int | None = None, ids: list | None = None, draw: Column | None = None) -> DataFrame:
+    """(a, b, score): of a random sample of points (or of the given ids, or those first by draw, a hash of the id), each with its nearest others in the sample.
 
     The sample, bounded by the request, comes to the driver as vectors; each of its rows is compared with all in one pass.
     """
@@ -71,7 +71,7 @@ def matrix_pairs(c: Collection, sample: int = 10, limit: int = 3, using: str = "
         raise ValueError("a matrix has two points at least")
     target = c.vector(using)
     rows = c.where(filter).where(F.col(target.column).isNotNull()).select(F.col(c.id).alias("id"), F.col(target.column).alias("v"))
-    chosen = rows.where(F.col("id").isin(ids)) if ids is not None else rows.orderBy(F.rand(seed)).limit(sample)
+    chosen = rows.where(F.col("id").isin(ids)) if ids is not None else rows.orderBy(*([F.rand(seed)] if draw is None else [draw, "id"])).limit(sample)
     found = sorted(((r[0], r[1]) for r in chosen.collect()), key=lambda x: x[0])
     from ..functions import metrics
 

@@ -175,6 +175,17 @@ _MATRIX = f"""{_E}, n AS (SELECT * FROM e WHERE id < 40), s AS (SELECT a.id AS a
 m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) <= 3)"""
 _add("r12_matrix_pairs", lambda s, d: _rounded(aggregate.matrix_pairs(embeddings(s, d), 40, 3, ids=list(range(40)))), f"WITH {_MATRIX} SELECT a, b, round(score, 5) AS score FROM m")
 _add("r12_matrix_offsets", lambda s, d: _rounded(aggregate.matrix_offsets(aggregate.matrix_pairs(embeddings(s, d), 40, 3, ids=list(range(40))))), f"WITH {_MATRIX}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM (SELECT a AS id FROM m UNION SELECT b FROM m)) SELECT x.n AS row, y.n AS col, round(score, 5) AS score FROM m JOIN i x ON x.id = a JOIN i y ON y.id = b")
+# A sample of all rows by a hash of the id that SQL can say too.
+_DRAWN = "(id % 2147483648) * 1103515245 % 2147483648"
+_SAMPLED = _MATRIX.replace("SELECT * FROM e WHERE id < 40", f"SELECT * FROM e ORDER BY {_DRAWN}, id LIMIT 40")
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.matrix_pairs(embeddings(spark, d), 40, 3, draw=F.expr(_DRAWN))
+
+
+_add("r12_matrix_pairs_sampled", lambda s, d: _rounded(_sampled(s, d)), ORACLES["r12_matrix_pairs"].replace(_MATRIX, _SAMPLED))
+_add("r12_matrix_offsets_sampled", lambda s, d: _rounded(aggregate.matrix_offsets(_sampled(s, d))), ORACLES["r12_matrix_offsets"].replace(_MATRIX, _SAMPLED))
 _add("v20_matrix_sample", lambda s, d: _rounded(aggregate.matrix_pairs(embeddings(s, d), 10, 3, seed=4)))
 
 # Reading -----------------------------------------------------------------------------------------------------------------
