@@ -45,7 +45,10 @@ _OPENERS = frozenset("the a an it its this that these those we you they he she i
 _LETTERED = frozenset("plan option type class group part step vitamin team grade section appendix model variant node point exhibit version column row".split())
 _MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez".split())
 _ARTICLES = frozenset("der die das den dem des am im vom zum zur beim jeder jede jedes jeden ein eine einen einem einer eines seit bis und oder".split())
-_SAID = frozenset("said says asked asks replied answered wrote shouted added explained".split())
+_SAID = re.compile(r"[.,]*(said|says|asked|asks|replied|answered|wrote|shouted|added|explained)[.,]*", re.A | re.I)
+#: What follows up to a Thai letter or the line's end, and in it the first mark that closes a sentence.
+_FOREIGN = re.compile(r"[^฀-๿\n\r]*")
+_CLOSED = re.compile(r".*?[.!?](?=\s|$)", re.S)
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "〔": "〕", "“": "”", "‘": "’", "«": "»", "‹": "›", "„": "“", "‚": "‘", "»": "«", '"': '"', "`": "`", "＂": "＂"}
 _BRACKETS = frozenset("([{（［【〔")
@@ -265,6 +268,7 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
         if not outer or o > outer[-1][1]:
             outer.append((o, c))
     opens = [o for o, _ in outer]
+    words: list[tuple[int, int]] = []  # of the whole block, once they are asked for
     out = []
     skip = begin
     for m in _TERM.finditer(s, begin, end):
@@ -297,7 +301,8 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
             continue
         kind, nxt = _next(s, after, end)
         if opener >= 0:
-            score = _quoted(s, begin, opener, stop, after, kind, nxt, spaced, end)
+            words = words or [w.span() for w in re.compile(r"\S+").finditer(s, begin, end)]
+            score = _quoted(s, begin, opener, stop, after, kind, nxt, spaced, words)
             if score:
                 out.append((stop, *score, opener))
             continue
@@ -331,7 +336,7 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
     return out
 
 
-def _quoted(s: str, begin: int, opener: int, stop: int, after: int, kind: str, nxt: str, spaced: bool, end: int) -> tuple[float, float] | None:
+def _quoted(s: str, begin: int, opener: int, stop: int, after: int, kind: str, nxt: str, spaced: bool, words: list[tuple[int, int]]) -> tuple[float, float] | None:
     """Scores of an end after a quotation or bracket that itself ends with a mark; else and if the span began with it."""
     if kind == "low" or kind == "end":
         return None
@@ -349,8 +354,8 @@ def _quoted(s: str, begin: int, opener: int, stop: int, after: int, kind: str, n
         return (4.0 if lead in ":：,，" else -4.0), -4.0
     if lead in ":：,，،":
         return 4.0, 4.0
-    ahead = s[after : after + 60].split()[:4]
-    if any(x.strip(".,").lower() in _SAID for x in ahead[:3]):
+    first = bisect_right(words, after, key=lambda w: w[1])
+    if any(_SAID.fullmatch(s, max(after, a), b) for a, b in words[first : first + 3]):
         return (3.0 if lead else 1.0), -4.0
     return 3.0, (-2.0 if kind == "none" and _script(s[after]) != "han" else 1.5)
 
@@ -369,9 +374,9 @@ def _thai(s: str, begin: int, at: int, stop: int, end: int) -> list[tuple[int, f
         return []
     if c.isdigit() or kind == "latin":
         # A whole sentence in another language: several words, a capital first, its own mark at the end.
-        run = re.match(r"[^฀-๿\n\r]{0,400}", s[stop:end])[0]
-        closed = re.match(r".*?[.!?](?=\s|$)", run, re.S)
-        if c.isupper() and closed and len(closed[0].split()) >= 3:
+        # No other Thai space lies within, so every run is searched once.
+        closed = _CLOSED.match(_FOREIGN.match(s, stop, end)[0]) if c.isupper() else None
+        if closed and len(closed[0].split()) >= 3:
             return [(at, 4.0, 4.0, -1)]
         return []
     return [(at, 4.0, 4.0, -1)]
