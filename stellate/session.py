@@ -6,6 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key of more rows than this is joined by broadcasting its row of the other side; there are at most rows / HOT such keys.
+HOT = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,9 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where the session names none."""
+    """The shared folder named by the session. Where it names none, a temporary one, but only if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "stellate-checkpoint")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -41,3 +47,10 @@ def spread(scan: DataFrame) -> DataFrame:
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
     return scan.repartition(2 * cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], count: str, hot: int = HOT) -> DataFrame:
+    """An inner join with one row for each key, whose column count says how many rows it has: hot keys stay where they are."""
+    many = F.broadcast(keys.where(F.col(count) > hot))
+    rest = rows.join(many.select(*on), on, "left_anti").join(keys.where(F.col(count) <= hot), on)
+    return rows.join(many, on).unionByName(rest)
