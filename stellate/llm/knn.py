@@ -1,16 +1,20 @@
 """The k best neighbours of every vector, by low-dimensional stable projections indexed by kd-trees.
 
 Vectors are projected by a Gaussian matrix, so that the squared distance of two projections, divided by the true one,
-follows a chi-square law. An upper kd-tree, fitted on a bounded sample, cuts each space into cells; a query goes to
-those cells that can hold a neighbour by that law. In a cell, a kd-tree of the projections gives the candidates leaf by
-leaf, nearest first; candidates are verified on the whole vectors until the chi-square test says that what is left, being
-too far away in the projection, would improve the result with a probability below 1 - confidence.
-
-All rows are indexed and all are queries. Groups of exact copies are searched once. Recall is measured in the tests.
+follows a chi-square law. An upper kd-tree, fitted on a sample, cuts each space into cells of bounded size. In a cell, a
+kd-tree of the projections gives the candidates leaf by leaf, nearest first; candidates are verified on the whole vectors
+until the chi-square test says that what is left, being too far away in the projection, would improve the result with a
+probability below 1 - confidence.
+
+Where a space has several cells, a border may part two neighbours. It is cut by several trees, each of another projection,
+and every row goes to its cell of every tree: 2 + 1.5 log2(cells) copies of a row, whatever thresholds or distances are. No
+row is compared with what lies in other cells, so work grows as n log n. All rows are indexed and all are queries. Groups
+of exact copies are searched once. Recall is measured in the tests.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,73 +26,61 @@ from ..session import checkpoint
 from . import spaces
 from .spaces import Params
 
-#: The probability that a stop leaves out no better neighbour, of the choice of cells and within a cell.
+#: The probability that a stop leaves out no better neighbour within a cell.
 CONFIDENCE = 0.999
-#: Rows sampled of each space to fit its upper tree, at most about so many; rows of a cell that the tree aims at; queries of a task.
-SAMPLE, CELL, BLOCK = 16384, 65536, 65536
+#: Rows of a cell that the trees aim at; rows sampled for each cell to fit them, and for the first ones of a space.
+CELL, SAMPLED, SAMPLE = 131072, 16, 4096
 _LEAF, _BATCH = 256, 256
 
 
+def trees_of(cells: int) -> int:
+    """How many trees cut a space of so many cells."""
+    return 1 if cells < 2 else 2 + math.ceil(1.5 * math.log2(cells))
+
+
+def sampled(rows: int, cell: int) -> float:
+    """The share of rows to sample: none where one cell is enough."""
+    return min(1.0, (SAMPLE + SAMPLED * -(-rows // cell)) / rows) if rows > cell else 0.0
+
+
 @dataclass
 class Cells:
-    """An upper kd-tree over the first dimensions of a projection: the box of each cell, and how to find a row's cell."""
+    """An upper kd-tree over a projection: for each split its dimension, border, and what is on either side (a split, or ~cell)."""
 
-    low: np.ndarray
-    high: np.ndarray
-    dims: tuple[int, ...]
-    splits: list[tuple[int, float, int, int]]  # dimension, border, index of either side: >= 0 a split, else ~cell
+    dim: np.ndarray
+    border: np.ndarray
+    sides: np.ndarray
+    count: int
 
     @staticmethod
     def fit(sample: np.ndarray, cells: int) -> Cells:
-        splits: list[tuple[int, float, int, int]] = []
-        boxes: list[tuple[np.ndarray, np.ndarray]] = []
-        dims: set[int] = set()
-
-        def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> int:
-            if parts < 2 or len(rows) < 8:
-                boxes.append((low, high))
-                return ~(len(boxes) - 1)
-            dim = int(np.argmax(rows.std(axis=0)))
-            border = float(np.median(rows[:, dim]))
+        splits: list[list[float]] = []
+        count = 0
+
+        def grow(rows: np.ndarray, parts: int) -> int:
+            nonlocal count
+            dim = int(np.argmax(rows.std(axis=0))) if parts > 1 and len(rows) > 1 else -1
+            border = float(np.quantile(rows[:, dim], (parts - parts // 2) / parts)) if dim >= 0 else 0.0
             side = rows[:, dim] < border
-            if side.all() or not side.any():
-                boxes.append((low, high))
-                return ~(len(boxes) - 1)
-            dims.add(dim)
+            if dim < 0 or side.all() or not side.any():
+                count += 1
+                return -count
             at = len(splits)
-            splits.append((dim, border, 0, 0))
-            up, down = high.copy(), low.copy()
-            up[dim] = down[dim] = border
-            splits[at] = (dim, border, grow(rows[side], low, up, parts - parts // 2), grow(rows[~side], down, high, parts // 2))
+            splits.append([dim, border, 0, 0])
+            splits[at][2], splits[at][3] = grow(rows[side], parts - parts // 2), grow(rows[~side], parts // 2)
             return at
 
-        width = sample.shape[1]
-        grow(sample.astype(np.float64), np.full(width, -np.inf), np.full(width, np.inf), cells)
-        return Cells(np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes]), tuple(sorted(dims)), splits)
+        grow(sample.astype(np.float64), cells)
+        made = np.array(splits, np.float64).reshape(-1, 4)
+        return Cells(made[:, 0].astype(np.int64), made[:, 1], made[:, 2:].astype(np.int64), count)
 
     def place(self, rows: np.ndarray) -> np.ndarray:
         """The cell of each row."""
-        at = np.zeros(len(rows), np.int64) if self.splits else np.full(len(rows), -1, np.int64)
+        at = np.zeros(len(rows), np.int64) if len(self.dim) else np.full(len(rows), -1, np.int64)
         while (open_ := np.flatnonzero(at >= 0)).size:
-            for node in np.unique(at[open_]):
-                here = open_[at[open_] == node]
-                dim, border, left, right = self.splits[node]
-                at[here] = np.where(rows[here, dim] < border, left, right)
-        return ~at
-
-    def reached(self, rows: np.ndarray, squared: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs: cells that may hold something within the squared distance of a row, by the chi-square test."""
-        if not self.splits:
-            n = np.flatnonzero(squared >= 0)
-            return n, np.zeros(len(n), np.int64)
-        dims = list(self.dims)
-        far = spaces.chi_square_quantile(confidence, len(dims)) * squared
-        found = []
-        for cell in range(len(self.low)):
-            gap = np.maximum(0, np.maximum(self.low[cell][dims] - rows[:, dims], rows[:, dims] - self.high[cell][dims]))
-            hit = np.flatnonzero((np.einsum("ij,ij->i", gap, gap) <= far) & (squared >= 0))
-            found.append((hit, np.full(len(hit), cell, np.int64)))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            node = at[open_]
+            at[open_] = self.sides[node, (rows[open_, self.dim[node]] >= self.border[node]).astype(np.int64)]
+        return -1 - at
 
 
 def width_of(size: int) -> int:
@@ -108,20 +100,27 @@ class Space:
     band: int
     params: Params
     most: float
-    matrix: np.ndarray
-    cells: Cells
-    salts: int
-    first_cell: int
 
     def stored(self, v: np.ndarray) -> np.ndarray:
-        return spaces.stored(v, self.params, self.most) @ self.matrix
+        return spaces.stored(v, self.params, self.most)
 
     def asked(self, v: np.ndarray) -> np.ndarray:
-        return spaces.asked(v, self.params, self.most) @ self.matrix
+        return spaces.asked(v, self.params, self.most)
 
-    def squared(self, score, v: np.ndarray) -> np.ndarray:
+    def may_ask(self, v: np.ndarray) -> np.ndarray:
+        """Whether anything of this band can reach the limit from each vector."""
         lengths = np.linalg.norm(v.astype(np.float64), axis=1)
-        return np.broadcast_to(spaces.squared_reach(np.asarray(score), lengths, self.params, self.most), (len(v),))
+        return np.broadcast_to(spaces.squared_reach(np.asarray(self.params.limit), lengths, self.params, self.most), (len(v),)) >= 0
+
+
+@dataclass
+class Cut:
+    """One tree of a space. salts: how many tasks share the queries of each cell."""
+
+    space: Space
+    matrix: np.ndarray
+    cells: Cells
+    salts: np.ndarray
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
@@ -139,13 +138,14 @@ def by_collection(batch: pa.RecordBatch, params: dict[str, Params]):
             yield name, rows, vectors_of(batch.column("vector").take(pa.array(rows)))
 
 
-def fit(rows: DataFrame, params: dict[str, Params], sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, seed: int = 7) -> list[Space]:
-    """The spaces of rows (coll, id, vector), from the count and greatest length of each band and a sample of it.
+def fit(rows: DataFrame, params: dict[str, Params], cell: int = CELL, seed: int = 7) -> list[Cut]:
+    """The trees of rows (coll, id, vector), from the count and greatest length of each band and a sample of it.
 
-    Rows may be more than those searched later. Of each collection about so many rows are sampled, by a hash of the id.
+    Rows may be more than those searched later. The sample, by a hash of the id, has SAMPLED rows a cell beside the first
+    SAMPLE; the driver thus gets one row of cell / SAMPLED, and the tasks three numbers a cell.
     """
     counts = {r[0]: r[1] for r in rows.select("coll").groupBy("coll").count().collect() if r[0] in params}
-    share = {name: min(1.0, sample / n) if n > cell else 0.0 for name, n in counts.items()}
+    share = {name: sampled(n, cell) for name, n in counts.items()}
     schema = pa.schema([("coll", pa.string()), ("band", pa.int32()), ("n", pa.int64()), ("most", pa.float64()), ("data", pa.binary())])
 
     def measure(batches):
@@ -161,51 +161,58 @@ def fit(rows: DataFrame, params: dict[str, Params], sample: int = SAMPLE, cell:
     measured = rows.select("coll", "vector", u).mapInArrow(measure, "coll string, band int, n long, most double, data binary")
     parts = F.filter(F.collect_list("data"), lambda x: F.length(x) > 0)
     found = measured.groupBy("coll", "band").agg(F.sum("n"), F.max("most"), parts).orderBy("coll", "band").collect()
-    result, cells = [], 0
-    for place, (name, band, n, most, data) in enumerate(found):
-        p = params[name]
-        matrix = projection(p.size + (p.distance == "Dot"), seed + place)
-        drawn = np.frombuffer(b"".join(data), np.float32).reshape(-1, p.size)
-        projected = spaces.stored(drawn, p, most) @ matrix
-        tree = Cells.fit(projected, -(-n // cell))
-        result.append(Space(name, band, p, most, matrix, tree, max(1, -(-counts[name] // block)), cells))
-        cells += len(tree.low)
+    drawn = {(name, band): np.frombuffer(b"".join(data), np.float32).reshape(-1, params[name].size) for name, band, _, _, data in found}
+    result = []
+    for place, (name, band, n, most, _) in enumerate(found):
+        space, cells = Space(name, band, params[name], most), -(-n // cell)
+        every = np.concatenate([v for (other, _), v in drawn.items() if other == name])
+        every = every[space.may_ask(every)] if len(every) else every
+        for tree in range(trees_of(cells)):
+            matrix = projection(params[name].size + (params[name].distance == "Dot"), seed + 1000 * tree + place)
+            made = Cells.fit(space.stored(drawn[name, band]) @ matrix, cells)
+            # Queries of other bands may crowd in a cell: tasks share them, each with the cell's rows.
+            asked = np.bincount(made.place(space.asked(every) @ matrix), minlength=made.count) if len(every) else np.zeros(made.count)
+            result.append(Cut(space, matrix, made, np.maximum(1, np.ceil(asked / max(share[name], 1e-12) / (2 * cell))).astype(np.int64)))
     return result
 
 
-_ROUTED = "space int, cell int, salt int, role tinyint, ids array<long>, vector binary"
+_ROUTED = "cut int, cell int, salt int, role tinyint, ids array<long>, vector binary"
 _DATA, _QUERY = 1, 2
 
 
-def _route(fitted: list[Space], confidence: float):
+def _route(fitted: list[Cut]):
     """Rows to the cells where they are found (in each salt) and to those where they ask (in one); role tells which, or both."""
-    params = {s.coll: s.params for s in fitted}
+    params = {c.space.coll: c.space.params for c in fitted}
+
+    def rows_of(n: int, at, cell, salt, role, ids, place, data):
+        columns = [pa.array(np.full(len(at), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.full(len(at), role, np.int8)), ids.take(pa.array(place[at])), _binary(data[at])]
+        return pa.RecordBatch.from_arrays(columns, names=["cut", "cell", "salt", "role", "ids", "vector"])
 
     def route(batches):
         for batch in batches:
             ids = batch.column("ids")
             first = ids.flatten().to_numpy(zero_copy_only=False)[np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))[:-1]].astype(np.int64)] if len(ids) else None
-            for name, rows, v in by_collection(batch, params):
+            for name, place, v in by_collection(batch, params):
                 data = np.ascontiguousarray(v).view(f"V{4 * v.shape[1]}").ravel()
                 band = spaces.bands(v, params[name])
-                mixed = (first[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-                for n, s in enumerate(fitted):
-                    if s.coll != name:
+                mixed = (first[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+                for n, cut in enumerate(fitted):
+                    if cut.space.coll != name:
                         continue
-                    own = np.flatnonzero(band == s.band)
-                    home = np.full(len(v), -1)
-                    if len(own):
-                        home[own] = s.cells.place(s.stored(v[own]))
-                    row, cell = s.cells.reached(s.asked(v), s.squared(s.params.limit, v), confidence)
-                    both = np.zeros(len(v), bool)
-                    both[row[home[row] == cell]] = True
-                    apart = home[row] != cell
-                    parts = [(own, home[own], np.full(len(own), salt), np.where(both[own] & (mixed[own] % s.salts == salt), _DATA | _QUERY, _DATA)) for salt in range(s.salts)]
-                    parts.append((row[apart], cell[apart], mixed[row[apart]] % s.salts, np.full(apart.sum(), _QUERY)))
-                    for at, cell, salt, role in parts:
+                    own, asks = band == cut.space.band, cut.space.may_ask(v)
+                    home, goes = np.full(len(v), -1), np.full(len(v), -1)
+                    home[own] = cut.cells.place(cut.space.stored(v[own]) @ cut.matrix)
+                    goes[asks] = cut.cells.place(cut.space.asked(v[asks]) @ cut.matrix) if params[name].distance == "Dot" else home[asks]
+                    once = cut.salts[goes] == 1
+                    both = np.flatnonzero(own & asks & (home == goes) & once)
+                    found = np.flatnonzero(own & ~(asks & (home == goes) & once))
+                    ask = np.flatnonzero(asks & ~(own & (home == goes) & once))
+                    times = cut.salts[home[found]]
+                    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    found = np.repeat(found, times)
+                    for at, cell, salt, role in ((both, home[both], np.zeros(len(both), np.int64), _DATA | _QUERY), (found, home[found], copy, _DATA), (ask, goes[ask], mixed[ask] % cut.salts[goes[ask]], _QUERY)):
                         if len(at):
-                            columns = [pa.array(np.full(len(at), n, np.int32)), pa.array((cell + s.first_cell).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(role.astype(np.int8)), ids.take(pa.array(rows[at])), _binary(data[at])]
-                            yield pa.RecordBatch.from_arrays(columns, names=["space", "cell", "salt", "role", "ids", "vector"])
+                            yield rows_of(n, at, cell, salt, role, ids, place, data)
 
     return route
 
@@ -274,14 +281,14 @@ class Best:
         return np.where(full, last, otherwise)
 
 
-def search_cell(s: Space, ids: np.ndarray, data: np.ndarray, multi: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_cell(s: Space, matrix: np.ndarray, ids: np.ndarray, data: np.ndarray, multi: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row of data, score), by their places: the queries' best that reach the limit. A group of copies (multi) may be its own neighbour."""
     p, k = s.params, s.params.top_k + 1
-    rows, places = s.stored(data), s.asked(queries)
+    rows, places = s.stored(data) @ matrix, s.asked(queries) @ matrix
     far = spaces.chi_square_quantile(confidence, rows.shape[1])
     tree = Tree(rows)
     ids, multi = ids[tree.order], multi[tree.order]
-    rows, data = rows[tree.order], data[tree.order].astype(np.float64)
+    rows, data = rows[tree.order], data[tree.order]
     # A product of these with (-2q, 1, |q|^2 - reach) is the squared distance less what a query reaches.
     wide = np.concatenate([rows, np.einsum("ij,ij->i", rows, rows)[:, None], np.ones((len(rows), 1), np.float32)], axis=1)
     order = Tree(places).order
@@ -330,7 +337,7 @@ def _verify(best: Best, query, place, column, ids, data, multi, raw, own, p: Par
     query, place = query[other], place[other]
     for a in range(0, len(query), most):
         i, j = query[a : a + most], place[a : a + most]
-        score = spaces.scores(raw[i], data[j], p)
+        score = spaces.scores(raw[i], data[j].astype(np.float64), p)
         good = spaces.reaches(score, p)
         best.add(i[good], ids[j[good]], j[good], score[good])
 
@@ -338,12 +345,13 @@ def _verify(best: Best, query, place, column, ids, data, multi, raw, own, p: Par
 _FOUND = "coll string, id long, members array<long>, near long, score double"
 
 
-def _search(fitted: list[Space], confidence: float):
+def _search(fitted: list[Cut], confidence: float):
     names = ["coll", "id", "members", "near", "score"]
     schema = pa.schema([("coll", pa.string()), ("id", pa.int64()), ("members", pa.list_(pa.int64())), ("near", pa.int64()), ("score", pa.float64())])
 
     def search(table: pa.Table) -> pa.Table:
-        s = fitted[table.column("space")[0].as_py()]
+        cut = fitted[table.column("cut")[0].as_py()]
+        s = cut.space
         role, v = table.column("role").to_numpy(), unpack(table.column("vector"), s.params.size)
         ids = table.column("ids").combine_chunks()
         length = ids.value_lengths().to_numpy(zero_copy_only=False)
@@ -352,7 +360,7 @@ def _search(fitted: list[Space], confidence: float):
         data, ask = np.flatnonzero(role & _DATA), np.flatnonzero(role & _QUERY)
         if not len(data) or not len(ask):
             return schema.empty_table()
-        query, place, score = search_cell(s, first[data], v[data], length[data] > 1, first[ask], v[ask], confidence)
+        query, place, score = search_cell(s, cut.matrix, first[data], v[data], length[data] > 1, first[ask], v[ask], confidence)
         query, place = ask[query], data[place]
         # Groups of copies give their ids; of these, again, the best.
         times = length[place]
@@ -365,25 +373,27 @@ def _search(fitted: list[Space], confidence: float):
     return search
 
 
-def search_groups(groups: DataFrame, fitted: list[Space], confidence: float = CONFIDENCE) -> DataFrame:
+def search_groups(groups: DataFrame, fitted: list[Cut], confidence: float = CONFIDENCE) -> DataFrame:
     """Of groups of copies (coll, ids, vector) the top_k + 1 best ids of each, itself included if it has several: (coll, id, members, near, score)."""
     if not fitted:
         return groups.sparkSession.createDataFrame([], _FOUND)
-    rows = groups.select("coll", "ids", "vector").mapInArrow(_route(fitted, confidence), _ROUTED)
-    found = rows.groupBy("space", "cell", "salt").applyInArrow(_search(fitted, confidence), _FOUND)
-    return _best(found, {s.coll: s.params for s in fitted}, ["coll", "id"], 1)
+    rows = groups.select("coll", "ids", "vector").mapInArrow(_route(fitted), _ROUTED)
+    found = rows.groupBy("cut", "cell", "salt").applyInArrow(_search(fitted, confidence), _FOUND)
+    return _best(found, {c.space.coll: c.space.params for c in fitted}, ["coll", "id"], 1)
 
 
 def _best(rows: DataFrame, params: dict[str, Params], key: list[str], extra: int) -> DataFrame:
-    """The best top_k + extra of each key; on equal scores the smaller near first."""
+    """The best top_k + extra of each key; on equal scores the smaller near first. What several trees have found counts once."""
     larger, most = F.lit(False), F.lit(0)
     for name, p in params.items():
         most = F.when(F.col("coll") == name, p.top_k + extra).otherwise(most)
         larger = F.when(F.col("coll") == name, p.larger_better).otherwise(larger)
     order = Window.partitionBy(*key).orderBy(F.when(larger, -F.col("score")).otherwise(F.col("score")), "near")
-    ranked = rows.withColumn("_rank", F.row_number().over(order))
+    ranked = rows.withColumn("_rank", F.dense_rank().over(order))
     # A fixed bound beside that of the collection lets ranks be cut before the shuffle.
-    return ranked.where(F.col("_rank") <= max([p.top_k for p in params.values()], default=0) + extra).where(F.col("_rank") <= most).drop("_rank")
+    ranked = ranked.where(F.col("_rank") <= max([p.top_k for p in params.values()], default=0) + extra).where(F.col("_rank") <= most)
+    again = F.lag("near").over(order).eqNullSafe(F.col("near"))
+    return ranked.withColumn("_again", again).where("not _again").drop("_rank", "_again")
 
 
 def neighbours(points: DataFrame, params: dict[str, Params], confidence: float = CONFIDENCE, **options) -> DataFrame:
@@ -401,10 +411,11 @@ def neighbours(points: DataFrame, params: dict[str, Params], confidence: float =
     more = F.size("members") > most + 1
     listed = found.where(~more).select("coll", "id", F.explode("members").alias("member"), "near", "score").where("member <> near")
     result = _best(listed, params, ["coll", "id", "member"], 0)
-    large = found.where(more).drop("members")
+    large = found.where(more)
     if not large.isEmpty():
-        members = spaces.overflow_members(valid, most).withColumnRenamed("rep", "id")
-        result = result.unionByName(_best(large.join(members, ["coll", "id"]).where("member <> near"), params, ["coll", "id", "member"], 0))
+        near = large.groupBy("coll", F.col("id").alias("rep")).agg(F.collect_list(F.struct("near", "score")).alias("all"))
+        members = spaces.overflow_members(valid, most, near).select("coll", F.col("rep").alias("id"), "member", F.inline("all")).where("member <> near")
+        result = result.unionByName(_best(members, params, ["coll", "id", "member"], 0))
     return result.select("coll", F.col("member").alias("id"), "near", "score")
 
 

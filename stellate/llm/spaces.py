@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_counted
+
 #: Bands of the Dot distance: so many for each doubling of a vector's length.
 _BANDS = 2
 
@@ -71,11 +73,12 @@ def _hash():
     return F.struct(F.xxhash64(plain), F.xxhash64(F.lit("second"), plain))
 
 
-def overflow_members(points: DataFrame, most: int) -> DataFrame:
-    """(coll, rep, member) of all members of those groups of exact copies that have more than most + 1; rep is the smallest id."""
+def overflow_members(points: DataFrame, most: int, more: DataFrame) -> DataFrame:
+    """All members of those groups of exact copies that have more than most + 1: (coll, rep, member) and the columns that
+    more has for (coll, rep); rep is the smallest id. A group of any size isn't shuffled to one task."""
     keyed = points.select("coll", _hash().alias("h"), "id")
-    large = keyed.groupBy("coll", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where(f"n > {most + 1}")
-    return keyed.join(large, ["coll", "h"]).select("coll", "rep", F.col("id").alias("member"))
+    large = keyed.groupBy("coll", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where(f"n > {most + 1}").join(more, ["coll", "rep"])
+    return join_counted(keyed, large, ["coll", "h"], "n").withColumnRenamed("id", "member").drop("h", "n")
 
 
 def bands(vectors: np.ndarray, p: Params) -> np.ndarray:
