@@ -4,7 +4,8 @@ A text is cut into blocks at blank lines, headings, list items and code fences.
 end are found by its marks, and by spaces between Thai letters. A semi-Markov dynamic programme then chooses the best
 sequence of whole spans; a span is scored by its length, the word it opens with, the word and mark it closes with, and
 its quotations and brackets, all at once: whether a quotation ends its sentence, for one, depends on where the span
-began. Places that no score of the other kinds could change are settled beforehand, so that the time is near linear.
+began. All weights stand in one table. A place whose evidence outweighs all that spans can differ by otherwise is an end in
+any best sequence, one that can't win is none; only such places are settled beforehand, so that the time is near linear.
 
 Defined results: a null, empty or blank text has no sentences; positions count code points; white space around a
 sentence isn't part of it, and everything else is in exactly one; quotation marks without a partner bind nothing; a
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +52,8 @@ _SAID = re.compile(r"[.,]*(said|says|asked|asks|replied|answered|wrote|shouted|a
 _FOREIGN = re.compile(r"[^฀-๿\n\r]*")
 _CLOSED = re.compile(r".*?[.!?](?=\s|$)", re.S)
 
+_KNOWN = _BOUND | _OPEN | _NUMBERED | _MONTHS
+
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "〔": "〕", "“": "”", "‘": "’", "«": "»", "‹": "›", "„": "“", "‚": "‘", "»": "«", '"': '"', "`": "`", "＂": "＂"}
 _BRACKETS = frozenset("([{（［【〔")
 _MARK = re.compile(r"[()\[\]{}（）［］【】「」『』《》〈〉〔〕“”‘’«»‹›„‚\"`＂]")
@@ -63,8 +67,28 @@ _ITEM = re.compile(r"\s*(?:[-*+•‣◦▪●○·–]|(\d{1,4})[.)]|\(?[a-zA-Z
 _LINE = re.compile(r"[^\r\n  \x0b\x0c\x85]*(?:\r\n|[\r\n  \x0b\x0c\x85]|$)")
 _SPEAKER = re.compile(r"[\w.\-]{1,24}(?: [\w.\-]{1,24})?\s?[:：]\s+")
 _WORD = re.compile(r"[^\s]+")
-#: An end of more than this evidence is one in any best sequence, as the lengths of spans weigh 2 together at most. Spans from this length on weigh alike.
-_SURE, _LONG = 2.0, 2000
+#: What the parts of a span weigh. Closings: how its last word or mark speaks for an end, given the word that opens the next
+#: span; openings: what it begins with; shapes: the span as a whole.
+WEIGHTS = {
+    # Closings by a full stop.
+    "word": 4.0, "unit": 4.0, "bracketed": 4.0, "bare": 1.0, "abbreviation": -6.0, "numbered": -6.0, "initial": -4.0, "lettered": 3.0,
+    "may end": 2.5, "may end, number": -4.0, "list, number": 1.0, "title": 1.0, "place": -1.0, "ordinal": -5.0,
+    "short, small letter": -6.0, "ordinal, small letter": -6.0, "word, small letter": 1.0,
+    # Closings by other marks.
+    "strong": 5.0, "question": 4.0, "question, small letter": 1.0, "question, joined": -6.0, "semicolon": 4.0, "semicolon, small letter": -4.0,
+    "dots, low": -6.0, "dots, name": -1.0, "dots, digit": -1.0, "dots": 2.0, "dots apart": -1.0, "dots, joined": 1.0, "dots, han": 4.0, "dots, within": -6.0,
+    "mixed": 4.0, "mixed, within": -6.0, "space": 4.0,
+    # Closings by a quotation or bracket that ends with a mark of its own.
+    "bracket after a sentence": 3.0, "bracket within one": -2.0, "bracket, joined": -6.0, "announced": 4.0, "quotation": 3.0, "said": 3.0, "said at the start": 1.0, "quotation, joined": -4.0,
+    # Openings: a span that begins with the quotation that ends it.
+    "opens: bracket": 4.0, "opens: joined": -4.0, "opens: announced": 4.0, "opens: said": -4.0, "opens: quotation": 1.5, "opens: no case": -2.0,
+    # Shapes.
+    "one letter": -1.0, "few letters": -0.4, "no word": -1.5, "longest": -0.8,
+}
+#: From so many letters on a span counts as long, and from the last number on all weigh alike.
+_USUAL, _LONG = 400, 2000
+#: An end of less evidence can't win.
+_NEVER = -3.0
 
 
 def _script(c: str) -> str:
@@ -83,7 +107,7 @@ def _script(c: str) -> str:
 def blocks(text: str) -> list[tuple[int, int, int, bool]]:
     """(begin, end, begin of what may be split, whether it may be) of each block."""
     out: list[tuple[int, int, int, bool]] = []
-    begin, inner, fence, at, size, previous = -1, -1, "", 0, len(text), "blank"
+    begin, inner, fence, at, size, previous, last = -1, -1, "", 0, len(text), "blank", ""
 
     def flush(end: int) -> None:
         nonlocal begin
@@ -116,7 +140,6 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
             item = _ITEM.match(line)
             if item and item[1] and previous == "text":
                 # A number in running text is no mark of a list, unless a sentence ends before it.
-                last = text[:at].rstrip()[-1:]
                 if item[1] != "1" and last not in ".!?:：。！？":
                     item = None
                 elif begin >= 0 and not item[0].rstrip().endswith(")") and last not in ".!?:：。！？":
@@ -127,7 +150,7 @@ def blocks(text: str) -> list[tuple[int, int, int, bool]]:
             elif begin < 0:
                 begin = inner = at
                 previous = "text"
-        at = end
+        last, at = body[-1:] or last, end
     if fence:
         out.append((begin, size, size, False))
     else:
@@ -161,53 +184,66 @@ def _pairs(s: str, begin: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _next(s: str, at: int, end: int) -> tuple[str, str]:
-    """The kind of what begins at a place, and the word: low, up, digit, name (like a file's or a setting's), none (without case), end."""
-    while at < end and not (s[at].isalnum() or s[at] in "<$#@"):
-        at += 1
-    if at >= end:
-        return "end", ""
-    m = _WORD.match(s, at, end)
-    word = m[0]
+_BEGIN = re.compile(r"[^\W_]|[<$#@]")
+_PARTS = re.compile(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{0,2}")
+
+
+@lru_cache(maxsize=1 << 16)
+def _kind(word: str) -> tuple[str, str]:
+    """The kind of a word, and its core: low, up, digit, name (like a file's or a setting's), none (without case)."""
     core = word.rstrip(".,;:!?…)]}»”’\"'。，！？")
     c = word[0]
     if c.isdigit():
         return "digit", core
     if c.islower():
-        odd = any(x.isdigit() or x in "_./\\@=" or x.isupper() for x in core[1:]) and not re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{0,2}", core + ("." if word[len(core) : len(core) + 1] == "." else ""))
+        odd = any(x.isdigit() or x in "_./\\@=" or x.isupper() for x in core[1:]) and not _PARTS.fullmatch(core + ("." if word[len(core) : len(core) + 1] == "." else ""))
         return ("name" if odd else "low"), core
-    if c.isupper():
-        return "up", core
-    return "none", core
+    return ("up" if c.isupper() else "none"), core
+
+
+def _next(s: str, at: int, end: int) -> tuple[str, str]:
+    """The kind of the word that begins at or behind a place, and the word; end if there is none."""
+    if at < end and s[at].isalnum():
+        return _kind(_WORD.match(s, at, end)[0])
+    m = _BEGIN.search(s, at, end)
+    return _kind(_WORD.match(s, m.start(), end)[0]) if m else ("end", "")
+
+
+_TAIL = re.compile(rf"[^\s{re.escape(''.join(sorted(_EDGES)))}]*\Z")
 
 
 def _before(s: str, begin: int, at: int) -> str:
     """The word that ends at a place; it begins behind white space, a mark of another script, or a sentence joined to it."""
-    a = at
-    while a > begin and not s[a - 1].isspace() and s[a - 1] not in _EDGES and at - a < 40:
-        a -= 1
-    joined = s.rfind(".", a, at)
-    if joined - a > 1 and s[joined - 2 : joined].isalpha() and s[joined - 2 : joined].islower() and s[joined + 1].isupper():
-        a = joined + 1
-    while a < at and not s[a].isalnum():
-        a += 1
-    return s[a:at]
+    word = s[max(begin, at - 40) : at].rpartition(" ")[2]
+    if word.isalnum():
+        return word
+    word = _TAIL.search(word)[0]
+    joined = word.rfind(".")
+    if joined > 1 and word[joined - 2 : joined].isalpha() and word[joined - 2 : joined].islower() and word[joined + 1 : joined + 2].isupper():
+        word = word[joined + 1 :]
+    first = _BEGINS.search(word)
+    return word[first.start() :] if first else ""
+
+
+_BEGINS = re.compile(r"[^\W_]")
 
 
-def _lowly(low: str, joint: str, previous: str) -> float:
+def _lowly(low: str, joint: str, previous: str) -> str:
     """As _full_stop, before a small letter: the end of a sentence only after an ordinary word or number."""
     if low in _OPEN or joint in _OPEN or low in _NUMBERED or len(low) < 3 and low.isalpha() or "." in low.strip(".") and not low[:1].isdigit() and len(low) < 8:
-        return -6.0
+        return "short, small letter"
     if low[:1].isdigit():
-        return -6.0 if previous in _ARTICLES or len(low) < 2 else 1.0
-    return 1.0
+        return "ordinal, small letter" if previous in _ARTICLES or len(low) < 2 else "word, small letter"
+    return "word, small letter"
 
 
-def _full_stop(s: str, begin: int, at: int, after: int, end: int) -> float:
-    """The evidence that the full stop at a place ends a sentence; after: where the next word begins."""
+def _full_stop(s: str, begin: int, at: int, after: int, end: int) -> str:
+    """How the full stop at a place closes a sentence; after: where the next word begins."""
     word = _before(s, begin, at)
     kind, nxt = _next(s, after, end)
     low = word.lower()
+    if kind == "up" and len(word) > 4 and low == word and word.isascii() and word.isalpha() and low not in _KNOWN:
+        return "word"
     a = at - len(word)
     while a > begin and s[a - 1].isspace():
         a -= 1
@@ -216,35 +252,39 @@ def _full_stop(s: str, begin: int, at: int, after: int, end: int) -> float:
     joint = f"{previous}.{low}" if stopped else ""
     ahead = f"{low}.{nxt.lower().rstrip('.')}"
     if low == "ms" and previous[:1].isdigit():
-        return 4.0
+        return "unit"
     if low in _BOUND or joint in _BOUND or ahead in _BOUND or ahead in _OPEN and len(nxt) <= 3:
-        return -6.0
+        return "abbreviation"
     if low in _NUMBERED and kind == "digit" and not (previous[:1].isdigit() and len(low) == 1):
-        return -6.0
+        return "numbered"
     if kind == "low":
         return _lowly(low, joint, previous)
     if len(word) == 1 and word.isupper() and word.isalpha():
-        return 3.0 if previous in _LETTERED and not stopped else -4.0
+        return "lettered" if previous in _LETTERED and not stopped else "initial"
     if low in _OPEN or joint in _OPEN:
+        listed, titled = low in ("etc", "usw", "κλπ") or joint in ("т.д", "т.п"), low in ("uu", "inc", "co", "ltd", "corp", "jr", "sr")
         if kind in ("digit", "name"):
-            return 1.0 if low in ("etc", "usw", "κλπ") or joint in ("т.д", "т.п") else -4.0
-        if low in ("u.s", "e.u", "u.k", "u.n", "uu", "inc", "co", "ltd", "corp", "jr", "sr") and nxt.lower() not in _OPENERS:
-            return 1.0 if low in ("uu", "inc", "co", "ltd", "corp", "jr", "sr") else -1.0
-        return 2.5
+            return "list, number" if listed else "may end, number"
+        if (titled or low in ("u.s", "e.u", "u.k", "u.n")) and nxt.lower() not in _OPENERS:
+            return "title" if titled else "place"
+        return "may end"
     if word.isdigit() or re.fullmatch(r"\d{1,2}\.\d{1,2}", word):
         if nxt.lower() in _MONTHS or word.isdigit() and len(word) <= 2 and previous in _ARTICLES and kind == "up":
-            return -5.0
+            return "ordinal"
     if not word:
-        return 4.0 if a < at else 1.0
-    return 4.0
+        return "bracketed" if a < at else "bare"
+    return "word"
 
 
 def _joined(s: str, begin: int, at: int, after: int, end: int) -> bool:
     """Whether a full stop without a space behind it may end a sentence: a word's or number's, before a capital or in a script without case."""
+    c = s[after]
+    if not (c.isupper() or c in "¿¡«„“\"（「" or c.isalpha() and not c.islower()):
+        return False
     a = at
     while a > begin and (s[a - 1].isalnum() or s[a - 1] in "_-"):
         a -= 1
-    word, c = s[a:at], s[after]
+    word = s[a:at]
     if not word:
         return at > begin and s[at - 1] in _CLOSERS and (c.isupper() or c in "¿¡«„“\"（「")
     if c in "¿¡«„“「（":
@@ -260,14 +300,17 @@ def _joined(s: str, begin: int, at: int, after: int, end: int) -> bool:
 
 
 def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, int]]:
-    """(end of a span, score if it is one, and if it began with the quotation that ends here, where that opens or -1)."""
+    """(end of a span, weight of its closing, and if the span began with the quotation that ends here, where that opens or -1)."""
     pairs = _pairs(s, begin, end)
-    by_close = dict((c, o) for o, c in pairs)
-    outer: list[tuple[int, int]] = []
+    closing = {c for _, c in pairs}
+    outer: list[tuple[int, int, int]] = []  # opening mark, closing mark, end of what is said between them
     for o, c in sorted(pairs):
         if not outer or o > outer[-1][1]:
-            outer.append((o, c))
-    opens = [o for o, _ in outer]
+            inner = c
+            while inner > o and (s[inner - 1].isspace() or s[inner - 1] in _CLOSERS):
+                inner -= 1
+            outer.append((o, c, inner))
+    opens = [o for o, _, _ in outer]
     words: list[tuple[int, int]] = []  # of the whole block, once they are asked for
     out = []
     skip = begin
@@ -276,7 +319,7 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
         if at < skip:
             continue
         mark = m[0]
-        inside = bisect_right(opens, at) - 1
+        inside = bisect_right(opens, at) - 1 if opens else -1
         within = outer[inside] if inside >= 0 and outer[inside][1] > at else None
         if mark.isspace():
             if within is None:
@@ -285,11 +328,11 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
         opener = -1
         if within is not None:
             # Only at the very end of the outermost quotation can a sentence end; what follows decides.
-            if s[stop : within[1]].strip() and any(not x.isspace() and x not in _CLOSERS for x in s[stop : within[1]]):
+            if stop < within[2]:
                 continue
             opener, stop = within[0], within[1] + 1
             skip = stop
-        while stop < end and s[stop] in _CLOSERS and stop not in by_close and s[stop] not in "\"'":
+        while stop < end and s[stop] in _CLOSERS and stop not in closing and s[stop] not in "\"'":
             stop += 1
         after = stop
         while after < end and s[after].isspace():
@@ -297,67 +340,76 @@ def _candidates(s: str, begin: int, end: int) -> list[tuple[int, float, float, i
         if after >= end:
             continue
         spaced = after > stop
-        if opener >= 0 and s[after] in f".!?{_STRONG}" + ",;:，、；：،":
-            continue
-        kind, nxt = _next(s, after, end)
         if opener >= 0:
-            words = words or [w.span() for w in re.compile(r"\S+").finditer(s, begin, end)]
-            score = _quoted(s, begin, opener, stop, after, kind, nxt, spaced, words)
+            if s[after] in f".!?{_STRONG}" + ",;:、，；：،":
+                continue
+            words = words or [w.span() for w in _WORD.finditer(s, begin, end)]
+            score = _quoted(s, begin, opener, stop, after, *_next(s, after, end), spaced, words)
             if score:
-                out.append((stop, *score, opener))
+                out.append((stop, WEIGHTS[score[0]], WEIGHTS[score[1]], opener))
             continue
-        c = mark[-1]
-        if mark in (";", ";"):
-            if at == begin or _script(s[at - 1]) != "greek" or not spaced and not s[after].isupper():
-                continue
-            score = 4.0 if kind != "low" else -4.0
-        elif c in _STRONG:
-            score = 5.0
-        elif c == "…" or len(mark) > 1 and set(mark) == {"."}:
-            if not spaced:
-                score = 4.0 if c == "…" and at > begin and _script(s[at - 1]) == "han" else 1.0 if s[after].isupper() and s[after + 1 : after + 2].islower() else -6.0
-            else:
-                score = {"low": -6.0, "name": -1.0, "digit": -1.0, "up": 2.0}.get(kind, 2.0)
-                if at > begin and s[at - 1].isspace():
-                    score -= 1.0
-        elif c in "!?":
-            if not spaced:
-                score = 4.0 if _script(s[after]) in ("han", "thai") or s[after] in "“「『（《¿¡«„" or s[after].isupper() or kind == "none" and _script(s[after]) != "latin" else -6.0
-            else:
-                score = 1.0 if kind == "low" else 4.0
-        elif mark == ".":
-            if not spaced and not _joined(s, begin, at, after, end):
-                continue
-            score = _full_stop(s, begin, at, after, end)
-        else:
-            score = 4.0 if spaced and kind != "low" else -6.0
-        if score > -3.0:
-            out.append((stop, score, score, -1))
+        closed = _closed(s, begin, at, mark, after, spaced, end)
+        if closed:
+            score = WEIGHTS[closed]
+            if closed.startswith("dots") and spaced and at > begin and s[at - 1].isspace():
+                score += WEIGHTS["dots apart"]
+            if score > _NEVER:
+                out.append((stop, score, score, -1))
     return out
 
 
-def _quoted(s: str, begin: int, opener: int, stop: int, after: int, kind: str, nxt: str, spaced: bool, words: list[tuple[int, int]]) -> tuple[float, float] | None:
-    """Scores of an end after a quotation or bracket that itself ends with a mark; else and if the span began with it."""
+def _closed(s: str, begin: int, at: int, mark: str, after: int, spaced: bool, end: int) -> str | None:
+    """How a mark outside of quotations closes a sentence, given what opens the next; None if it can't."""
+    c = mark[-1]
+    if mark == ".":
+        return _full_stop(s, begin, at, after, end) if spaced or _joined(s, begin, at, after, end) else None
+    if c in ";;":
+        if at == begin or _script(s[at - 1]) != "greek" or not spaced and not s[after].isupper():
+            return None
+        return "semicolon" if _next(s, after, end)[0] != "low" else "semicolon, small letter"
+    if c in _STRONG:
+        return "strong"
+    if c == "…" or len(mark) > 1 and set(mark) == {"."}:
+        if spaced:
+            kind = _next(s, after, end)[0]
+            return f"dots, {kind}" if kind in ("low", "name", "digit") else "dots"
+        if c == "…" and at > begin and _script(s[at - 1]) == "han":
+            return "dots, han"
+        return "dots, joined" if s[after].isupper() and s[after + 1 : after + 2].islower() else "dots, within"
+    if c in "!?":
+        kind = _next(s, after, end)[0]
+        if spaced:
+            return "question, small letter" if kind == "low" else "question"
+        good = _script(s[after]) in ("han", "thai") or s[after] in "“「『（《¿¡«„" or s[after].isupper() or kind == "none" and _script(s[after]) != "latin"
+        return "question" if good else "question, joined"
+    return "mixed" if spaced and _next(s, after, end)[0] != "low" else "mixed, within"
+
+
+def _quoted(s: str, begin: int, opener: int, stop: int, after: int, kind: str, nxt: str, spaced: bool, words: list[tuple[int, int]]) -> tuple[str, str] | None:
+    """How a quotation or bracket that itself ends with a mark closes a span; else and if the span began with it."""
     if kind == "low" or kind == "end":
         return None
     if s[after] in "—–-" and spaced:
         return None
-    lead = s[begin:opener].rstrip()[-1:]
+    a = opener
+    while a > begin and s[a - 1].isspace():
+        a -= 1
+    lead = s[a - 1 : a] if a > begin else ""
     if s[opener] in _BRACKETS:
         if spaced:
-            return (-2.0 if lead not in f".!?…{_STRONG}" else 3.0), 4.0
-        return (3.0 if lead in _STRONG else -6.0), 4.0
+            return ("bracket after a sentence" if lead in f".!?…{_STRONG}" else "bracket within one"), "opens: bracket"
+        return ("bracket after a sentence" if lead in _STRONG else "bracket, joined"), "opens: bracket"
     if not spaced and kind != "up":
         # A particle or a verb of saying goes on, unless the quotation was announced.
         if s[after] in "とってでがをはにのもやなかだ、라고하는며은는이가을를도":
             return None
-        return (4.0 if lead in ":：,，" else -4.0), -4.0
+        return ("announced" if lead in ":：,，" else "quotation, joined"), "opens: joined"
     if lead in ":：,，،":
-        return 4.0, 4.0
+        return "announced", "opens: announced"
     first = bisect_right(words, after, key=lambda w: w[1])
     if any(_SAID.fullmatch(s, max(after, a), b) for a, b in words[first : first + 3]):
-        return (3.0 if lead else 1.0), -4.0
-    return 3.0, (-2.0 if kind == "none" and _script(s[after]) != "han" else 1.5)
+        return ("said" if lead else "said at the start"), "opens: said"
+    return "quotation", ("opens: no case" if kind == "none" and _script(s[after]) != "han" else "opens: quotation")
 
 
 def _thai(s: str, begin: int, at: int, stop: int, end: int) -> list[tuple[int, float, float, int]]:
@@ -369,7 +421,7 @@ def _thai(s: str, begin: int, at: int, stop: int, end: int) -> list[tuple[int, f
         c = s[stop + 1]
     kind = _script(c)
     if kind == "thai":
-        return [(at, 4.0, 4.0, -1)]
+        return [(at, WEIGHTS["space"], WEIGHTS["space"], -1)]
     if not c.isalnum():
         return []
     if c.isdigit() or kind == "latin":
@@ -377,14 +429,15 @@ def _thai(s: str, begin: int, at: int, stop: int, end: int) -> list[tuple[int, f
         # No other Thai space lies within, so every run is searched once.
         closed = _CLOSED.match(_FOREIGN.match(s, stop, end)[0]) if c.isupper() else None
         if closed and len(closed[0].split()) >= 3:
-            return [(at, 4.0, 4.0, -1)]
+            return [(at, WEIGHTS["space"], WEIGHTS["space"], -1)]
         return []
-    return [(at, 4.0, 4.0, -1)]
+    return [(at, WEIGHTS["space"], WEIGHTS["space"], -1)]
 
 
-def _length(size: int) -> float:
-    """Very short and very long spans are a little less likely."""
-    return -1.0 if size < 2 else -0.4 if size < 4 else 0.0 if size < 400 else -min(0.8, (size - 400) / 2000)
+def _shape(size: int, word: bool) -> float:
+    """What a span weighs as a whole: very short and very long ones are less likely, and those without a word."""
+    length = WEIGHTS["one letter"] if size < 2 else WEIGHTS["few letters"] if size < 4 else 0.0 if size < _USUAL else max(WEIGHTS["longest"], WEIGHTS["longest"] * (size - _USUAL) / (_LONG - _USUAL))
+    return length if word else length + WEIGHTS["no word"]
 
 
 def spans(text: str | None) -> list[tuple[int, int]]:
@@ -402,41 +455,56 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+_SPACE, _LETTER = re.compile(r"\s*"), re.compile(r"[^\W\d_]")
+
+
 def _choose(s: str, begin: int, inner: int, end: int) -> list[int]:
-    """The ends of spans in a block, but for the last, by dynamic programming over whole spans."""
+    """The ends of spans in a block, but for the last, by dynamic programming over whole spans.
+
+    A span weighs what its closing does, given how it opens: a closing quotation weighs otherwise where the span began with
+    it. To this comes its shape. Where it begins is thus decided together with where it ends.
+    """
     places = _candidates(s, inner, end)
     if not places:
         return []
     ends = [begin, *[p[0] for p in places], end]
     size = len(ends)
-    best, back = [0.0] + [float("-inf")] * (size - 1), [0] * size
+    word = [m.start() if (m := _LETTER.search(s, a, end)) else end for a in ends]  # where the first letter behind each end is
     label = _SPEAKER.match(s, inner, end)
+    heads = [-1] * size  # where a span begins with the quotation that ends here
+    more = [0.0] * size  # what a closing quotation could weigh more if no span began at an end
+    for j in range(1, size - 1):
+        plain, opening, opener = places[j - 1][1:]
+        if opener >= 0:
+            head = bisect_right(ends, opener, 0, j) - 1
+            start = ends[head] if head else min(label.end(), opener) if label else inner
+            if _SPACE.match(s, start, opener).end() == opener:
+                heads[j] = head
+                more[head] = max(more[head], max(0.0, plain) - max(0.0, opening))
+    # The least that the shortest span, or any longer one, between two neighbouring ends can weigh.
+    least = [0.0, *[min(_shape(ends[j] - ends[j - 1], word[j - 1] < ends[j]), WEIGHTS["longest"]) for j in range(1, size)], 0.0]
+    sure = [min(p[1], p[2]) > more[j] - least[j] - least[j + 1] for j, p in enumerate(places, 1)]
+    if all(sure):
+        return ends[1:-1]  # no other sequence can weigh more
+    best, back = [0.0] + [float("-inf")] * (size - 1), [0] * size
     firm = 0  # the last place at which every best sequence has an end
-    near, far = 0, -1  # spans from before near are so long that they differ no more by length; far is the best of their begins
+    near, far = 0, -1  # spans from before near are so long that they differ no more by shape; far is the best of their begins
     for j in range(1, size):
-        plain, opening, opener = (places[j - 1][1], places[j - 1][2], places[j - 1][3]) if j < size - 1 else (0.0, 0.0, -1)
+        plain, opening = places[j - 1][1:3] if j < size - 1 else (0.0, 0.0)
         while near < j and ends[j] - ends[near] >= _LONG:
             if far < 0 or best[near] > best[far]:
                 far = near
             near += 1
-        begins = [*range(max(near, firm), j)]
+        begins, head = [*range(max(near, firm), j)], heads[j]
         if far >= firm:
             begins.append(far)
-        head = -1  # where a span begins with the quotation that ends here
-        if opener >= 0:
-            head = bisect_right(ends, opener, 0, j) - 1
-            lead = s[(ends[head] if head else inner) : opener].strip()
-            if head == 0 and label:
-                lead = s[min(label.end(), opener) : opener].strip()
-            if lead or head < firm:
-                head = -1
-            else:
-                begins.append(head)
+        if head >= firm:
+            begins.append(head)
         for i in begins:
-            score = best[i] + _length(ends[j] - ends[i]) + (opening if i == head else plain)
+            score = best[i] + _shape(ends[j] - ends[i], word[i] < ends[j]) + (opening if i == head else plain)
             if score > best[j]:
                 best[j], back[j] = score, i
-        if j < size - 1 and min(plain, opening) > _SURE:
+        if j < size - 1 and sure[j - 1]:
             firm, near, far = j, j, -1
     cuts = []
     j = back[size - 1]

@@ -38,3 +38,22 @@ def test_linear_in_length():
 
     took(100)
     assert took(8000) < 16 * max(took(2000), 0.02)
+
+
+@pytest.mark.parametrize("part, head", [("7. one item\n", ""), ("say this. ", '"'), ('"Go!" He ran. ', ""), ("(a) b. ", "("), ("he wrote text\n12. ", "")])
+def test_lists_and_quotations_take_linear_time(part, head):
+    def took(n):
+        text = head + part * n + ('"' if head == '"' else ")" if head else "")
+        began = time.process_time()
+        sentences.spans(text)
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 6 * max(took(10_000), 0.03)
+
+
+def test_a_span_is_weighed_as_a_whole():
+    """Where a span begins decides whether the quotation that closes it ends it, and a piece without a word is no sentence."""
+    assert cut('Look. "Is it?" asked Anna. Go.') == ["Look.", '"Is it?" asked Anna.', "Go."]
+    assert cut('She said: "Is it?" Anna left.') == ['She said: "Is it?"', "Anna left."]
+    assert cut("It took 5 min. 30 sec. Then it ended.") == ["It took 5 min. 30 sec.", "Then it ended."]
