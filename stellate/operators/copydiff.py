@@ -1,7 +1,12 @@
 """Differences between two copies of a table, field by field.
 
 Identical rows cancel by multiplicity. What is left of a key on both sides is paired so that the paired
-rows differ in as few fields as possible in all (a minimum-cost assignment); the rest is missing on one side.
+rows differ in as few names (fields, or keys of a payload) as possible in all: a minimum-cost assignment. A pair that
+differs in nothing, as vectors within the tolerance do, cancels too. The rest is missing on one side.
+
+A key of up to EXACT_LIMIT unmatched rows a side is paired by one assignment. Beyond, no matrix of all pairs fits in a task:
+rows are dealt to parts in which like ones meet, each part is paired by an assignment of the same costs, and the pairs are
+dealt out and assigned again in other ways, ROUNDS times. Each round leaves the total cost as it is or lowers it.
 
 Defined results: a key of null is a key like any other; fields that are null on both sides are equal;
 repeated rows count as often as they occur; an empty table makes every row of the other one missing; columns
@@ -12,7 +17,6 @@ a JSON object is compared as text, under the field's own name.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,8 @@ from pyspark.sql import types as T
 from ..functions.canonical_json import top_level
 from ..session import checkpoint
 
-#: Up to so many distinct unmatched rows a side, a key is paired by an exact assignment.
-EXACT_LIMIT = 256
+#: Up to so many unmatched rows a side, a key is paired by one assignment; larger ones in so many rounds.
+EXACT_LIMIT, ROUNDS = 1024, 8
 
 
 @dataclass(frozen=True)
@@ -81,12 +85,20 @@ def _differing(how: Compare, left: Column, right: Column) -> Column:
 def assignment(cost: np.ndarray) -> np.ndarray:
     """For each row of a cost matrix with no more rows than columns, the column of a cheapest assignment.
 
-    Shortest augmenting paths with dual prices, a row at a time.
+    Shortest augmenting paths with dual prices, a row at a time, from a start where rows that have a cheapest column to
+    themselves take it.
     """
     rows, columns = cost.shape
-    row_price, column_price = np.zeros(rows), np.zeros(columns)
+    row_price, column_price = cost.min(axis=1) if columns else np.zeros(rows), np.zeros(columns)
     owner = np.full(columns, -1)
+    open_rows = []
     for start in range(rows):
+        free = np.flatnonzero((cost[start] == row_price[start]) & (owner < 0))
+        if len(free):
+            owner[free[0]] = start
+        else:
+            open_rows.append(start)
+    for start in open_rows:
         reach = np.full(columns, np.inf)
         via = np.full(columns, -1)
         done = np.zeros(columns, bool)
@@ -115,21 +127,47 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _apart(how: Compare, a, b) -> int:
-    """In how many names two canonical values of a field differ; as _differing, for the assignment."""
-    if how.kind == "json":
-        x, y = {(e["k"], e["v"]) for e in a}, {(e["k"], e["v"]) for e in b}
-        return len({k for k, _ in x ^ y})
-    if how.kind == "vector" and a is not None and b is not None and len(a) == len(b):
-        return int(any((p is None) != (q is None) or p is not None and not (p == q or p != p and q != q or abs(p - q) <= how.tolerance) for p, q in zip(a, b)))
-    return int(a != b)
-
+def _costs(fields: list[Compare], rows: list[dict], left: list[int], right: list[int]) -> np.ndarray:
+    """In how many names each left row differs from each right one; as _differing. Values are coded as numbers."""
+    total = np.zeros((len(left), len(right)), np.int32)
 
-def _pairer(fields: list[Compare], most: int | None = None):
-    """An UDF from the unmatched rows of a key to pairs of places in that list, -1 where a partner is missing.
+    def unequal(values: list) -> np.ndarray:
+        code: dict = {}
+        made = np.array([code.setdefault(v, len(code)) for v in values], np.int64)
+        return made[left][:, None] != made[right][None]
 
-    With most, rows that differ in more names aren't paired, and as many as can be are.
-    """
+    for n, how in enumerate(fields):
+        values = [r[f"f{n}"] for r in rows]
+        if how.kind == "json":
+            entries = [{e["k"]: e["v"] for e in v or ()} for v in values]
+            for key in {k for e in entries for k in e}:
+                total += unequal([(e[key],) if key in e else None for e in entries])
+            continue
+        apart = unequal([_plain(v) for v in values])
+        if how.kind == "vector" and how.tolerance > 0:
+            for size in {len(v) for v in values if v}:
+                here = lambda side: np.array([i for i, r in enumerate(side) if values[r] and len(values[r]) == size and None not in values[r]], np.int64)
+                a, b = here(left), here(right)
+                if len(a) and len(b):
+                    y = np.array([values[right[i]] for i in b])
+                    for i in a:
+                        x = np.array(values[left[i]])
+                        with np.errstate(invalid="ignore"):
+                            same = (x == y) | (np.abs(x - y) <= how.tolerance) | np.isnan(x) & np.isnan(y)
+                        apart[i, b[same.all(axis=1)]] = False
+        total += apart
+    return total
+
+
+def _plain(value):
+    """A value that can be a key."""
+    if isinstance(value, dict):
+        return tuple((k, _plain(v)) for k, v in value.items())
+    return tuple(map(_plain, value)) if isinstance(value, list) else "nan" if isinstance(value, float) and value != value else value
+
+
+def _pairer(fields: list[Compare]):
+    """An UDF from the unmatched rows of a key to pairs of places in that list, -1 where a partner is missing."""
 
     @F.arrow_udf(_PAIRS)
     def pairs(groups: pa.Array) -> pa.Array:
@@ -138,23 +176,18 @@ def _pairer(fields: list[Compare], most: int | None = None):
             if rows is None:
                 result.append(None)
                 continue
-            left = [i for i, x in enumerate(rows) for _ in range(max(0, x["net"]))]
-            right = [i for i, x in enumerate(rows) for _ in range(max(0, -x["net"]))]
-            flip = len(left) > len(right)
-            few, many = (right, left) if flip else (left, right)
-            price: dict[tuple[int, int], int] = {}
-            cost = np.zeros((len(few), len(many)))
-            for i, a in enumerate(few):
-                for j, b in enumerate(many):
-                    if (a, b) not in price:
-                        price[a, b] = sum(_apart(f, rows[a][f"f{n}"], rows[b][f"f{n}"]) for n, f in enumerate(fields))
-                    cost[i, j] = price[a, b] if most is None or price[a, b] <= most else 1 + len(few) * (most + 1)
-            to = assignment(cost) if few else []
-            free = set(range(len(many))) - {int(j) for j in to}
-            out = [(few[i], many[int(j)]) for i, j in enumerate(to)] + [(-1, many[j]) for j in sorted(free)]
-            if most is not None:
-                out = [(a, b) for a, b in out if a >= 0 and price[a, b] <= most]
-            result.append([{"l": b, "r": a} if flip else {"l": a, "r": b} for a, b in out])
+            left, right = ([i for i, x in enumerate(rows) if sign * x["net"] > 0] for sign in (1, -1))
+            cost = _costs(fields, rows, left, right)
+            # Rows that occur several times stand for as many.
+            few, many = (np.repeat(np.arange(len(side)), [abs(rows[i]["net"]) for i in side]) for side in (left, right))
+            flip = len(few) > len(many)
+            cost = cost[np.ix_(few, many)]
+            to = assignment((cost.T if flip else cost).astype(float)) if len(few) and len(many) else np.empty(0, np.int64)
+            at = np.arange(len(to))
+            l, r = (to, at) if flip else (at, to)
+            out = [(left[few[i]], right[many[j]]) for i, j in zip(l, r)]
+            out += [(left[few[i]], -1) for i in np.setdiff1d(np.arange(len(few)), l)] + [(-1, right[many[j]]) for j in np.setdiff1d(np.arange(len(many)), r)]
+            result.append([{"l": i, "r": j} for i, j in out])
         return pa.array(result, pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))
 
     return pairs
@@ -189,95 +222,76 @@ def _pair_small(rows: DataFrame, fields: list[Compare]) -> DataFrame:
     return pairs.select("key", at("l"), at("r"))
 
 
-def _traits(rest: DataFrame, fields: list[Compare]) -> DataFrame:
-    """Adds what groups are made of: h (a field's hash), m (a vector's mean), e (hashes of all payload entries), x (these in one)."""
+def _signs(fields: list[Compare], row: str, turn: int) -> Column:
+    """Hashes of all that a row has, one for each name; a vector's is that of its place on a grid, which moves with the turn."""
+    parts = []
     for n, how in enumerate(fields):
-        c = F.col(f"f{n}")
-        if how.kind == "vector" and how.tolerance > 0:
-            total = F.aggregate(c, F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0)))
-            mean = F.when(F.size(c) > 0, total / F.size(c))
-            rest = rest.withColumns({f"h{n}": F.xxhash64(F.size(c)), f"m{n}": F.when(F.abs(mean) < how.tolerance * 2.0**60, mean)})
-        elif how.kind != "json":
-            rest = rest.withColumn(f"h{n}", F.xxhash64(c))
-    hashed = [F.transform(f"f{n}", lambda y, n=n: F.xxhash64(F.lit(n), y["k"], y["v"])) for n, how in enumerate(fields) if how.kind == "json"]
-    rest = rest.withColumn("e", F.concat(*hashed) if hashed else F.array().cast("array<bigint>"))
-    return rest.withColumn("x", F.aggregate("e", F.lit(0).cast("long"), lambda a, y: a.bitwiseXOR(y)))
-
-
-def _passes(fields: list[Compare]) -> list[tuple[tuple[int, ...], str, int, int | None]]:
-    """(fields left out, how payloads agree, grid or seed, names that may differ) of each pass of _pair_large, the strictest first."""
-    plain, nested = [n for n, how in enumerate(fields) if how.kind != "json"], any(how.kind == "json" for how in fields)
-    grid = {n for n in plain if fields[n].kind == "vector" and fields[n].tolerance > 0}
-    found = []
-    for drop in range(len(plain) + 1):
-        for out in combinations(plain, drop):
-            # Two grids, half a cell apart: what is within the tolerance shares a cell of one of them.
-            for shift in (0, 1) if grid - {*out} else (0,):
-                found += [(out, "all", shift, drop)] + ([(out, "one", shift, drop + 1)] if nested else [])
-    found.sort(key=lambda x: (x[3], x[1], x[0], x[2]))
-    if nested:
-        found += [(tuple(plain), "alike", seed, most) for most in (len(plain) + 1, 2 * len(plain) + 2) for seed in range(3)]
-    return [*found, (tuple(plain), "any", 0, None)]
-
-
-def _pair_large(rows: DataFrame, fields: list[Compare]) -> DataFrame:
-    """As _pair_small, for keys with any number of rows.
-
-    Rows are grouped that may differ in no name, then in one, and so on: by fields left out, vectors by a grid, payloads without
-    one of their keys in turn. Groups are cut into parts of at most EXACT_LIMIT rows a side, each with a cheapest assignment of
-    its own. All is compared as _differing does, but the whole isn't always the cheapest of all.
+        c = F.col(f"{row}.f{n}")
+        if how.kind == "json":
+            parts.append(F.transform(F.coalesce(c, F.array().cast(_ENTRIES)), lambda y, n=n: F.xxhash64(F.lit(n), y["k"], y["v"])))
+        elif how.kind == "vector" and how.tolerance > 0:
+            mean = F.aggregate(c, F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0))) / F.size(c)
+            cell = F.when(F.abs(mean) < how.tolerance * 2.0**60, F.floor(mean / (4 * how.tolerance) + 0.5 * (turn % 2)))
+            parts.append(F.array(F.xxhash64(F.lit(n), F.size(c), cell)))
+        else:
+            parts.append(F.array(F.xxhash64(F.lit(n), c)))
+    return F.concat(*parts)
+
+
+def _pair_large(rows: DataFrame, fields: list[Compare], limit: int, rounds: int = ROUNDS) -> DataFrame:
+    """As _pair_small, for keys with any number of rows, in parts of about limit rows a side at most.
+
+    In a round, rows and pairs are put in the order of the least of their hashes under the round's seed, by which rows come
+    together as likely as they are alike, and are cut into parts of as many of either side as all have. After the rounds,
+    what is left on both sides of a key is paired in further ones.
     """
     names = [f"f{n}" for n in range(len(fields))]
-    rest = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("net")))).withColumn("net", F.signum("net").cast("int"))
-    rest = checkpoint(_traits(rest.withColumn("rid", F.monotonically_increasing_id()), fields))
-    done = None
-    for out, how, shift, most in _passes(fields):
-        same = []
-        for n, f in enumerate(fields):
-            if f.kind != "json" and n not in out:
-                cell = [F.floor(F.col(f"m{n}") / (4 * f.tolerance) + 0.5 * shift)] if f"m{n}" in rest.columns else []
-                same += [F.col(f"h{n}"), *cell]
-        least = F.coalesce(F.array_min(F.transform("e", lambda y: F.xxhash64(F.lit(shift), y))), F.lit(0))
-        payload = {"all": F.array("x"), "one": F.array_union(F.array("x"), F.transform("e", lambda y: F.col("x").bitwiseXOR(y))), "alike": F.array(least), "any": F.array(F.lit(0).cast("long"))}[how]
-        turn = 0
-        while True:
-            whole = (F.xxhash64(*same) if same else F.lit(0).cast("long")).alias("q")
-            keyed = rest.select("key", "net", "rid", whole, F.explode(payload).alias("p")).select("key", "net", "rid", F.xxhash64("q", "p").alias("g"))
-            both = lambda df: df.groupBy("key", "g").agg(F.count_if(F.col("net") > 0).alias("nl"), F.count_if(F.col("net") < 0).alias("nr")).where("nl > 0 and nr > 0")
-            if how == "one":
-                # A row is in several groups: it takes one of those that have rows of both sides, each turn by another order.
-                open_ = both(keyed).select(F.col("key").alias("k"), F.col("g").alias("o"))
-                keyed = keyed.join(open_, F.col("key").eqNullSafe(F.col("k")) & (F.col("g") == F.col("o")), "left_semi")
-                keyed = keyed.groupBy("rid").agg(F.min_by(F.struct("key", "net", "g"), F.xxhash64(F.lit(turn), "g")).alias("c")).select("rid", "c.*")
-            sizes = both(keyed).select(F.col("key").alias("k"), F.col("g").alias("o"), "nl", "nr")
-            chosen = keyed.join(sizes, F.col("key").eqNullSafe(F.col("k")) & (F.col("g") == F.col("o"))).select("rid", "g", "nl", "nr")
-            at = checkpoint(rest.join(chosen, "rid").withColumn("like", least).withColumn("salt", F.shiftright("like", 57)))
-            if at.isEmpty():
-                break
-            # Places on either side in the order of what payloads have in common, so that like rows come into the same part.
-            before = Window.partitionBy("key", "g", "net").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-            skip = at.groupBy("key", "g", "net", "salt").count().select(F.col("key").alias("k"), F.col("g").alias("o"), F.col("net").alias("w"), F.col("salt").alias("z"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
-            place = F.row_number().over(Window.partitionBy("key", "g", "net", "salt").orderBy("like", "x", *[f"m{n}" for n in range(len(fields)) if f"m{n}" in rest.columns], "rid")) - 1
-            at = at.withColumn("place", place).join(skip, F.col("key").eqNullSafe(F.col("k")) & (F.col("g") == F.col("o")) & (F.col("net") == F.col("w")) & (F.col("salt") == F.col("z")))
-            mine = F.when(F.col("net") > 0, F.col("nl")).otherwise(F.col("nr"))
-            part = F.floor((F.col("place") + F.col("skip")) * F.ceil(F.greatest("nl", "nr") / EXACT_LIMIT) / mine).alias("part")
-            groups = at.groupBy("key", "g", part).agg(F.collect_list(F.struct("net", *names, "rid")).alias("rows"))
-            pairs = groups.withColumn("p", F.explode(_pairer(fields, most)("rows"))).where("p.l >= 0 and p.r >= 0")
-            found = checkpoint(pairs.select("key", F.get("rows", F.col("p.l")).alias("l"), F.get("rows", F.col("p.r")).alias("r")))
-            if found.isEmpty():
+    row = F.struct(*names)
+    units = rows.select("key", "net", row.alias("row"), F.explode(F.sequence(F.lit(1), F.abs("net"))))
+    units = checkpoint(units.select("key", F.when(F.col("net") > 0, F.col("row")).alias("l"), F.when(F.col("net") < 0, F.col("row")).alias("r")))
+    turn = 0
+    while True:
+        side = F.when(F.col("l").isNull(), 2).when(F.col("r").isNull(), 1).otherwise(0).alias("side")
+        # A pair goes by one of its rows, in turns.
+        by = {s: F.array_min(F.transform(_signs(fields, s, turn), lambda y: F.xxhash64(F.lit(turn), y))) for s in "lr"}
+        order = ("lr", "rl")[turn // 2 % 2]
+        like = F.when(F.col(order[0]).isNotNull(), by[order[0]]).otherwise(by[order[1]])
+        placed = units.withColumns({"side": side, "like": like, "mixed": F.xxhash64(F.lit(turn), "l", "r")}).withColumn("salt", F.shiftright("like", 54))
+        if turn >= rounds:
+            left = placed.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b")).where("a > 0 and b > 0")
+            if left.isEmpty():
                 break
-            done = found if done is None else done.unionByName(found)
-            used = found.select(F.explode(F.array("l.rid", "r.rid")).alias("rid"))
-            rest = checkpoint(rest.join(used, "rid", "left_anti"))
-            turn += 1
-    row = F.struct("net", *names)
-    alone = rest.select("key", F.when(F.col("net") > 0, row).alias("l"), F.when(F.col("net") < 0, row).alias("r"))
-    bare = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.net"), *[F.col(f"{side}.{n}") for n in names])).alias(side)
-    return alone if done is None else done.select("key", bare("l"), bare("r")).unionByName(alone)
+            placed = placed.withColumn("like", F.when(F.col("side") > 0, F.col("mixed")).otherwise(F.col("like"))).withColumn("salt", F.shiftright("like", 54))
+        # The place of a row among those of its kind: what comes before in other salts, and in its own.
+        counts = checkpoint(placed.groupBy("key", "side", "salt").count())
+        before = Window.partitionBy("key", "side").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        kinds = counts.groupBy("key").agg(*[F.sum(F.when(F.col("side") == n, F.col("count")).otherwise(0)).alias(f"n{n}") for n in range(3)])
+        skip = counts.select("key", "side", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
+        skip = _same(skip, kinds, ["key"]).withColumn("parts", F.ceil((F.col("n0") + F.greatest("n1", "n2")) / limit))
+        place = F.row_number().over(Window.partitionBy("key", "side", "salt").orderBy("like", "mixed")) - 1
+        dealt = _same(placed.withColumn("place", place), skip, ["key", "side", "salt"])
+        mine = F.when(F.col("side") == 0, F.col("n0")).when(F.col("side") == 1, F.col("n1")).otherwise(F.col("n2"))
+        part = F.floor((F.col("place") + F.col("skip")) * F.col("parts") / mine).alias("part")
+        rows_of = F.filter(F.array(*[F.struct(F.lit(net).alias("net"), *[F.col(f"{s}.{n}").alias(n) for n in names], F.col(s).isNotNull().alias("there")) for net, s in ((1, "l"), (-1, "r"))]), lambda x: x["there"])
+        groups = dealt.groupBy("key", part).agg(F.flatten(F.collect_list(rows_of)).alias("rows"))
+        paired = groups.withColumn("p", F.explode(_pairer(fields)("rows")))
+        at = lambda s: F.when(F.col(f"p.{s}") >= 0, F.struct(*[F.get("rows", F.col(f"p.{s}"))[n].alias(n) for n in names])).alias(s)
+        units = checkpoint(paired.select("key", at("l"), at("r")))
+        turn += 1
+    return units
+
+
+def _same(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join where a key of null is a key."""
+    b = b.select(*[F.col(n).alias(f"_{n}") for n in on], *[n for n in b.columns if n not in on])
+    match = F.lit(True)
+    for n in on:
+        match = match & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    return a.join(b, match).drop(*[f"_{n}" for n in on])
 
 
 def paired_copies(left: DataFrame, right: DataFrame, key: str, fields: list[Compare], version: str | None = None, exact_limit: int = EXACT_LIMIT) -> DataFrame:
-    """One row for each row that isn't in both copies, or pair of such rows of a key: (key, side, fields).
+    """One row for each row that isn't in both copies, or pair of such rows of a key that differ: (key, side, fields).
 
     side is 'both', 'left' or 'right'; fields names what differs in a pair. With version, only the row of a key's
     highest version counts, of which each side has one at most.
@@ -290,12 +304,14 @@ def paired_copies(left: DataFrame, right: DataFrame, key: str, fields: list[Comp
         size = rows.groupBy("key").agg((F.greatest(F.sum(F.when(F.col("net") > 0, F.col("net")).otherwise(0)), -F.sum(F.when(F.col("net") < 0, F.col("net")).otherwise(0))) > exact_limit).alias("large"))
         large = size.where("large").select(F.col("key").alias("hot"))
         few = rows.join(large, F.col("key").eqNullSafe(F.col("hot")), "left_anti")
-        pairs = _pair_small(few, fields)
+        pairs = _pair_small(few, fields).select("key", *[F.when(F.col(s).isNotNull(), F.struct(*[F.col(f"{s}.f{n}") for n in range(len(fields))])).alias(s) for s in "lr"])
         if not large.isEmpty():
-            pairs = pairs.unionByName(_pair_large(rows.join(large, F.col("key").eqNullSafe(F.col("hot")), "left_semi"), fields))
+            pairs = pairs.unionByName(_pair_large(rows.join(large, F.col("key").eqNullSafe(F.col("hot")), "left_semi"), fields, max(exact_limit, 2)))
     names = F.concat(*[_differing(f, F.col(f"l.f{n}"), F.col(f"r.f{n}")) for n, f in enumerate(fields)])
     side = F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").otherwise("both")
-    return pairs.select(F.col("key").alias(key), side.alias("side"), F.when(side == "both", names).alias("fields"))
+    found = pairs.select(F.col("key").alias(key), side.alias("side"), F.when(side == "both", names).alias("fields"))
+    # What differs in nothing cancels.
+    return found.where((F.col("side") != "both") | (F.size("fields") > 0))
 
 
 def diff_copies(left: DataFrame, right: DataFrame, key: str, fields: list[Compare], version: str | None = None, only: tuple[str, str] = ("only_left", "only_right")) -> DataFrame:

@@ -1,14 +1,17 @@
 import itertools
+import os
 import random
 from decimal import Decimal
 
 import numpy as np
 import pytest
+from compare import DATA
 from hypothesis import given
 from hypothesis import strategies as st
 
 from stellate.functions.canonical_json import normal_number, top_level
 from stellate.operators.copydiff import Compare, assignment, diff_copies, paired_copies
+from stellate.pipeline_queries import p1_row_pairs
 
 SCHEMA = "id long, vector array<float>, sparse struct<indices:array<long>,values:array<float>>, payload string, version long, key string, f0 string"
 FIELDS = [Compare("vector", "vector", 1e-5), Compare("sparse", "sparse"), Compare("payload", "json")]
@@ -92,3 +95,36 @@ def test_pairs_against_brute_force(spark):
         best = min((sum(price(f, m) for f, m in zip(few, p)) for p in itertools.permutations(many, len(few))), default=0)
         assert got.get((key, "both"), (0, 0)) == (len(few), best)
         assert got.get((key, "left"), (0, 0))[0] == max(0, len(x) - len(y)) and got.get((key, "right"), (0, 0))[0] == max(0, len(y) - len(x))
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no tables here")
+def test_row_pairs_of_all_keys_against_brute_force(spark):
+    """p1_row_pairs over its whole tables: as many differing names as in the cheapest of all pairings of each id."""
+    got = {r["id"]: (r["pairs"], r["only_points"], r["only_replica"], r["differing_fields"]) for r in p1_row_pairs(spark, DATA).collect()}
+    sides = [{}, {}]
+    for side, name in zip(sides, ("points", "points_replica")):
+        for r in spark.read.parquet(f"{DATA}/{name}.parquet").select("id", "vector", "sparse_text", "payload").collect():
+            sparse = None if r[2] is None else tuple(sorted(set(zip(r[2]["indices"], r[2]["values"]))))
+            found = top_level(r[3])
+            side.setdefault(r[0], []).append((None if r[1] is None else tuple(r[1]), sparse, tuple([(None, r[3])] if found is None else found)))
+
+    def price(x, y):
+        close = x[0] == y[0] or x[0] is not None and y[0] is not None and len(x[0]) == len(y[0]) and all(abs(p - q) <= 1e-5 for p, q in zip(x[0], y[0]))
+        return (not close) + (x[1] != y[1]) + len({k for k, _ in set(x[2]) ^ set(y[2])})
+
+    expected = {}
+    for key in {*sides[0], *sides[1]}:
+        x, y = list(sides[0].get(key, [])), list(sides[1].get(key, []))
+        for r in list(x):
+            if r in y:
+                x.remove(r)
+                y.remove(r)
+        few, many = sorted((x, y), key=len)
+        assert len(many) < 9
+        options = [[price(f, m) for f, m in zip(few, p)] for p in itertools.permutations(many, len(few))]
+        best = min(options, key=sum)
+        row = (sum(c > 0 for c in best), max(0, len(x) - len(y)), max(0, len(y) - len(x)), sum(best))
+        if any(row):
+            expected[key] = row
+    assert {k: (v[1], v[2], v[3]) for k, v in got.items()} == {k: (v[1], v[2], v[3]) for k, v in expected.items()}
+    assert all(v[0] > 0 for v in got.values() if v[3] > 0)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from stellate.operators.copydiff import Compare, paired_copies
 
 FIELDS = [Compare("vector", "vector", 1e-5), Compare("sparse", "sparse"), Compare("payload", "json")]
@@ -30,4 +32,24 @@ def test_vectors_apart_by_float_noise(spark):
     left = [(1, x, None, '{"a":1}') for x in v] + [(1, None, None, '{"b":1}')]
     right = [(1, [y + rng.uniform(-2e-6, 2e-6) for y in x], None, '{"a":1}') for x in v]
     rng.shuffle(right)
-    assert cost(spark, left, right) == (300, 0, 1)
+    assert cost(spark, left, right) == (0, 0, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_parts_cost_little_more_than_one_assignment(spark, seed):
+    """One key of 120 rows a side without counterparts, the hardest to pair: once in one assignment, once in parts of 24 rows."""
+    rng = random.Random(seed)
+    make = lambda: (1, [float(rng.randint(0, 2))] * 4, None, str({k: rng.randint(0, 2) for k in "abcd"}).replace("'", '"'))
+    left, right = [make() for _ in range(120)], [make() for _ in range(120)]
+    tables = [spark.createDataFrame(x, SCHEMA) for x in (left, right)]
+    costs = [sum(len(p["fields"] or ()) for p in paired_copies(*tables, "id", FIELDS, exact_limit=n).collect()) for n in (1024, 24)]
+    assert costs[0] <= costs[1] <= 1.15 * costs[0], costs
+
+
+def test_unequal_sides(spark):
+    rng = random.Random(9)
+    left = [(None, None, None, '{"a":%d}' % rng.randint(0, 50)) for _ in range(40)]
+    right = [(None, None, None, '{"b":%d}' % rng.randint(0, 50)) for _ in range(250)]
+    tables = [spark.createDataFrame(x, SCHEMA) for x in (left, right)]
+    sides = [p["side"] for p in paired_copies(*tables, "id", FIELDS, exact_limit=30).collect()]
+    assert (sides.count("both"), sides.count("left"), sides.count("right")) == (40, 0, 210)
