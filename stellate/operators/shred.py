@@ -3,11 +3,14 @@
 A record is shredded into columns, one for each leaf path of a declared tree, with a repetition level (at which
 repeated ancestor the path goes on) and a definition level (how much of the path is there) for each value. The table of
 every repeated ancestor is made again from these level sequences alone: counting repetition levels gives positions,
-comparing definition levels tells which nodes there are.
+comparing definition levels tells which nodes there are and which of their leaves. Only columns of the tables asked for
+are shredded; shred makes all tables in one pass.
 
 Defined results: a record that is null, cut off, no JSON object or lacks the root gives no rows. A single value in place
 of an array is its element 0; a null element holds its position without being a node; a string is a node of that name;
-numbers, booleans and arrays within an array are no nodes. Lone surrogates in names become '?'.
+numbers, booleans and arrays within an array are no nodes. Lone surrogates in names become '?'. A leaf that is absent, null
+or of another type than declared is null. What a node has beyond its name, leaves of their type and children that are all
+nodes stands in rest, as JSON, so that assemble gives back every node as it was; rest of a string is null.
 """
 
 from __future__ import annotations
@@ -23,14 +26,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@dataclass(frozen=True)
+class Leaf:
+    """A value of a node: its column, its keys from the node on, its type: string or double."""
+
+    name: str
+    path: tuple[str, ...]
+    kind: str = "string"
+
+    def fits(self, value) -> bool:
+        if self.kind == "string":
+            return isinstance(value, str)
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and abs(value) < 2**53
+
+
 @dataclass(frozen=True)
 class Repeated:
-    """A repeated node: its key in the parent, the letter of its positions, its table, its children."""
+    """A repeated node: its key in the parent, the letter of its positions, its table, its children, its leaves, the key of its name."""
 
     key: str
     letter: str
     table: str
     children: tuple[Repeated, ...] = ()
+    leaves: tuple[Leaf, ...] = ()
+    label: str = "name"
 
 
 #: The two spellings of a dynamically typed value's kinds, and what they hold.
@@ -104,62 +123,128 @@ def plain_json(texts: pa.Array, wires: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _found(value, path: tuple[str, ...]) -> tuple[int, object]:
+    """How many keys of a path lead to a value that isn't null, and the last one."""
+    for n, key in enumerate(path):
+        value = value.get(key) if isinstance(value, dict) else None
+        if value is None:
+            return n, None
+    return len(path), value
+
+
+def _rest(item: dict, node: Repeated) -> str:
+    """JSON of what the columns of a node and its children don't hold."""
+    rest = {}
+    children = {c.key for c in node.children}
+    for key, value in item.items():
+        if key == node.label and isinstance(value, str) and value:
+            continue
+        if key in children and isinstance(value, list) and value and all(isinstance(x, (dict, str)) for x in value):
+            continue
+        leaves = [x for x in node.leaves if x.path[0] == key]
+        if leaves:
+            value = _without(value, [(x.path[1:], x) for x in leaves])
+            if value is _HELD:
+                continue
+        rest[key] = value
+    return json.dumps(_finite(rest))
+
+
+_HELD = object()
+
+
+def _without(value, leaves: list[tuple[tuple[str, ...], Leaf]]):
+    """A value without those of the leaves that fit; _HELD if nothing is left."""
+    if any(not path and leaf.fits(value) for path, leaf in leaves):
+        return _HELD
+    if not isinstance(value, dict) or not value:
+        return value
+    left = {}
+    for k, x in value.items():
+        below = [(path[1:], leaf) for path, leaf in leaves if path and path[0] == k]
+        x = _without(x, below) if below else x
+        if x is not _HELD:
+            left[k] = x
+    return left or _HELD
+
+
 class Columns:
-    """The leaf columns of a tree; a leaf is the name of a repeated node."""
+    """The columns of a tree: for each repeated node wanted its name, rest and leaves, each with a definition level.
 
-    def __init__(self, root: Repeated):
-        self.leaves: list[tuple[Repeated, ...]] = []
+    A node and its leaves repeat alike, so they share the repetition levels.
+    """
 
-        def add(path: tuple[Repeated, ...]) -> None:
-            self.leaves.append(path)
-            for child in path[-1].children:
-                add((*path, child))
+    def __init__(self, root: Repeated, only: set[str] | None = None, leaves: bool = True):
+        self.paths: list[tuple[Repeated, ...]] = []
+        self.below: set[tuple[Repeated, ...]] = set()  # paths that lead to a wanted node, or are one
+
+        def add(path: tuple[Repeated, ...]) -> bool:
+            wanted = only is None or path[-1].table in only
+            if wanted:
+                self.paths.append(path)
+            deeper = [add((*path, child)) for child in path[-1].children]
+            if wanted or any(deeper):
+                self.below.add(path)
+            return wanted or any(deeper)
 
         add((root,))
-        self.place = {path: n for n, path in enumerate(self.leaves)}
-        self.repetition: list[list[int]] = [[] for _ in self.leaves]
-        self.definition: list[list[int]] = [[] for _ in self.leaves]
-        self.values: list[list[str | None]] = [[] for _ in self.leaves]
-        self.records: list[int] = [0] * len(self.leaves)
-
-    def _put(self, path: tuple[Repeated, ...], r: int, d: int, value: str | None = None) -> None:
-        n = self.place[path]
+        self.leaves = leaves
+        self.place = {path: n for n, path in enumerate(self.paths)}
+        self.repetition: list[list[int]] = [[] for _ in self.paths]
+        self.definition: list[list[int]] = [[] for _ in self.paths]
+        self.values: list[list[str | None]] = [[] for _ in self.paths]
+        self.rest: list[list[str | None]] = [[] for _ in self.paths]
+        self.inner: list[list[tuple[list[int], list]]] = [[([], []) for _ in path[-1].leaves] if leaves else [] for path in self.paths]
+
+    def _put(self, path: tuple[Repeated, ...], r: int, d: int, value: str | None = None, item: dict | None = None) -> None:
+        n = self.place.get(path)
+        if n is None:
+            return
         self.repetition[n].append(r)
         self.definition[n].append(d)
         self.values[n].append(value)
+        if self.leaves:
+            self.rest[n].append(None if item is None else _rest(item, path[-1]))
+            for leaf, (levels, values) in zip(path[-1].leaves, self.inner[n]):
+                more, found = _found(item, leaf.path) if item is not None else (0, None)
+                levels.append(d + more)
+                values.append(found)
 
     def _absent(self, path: tuple[Repeated, ...], r: int, d: int) -> None:
         """Everything from path on is missing."""
+        if path not in self.below:
+            return
         self._put(path, r, d)
         for child in path[-1].children:
             self._absent((*path, child), r, d)
 
     def add(self, parent: dict, path: tuple[Repeated, ...], r: int = 0) -> None:
-        """Shreds the values of path's last key in parent. Definition: 2 a level for a node, 1 for a place without one."""
-        depth = len(path) - 1
-        items = parent.get(path[-1].key)
+        """Shreds the values of path's last key in parent. Definition: 2 a level for a node, 1 for a place without one, and 1 for each key of a leaf's path."""
+        if path not in self.below:
+            return
+        depth, node = len(path) - 1, path[-1]
+        items = parent.get(node.key)
         if not isinstance(items, list):
-            items = [] if items is None and path[-1].key not in parent else [items]
+            items = [] if items is None and node.key not in parent else [items]
         if not items:
             self._absent(path, r, 2 * depth)
         for item in items:
             if isinstance(item, dict):
-                name = item.get("name")
-                self._put(path, r, 2 * depth + 2, name if isinstance(name, str) else "" if name is None else json.dumps(name, ensure_ascii=False))
-                for child in path[-1].children:
+                name = item.get(node.label)
+                self._put(path, r, 2 * depth + 2, name if isinstance(name, str) else "" if name is None else json.dumps(name, ensure_ascii=False), item)
+                for child in node.children:
                     self.add(item, (*path, child), r)
             elif isinstance(item, str):
                 self._put(path, r, 2 * depth + 2, item)
-                for child in path[-1].children:
+                for child in node.children:
                     self._absent((*path, child), r, 2 * depth + 2)
             else:
                 self._absent(path, r, 2 * depth + 1)
             r = depth + 1
 
-    def rebuild(self) -> list[tuple[tuple[Repeated, ...], np.ndarray, np.ndarray, list[str | None]]]:
-        """Of each leaf: path, record numbers, positions by level, names; only of nodes that are there."""
-        out = []
-        for n, path in enumerate(self.leaves):
+    def rebuild(self):
+        """Of each node: path, record numbers, positions by level, names, rest, values of leaves; only of nodes that are there."""
+        for n, path in enumerate(self.paths):
             r, d = np.array(self.repetition[n], np.int64), np.array(self.definition[n], np.int64)
             rows = np.cumsum(r == 0) - 1
             places = np.empty((len(path), len(r)), np.int64)
@@ -168,21 +253,38 @@ class Columns:
                 step = np.cumsum(r == level + 1)
                 start = np.maximum.accumulate(np.where(r <= level, np.arange(len(r)), 0)) if len(r) else r
                 places[level] = step - step[start]
-            there = d == 2 * len(path)
-            out.append((path, rows[there], places[:, there], [self.values[n][i] for i in np.flatnonzero(there)]))
-        return out
+            there = np.flatnonzero(d == 2 * len(path))
+            at = there.tolist()
+            inner = []
+            for leaf, (levels, values) in zip(path[-1].leaves, self.inner[n]):
+                full = 2 * len(path) + len(leaf.path)
+                inner.append([values[i] if levels[i] == full and leaf.fits(values[i]) else None for i in at])
+            yield path, rows[there], places[:, there], [self.values[n][i] for i in at], [self.rest[n][i] for i in at] if self.leaves else None, inner
+
+
+def _leaves(root: Repeated) -> dict[str, str]:
+    """The columns of all leaves of a tree with their types."""
+    found = {leaf.name: leaf.kind for leaf in root.leaves}
+    for child in root.children:
+        found |= _leaves(child)
+    return found
 
 
-def _schema(key_type: str) -> str:
-    return f"id {key_type}, table string, node_path string, parent_path string, node_name string"
+def _text(values: list) -> list:
+    return [x if x is None or x.isascii() else x.encode("utf-8", "replace").decode() for x in values]
 
 
-def shred(records: DataFrame, root: Repeated, key: str = "id", payload: str = "payload", wire: str = "wire") -> DataFrame:
-    """All nodes of all records: (id, table, node_path, parent_path, node_name)."""
+def shred(records: DataFrame, root: Repeated, key: str = "id", payload: str = "payload", wire: str = "wire", only: set[str] | None = None, leaves: bool = True) -> DataFrame:
+    """The nodes of all records: (id, table, node_path, parent_path, node_name), with leaves also rest and a column for each leaf.
+
+    only: the tables wanted, of all if None.
+    """
+    more = _leaves(root) if leaves else {}
+    kinds = {"string": pa.string(), "double": pa.float64()}
 
     def batches(parts):
         for part in parts:
-            columns, kept = Columns(root), []
+            columns, kept = Columns(root, only, leaves), []
             ids = part.column(0)
             for n, (text, form) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 found = record(text, form)
@@ -190,36 +292,84 @@ def shred(records: DataFrame, root: Repeated, key: str = "id", payload: str = "p
                     columns.add(found, (root,))
                     kept.append(n)
             owners = np.array(kept, np.int64)
-            for path, rows, places, names in columns.rebuild():
+            for path, rows, places, names, rest, inner in columns.rebuild():
                 if not len(rows):
                     continue
                 at = [""] * len(rows)
                 above = at
                 for node, level in zip(path, places):
                     above, at = at, [f"{a}.{node.letter}{i}" if a else f"{node.letter}{i}" for a, i in zip(at, level.tolist())]
-                names = [x.encode("utf-8", "replace").decode() for x in names]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owners[rows])), pa.array([path[-1].table] * len(at), pa.string()), pa.array(at, pa.string()), pa.array(above, pa.string()), pa.array(names, pa.string())], names=["id", "table", "node_path", "parent_path", "node_name"])
+                made = {"id": ids.take(pa.array(owners[rows])), "table": pa.array([path[-1].table] * len(at), pa.string()), "node_path": pa.array(at, pa.string()), "parent_path": pa.array(above, pa.string()), "node_name": pa.array(_text(names), pa.string())}
+                if leaves:
+                    made["rest"] = pa.array(rest, pa.string())
+                    own = dict(zip([x.name for x in path[-1].leaves], inner))
+                    for name, kind in more.items():
+                        values = own.get(name, [None] * len(at))
+                        made[name] = pa.array(_text(values) if kind == "string" else [None if x is None else float(x) for x in values], kinds[kind])
+                yield pa.RecordBatch.from_pydict(made)
 
     kind = records.schema[key].dataType.simpleString()
-    return records.select(key, payload, wire).mapInArrow(batches, _schema(kind))
+    schema = f"id {kind}, table string, node_path string, parent_path string, node_name string"
+    if leaves:
+        schema += ", rest string" + "".join(f", {n} {k}" for n, k in more.items())
+    return records.select(key, payload, wire).mapInArrow(batches, schema)
 
 
 def tables(nodes: DataFrame, root: Repeated) -> dict[str, DataFrame]:
-    """The nodes as one table each, linked by parent_path."""
-    names: list[str] = []
+    """The nodes of one pass as one table each, linked by parent_path, with the leaves of their own. To write all of them in
+    that pass, write nodes partitioned by table."""
+    found: dict[str, dict[str, str]] = {}
+
+    def walk(node: Repeated) -> None:
+        found.setdefault(node.table, {}).update({x.name: x.kind for x in node.leaves})
+        for child in node.children:
+            walk(child)
+
+    walk(root)
+    fixed = ["id", "node_path", "parent_path", "node_name"]
+    return {n: nodes.where(F.col("table") == n).select(*fixed, *more, "rest") for n, more in found.items()}
+
+
+def assemble(rows: list[dict], root: Repeated) -> dict[str, object]:
+    """The nodes of one record by path, from its rows: those of root as they were, with all that is below them."""
+    made: dict[str, object] = {}
+    letters: dict[str, Repeated] = {}
 
     def walk(node: Repeated) -> None:
-        names.append(node.table) if node.table not in names else None
+        letters[node.letter] = node
         for child in node.children:
             walk(child)
 
     walk(root)
-    return {n: nodes.where(F.col("table") == n).drop("table") for n in names}
+    order = lambda path: [int(step[1:]) for step in path.split(".")]
+    filled: dict[tuple[str, str], list] = {}  # children that rest of the parent doesn't hold
+    for row in sorted(rows, key=lambda x: (x["node_path"].count("."), order(x["node_path"]))):
+        node = letters[row["node_path"].rsplit(".", 1)[-1][0]]
+        item: object = row["node_name"]
+        if row["rest"] is not None:
+            item = json.loads(row["rest"])
+            if row["node_name"]:
+                item.setdefault(node.label, row["node_name"])
+            for leaf in node.leaves:
+                if row[leaf.name] is not None:
+                    at = item
+                    for step in leaf.path[:-1]:
+                        at = at.setdefault(step, {})
+                    at[leaf.path[-1]] = row[leaf.name]
+        made[row["node_path"]] = item
+        parent, child = made.get(row["parent_path"]), (row["parent_path"], node.key)
+        if isinstance(parent, dict):
+            if child not in filled and node.key not in parent:
+                filled[child] = parent[node.key] = []
+            if child in filled:
+                filled[child].append(item)
+    return {path: item for path, item in made.items() if "." not in path}
 
 
 #: Countries, their cities, the districts of these, and sights of either.
 _SIGHT = Repeated("sightseeing", "s", "sights")
-COUNTRIES = Repeated("country", "c", "countries", (Repeated("cities", "t", "cities", (_SIGHT, Repeated("districts", "d", "districts", (_SIGHT,)))),))
+_PLACE = (Leaf("population", ("population",), "double"), Leaf("lon", ("location", "lon"), "double"), Leaf("lat", ("location", "lat"), "double"))
+COUNTRIES = Repeated("country", "c", "countries", (Repeated("cities", "t", "cities", (_SIGHT, Repeated("districts", "d", "districts", (_SIGHT,))), _PLACE),), (Leaf("capital", ("capital",)),))
 
 
 def current_rows(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:

@@ -1,7 +1,11 @@
 import json
+import os
 import random
 
-from stellate.operators.shred import COUNTRIES, Columns, current_rows, record, shred, tables
+import pytest
+from compare import DATA
+
+from stellate.operators.shred import COUNTRIES, Columns, assemble, current_rows, record, shred, tables
 
 
 def walk(value, key, letter, parent, inner):
@@ -67,8 +71,10 @@ def test_levels_tell_all():
     """A record's columns alone hold where each place repeats and how far it is defined."""
     columns = Columns(COUNTRIES)
     columns.add({"country": [{"name": "a", "cities": [{"name": "b"}, None]}, {"name": "c"}]}, (COUNTRIES,))
-    country, city = columns.leaves[0], columns.leaves[1]
+    country, city = columns.paths[0], columns.paths[1]
     assert columns.repetition[columns.place[country]] == [0, 1] and columns.definition[columns.place[country]] == [2, 2]
+    (levels, values), = columns.inner[columns.place[country]]
+    assert levels == [2, 2] and values == [None, None]
     assert columns.repetition[columns.place[city]] == [0, 2, 1] and columns.definition[columns.place[city]] == [4, 3, 2]
 
 
@@ -83,3 +89,57 @@ def test_broken_and_missing(spark):
 def test_current_rows(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (1, 3, "b"), (1, None, "c"), (2, None, "d"), (None, 1, "e")], "id long, version long, payload string")
     assert sorted(map(tuple, current_rows(df, "id", "version", ["payload"]).collect()), key=str) == [(1, "b"), (2, "d"), (None, "e")]
+
+
+def nodes_of(value):
+    """The root's nodes by path."""
+    items = value if isinstance(value, list) else [value]
+    return {f"c{n}": x for n, x in enumerate(items) if isinstance(x, (dict, str))}
+
+
+def test_typed_leaves(spark):
+    city = {"name": "b", "population": 5, "location": {"lon": 1.5, "lat": "x", "alt": 3}, "mayor": {"name": "m"}}
+    rows = [(1, json.dumps({"country": {"name": "a", "capital": "b", "cities": [city, "d"]}}), "rest"), (2, json.dumps({"country": {"capital": 7, "cities": {"population": True}}}), "rest")]
+    df = spark.createDataFrame(rows, "id long, payload string, wire string")
+    parts = tables(shred(df, COUNTRIES), COUNTRIES)
+    assert [tuple(r) for r in parts["countries"].orderBy("id").collect()] == [(1, "c0", "", "a", "b", "{}"), (2, "c0", "", "", None, '{"capital": 7, "cities": {"population": true}}')]
+    found = [(*r[:7], r[7] and json.loads(r[7])) for r in parts["cities"].orderBy("id", "node_path").collect()]
+    assert found == [
+        (1, "c0.t0", "c0", "b", 5.0, 1.5, None, {"location": {"lat": "x", "alt": 3}, "mayor": {"name": "m"}}),
+        (1, "c0.t1", "c0", "d", None, None, None, None),
+        (2, "c0.t0", "c0", "", None, None, None, {"population": True}),
+    ]
+    only = shred(df, COUNTRIES, only={"cities"})
+    assert sorted(map(str, only.collect())) == sorted(map(str, shred(df, COUNTRIES).where("table = 'cities'").collect()))
+
+
+def round_trip(spark, df):
+    """How many records come back from the tables as they were."""
+    got = {}
+    for r in shred(df, COUNTRIES).collect():
+        got.setdefault(r["id"], []).append(r.asDict())
+    n = 0
+    for row in df.collect():
+        found = record(row["payload"], row["wire"])
+        expected = nodes_of(found["country"]) if found and "country" in found else {}
+        assert assemble(got.get(row["id"], []), COUNTRIES) == expected, row
+        n += bool(expected)
+    return n
+
+
+def test_round_trip_of_random_records(spark):
+    rng, rows = random.Random(4), []
+    for n in range(300):
+        value = random_value(rng)
+        if isinstance(value, dict):
+            value["capital"] = rng.choice(["x", None, 3])
+            for c in value.get("cities") or [] if isinstance(value.get("cities"), list) else []:
+                if isinstance(c, dict):
+                    c.update(rng.choice([{"population": 7}, {"population": None}, {"location": {"lon": 1, "lat": 2}}, {"location": {}}, {"location": {"lon": None}}, {"extra": [1]}]))
+        rows.append((n, json.dumps({"country": value}), "rest"))
+    assert round_trip(spark, spark.createDataFrame(rows, "id long, payload string, wire string")) > 200
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no tables here")
+def test_round_trip_of_every_row(spark):
+    assert round_trip(spark, current_rows(spark.read.parquet(f"{DATA}/nested_points.parquet"), "id", "version", ["payload", "wire"])) > 20
