@@ -68,18 +68,25 @@ def changes_once(ops: DataFrame) -> DataFrame:
 
 
 def apply_changes(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """The points that exist after ops: (point_id, payload as JSON text, vector). base has these columns too, each id once."""
+    """The points that exist after ops: (point_id, payload as JSON text, vector). base has these columns too, each id once.
+
+    The log is reduced to one row for each point it touches before that meets the base, of which each row is shuffled once.
+    """
     slots = changes_once(ops).select("point_id", "ord", F.explode(_touched()).alias("s")).select("point_id", "ord", "s.*")
-    if base is not None:
-        oldest = F.struct(F.lit(False).alias("tagged"), F.lit(-(2**63)).alias("at"), F.lit(-(2**63)).alias("op_seq"))
-        found = F.array(_slot("life", text=F.lit("y")), _slot("vector", vector=F.col("vector")), _slot("payload", text=F.coalesce("payload", F.lit("{}"))))
-        slots = slots.unionByName(base.select("point_id", oldest.alias("ord"), F.explode(found).alias("s")).select("point_id", "ord", "s.*"))
     newest = Window.partitionBy("point_id", "slot", "k").orderBy(F.col("ord").desc())
     last = slots.withColumn("rank", F.row_number().over(newest)).where("rank = 1").drop("rank")
 
     of = lambda slot, what: F.max(F.when(F.col("slot") == slot, F.struct("ord", what))).alias(slot)
     keys = F.collect_list(F.when(F.col("slot") == "key", F.struct("k", "ord", "text"))).alias("keys")
-    points = last.groupBy("point_id").agg(of("life", "text"), of("payload", "text"), of("vector", "vector"), keys).where("life.text = 'y'")
+    points = last.groupBy("point_id").agg(of("life", "text"), of("payload", "text"), of("vector", "vector"), keys)
+    if base is not None:
+        oldest = F.struct(F.lit(False).alias("tagged"), F.lit(-(2**63)).alias("at"), F.lit(-(2**63)).alias("op_seq")).alias("ord")
+        old = base.where("point_id is not null").select("point_id", F.struct(oldest, F.lit("y").alias("text")).alias("was"), F.struct(oldest, F.coalesce("payload", F.lit("{}")).alias("text")).alias("old_payload"), F.struct(oldest, F.col("vector").alias("vector")).alias("old_vector"))
+        points = old.join(points, "point_id", "full_outer").select(
+            "point_id", F.coalesce("life", "was").alias("life"), F.coalesce("payload", "old_payload").alias("payload"), F.coalesce("vector", "old_vector").alias("vector"),
+            F.coalesce("keys", F.array().cast(points.schema["keys"].dataType)).alias("keys"),
+        )
+    points = points.where("life.text = 'y'")
 
     later = F.filter("keys", lambda e: e["ord"] > F.col("payload.ord"))
     gone = F.transform(later, lambda e: e["k"])
