@@ -27,8 +27,9 @@ from ..session import spread
 
 #: Where the public vocabularies are.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-#: How texts are cut into pieces before merging: fixed with the vocabulary.
+#: How texts are cut into pieces before merging: fixed with each vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERNS = {"byte_bpe_50k": PATTERN, "byte_bpe_multi_50k": PATTERN}
 #: Entries of the per-process memory of pieces, and the length up to which a piece is kept there.
 _PIECES, _PIECE_LENGTH = 400_000, 48
 
@@ -36,7 +37,7 @@ _PIECES, _PIECE_LENGTH = 400_000, 48
 class Bpe:
     """An encoder for ranks, (token bytes, id) with ids in the order of merging."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ids = {token.decode("latin-1"): n for token, n in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, n in self.ids.items():
@@ -55,7 +56,7 @@ class Bpe:
                     break
         self._fits.clear()
         self.pieces: dict[str, array] = {}
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(pattern).findall
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank can leave a and b side by side.
@@ -150,10 +151,13 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
 def load(path: str) -> Bpe:
     """The encoder of a vocabulary file, made once a process."""
     with open(path, "rb") as f:
-        return Bpe(ranks_of(f.read()))
+        return Bpe(ranks_of(f.read()), PATTERNS[os.path.basename(path).removesuffix(".tiktoken")])
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
+    """The file of a vocabulary; only those whose way of cutting texts is known."""
+    if name not in PATTERNS:
+        raise ValueError(f"no vocabulary of byte tokens: {name!r}; there are {sorted(PATTERNS)}")
     return os.path.join(folder or TOKENIZERS, f"{name}.tiktoken")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..session import spread
+from ..session import checkpoint, spread
 from .bpe import token_count
 
 _SEED = 20250101
@@ -68,15 +68,16 @@ def mix(docs: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", folder:
     """All columns of docs, and copy (in place of one of that name): a row for each use of a document, counted from 1."""
     rates = plan(sized(docs, name, folder), targets).select("skey", "rate")
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy"]).alias("row"), source_key(F.col("source")).alias("skey"))
-    used = rows.join(rates, "skey").withColumn("n", copies(F.col("row.doc_id"), F.col("rate"))).where("n > 0")
+    # There are no more rates than targets; texts stay where they are, however many one source has.
+    used = rows.join(F.broadcast(rates), "skey").withColumn("n", copies(F.col("row.doc_id"), F.col("rate"))).where("n > 0")
     return used.select("row.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
 
 
 def shares(docs: DataFrame, targets: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The share of all tokens wanted of each target source, and the one that the mixture reaches."""
-    sizes = sized(docs, name, folder)
+    sizes = checkpoint(sized(docs, name, folder))  # three numbers a document, so that texts are encoded once
     rates = plan(sizes, targets)
-    used = sizes.join(rates.select("skey", "rate"), "skey").withColumn("n", copies(F.col("doc_id"), F.col("rate")))
+    used = sizes.join(F.broadcast(rates.select("skey", "rate")), "skey").withColumn("n", copies(F.col("doc_id"), F.col("rate")))
     used = used.groupBy("skey").agg(F.sum(F.col("n") * F.col("tokens")).alias("used"), F.count_if(F.col("n") > 0).alias("documents"), F.max("n").alias("most_repeats"))
     rows = rates.join(used, "skey", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
