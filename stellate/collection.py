@@ -40,7 +40,8 @@ class Collection:
     """df has a column of ids, one for each vector, and payload fields: as a JSON text, as columns, or both.
 
     fields names columns that hold a payload field of another name; index declares a field's kind: keyword, integer,
-    float, bool, datetime, uuid, geo, or a TextIndex, which changes what matching a text means.
+    float, bool, datetime, uuid, geo, or a TextIndex, which changes what matching a text means. shard_key: the column by which
+    requests choose points.
     """
 
     df: DataFrame
@@ -50,6 +51,7 @@ class Collection:
     payload: str | None = None
     fields: dict[str, str] = field(default_factory=dict)
     index: dict[str, TextIndex | str] = field(default_factory=dict)
+    shard_key: str | None = None
 
     def with_df(self, df: DataFrame) -> Collection:
         return replace(self, df=df)

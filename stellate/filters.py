@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions.siphash import slice_of
-from .functions.text import TextIndex, tokens
+from .functions.text import TextIndex, token_list, tokens_of_each
 from .functions.values import JsonValues, Values, is_true, parse_time
 
 
@@ -143,15 +143,19 @@ def _match(spec: dict, values: Values, index: TextIndex | str | None) -> Column:
         if isinstance(v, int):
             return values.integer(lambda x: x == v)
         if index == "uuid":
-            return values.string(lambda x: F.lower(F.regexp_replace(x, "[{}-]", "")) == v.lower().replace("-", "").strip("{}"))
+            return values.string(lambda x: _uuid(x) == _uuid_text(v))
         return values.string(lambda x: x == v)
     if "any" in spec:
         listed = spec["any"]
         if not listed:
             return F.lit(False)
+        if index == "uuid":
+            return values.string(lambda x: _uuid(x).isin([_uuid_text(v) for v in listed]))
         return values.integer(lambda x: x.isin(listed)) if isinstance(listed[0], int) else values.string(lambda x: x.isin(listed))
     if "except" in spec:
         listed = spec["except"]
+        if index == "uuid" and listed:
+            return values.string(lambda x: ~_uuid(x).isin([_uuid_text(v) for v in listed]))
         if index == "keyword" and listed and isinstance(listed[0], str):
             return values.string(lambda x: ~x.isin(listed))
         return values.other_than([x for x in listed if isinstance(x, str)], [x for x in listed if isinstance(x, int)])
@@ -165,15 +169,27 @@ def _match(spec: dict, values: Values, index: TextIndex | str | None) -> Column:
         if kind == "text_any":
             return values.string(lambda x: _any([x.contains(t) for t in wanted.split()]))
         return values.string(lambda x: x.contains(wanted))
-    query = tokens(F.lit(wanted), index, query=True)
+    # Elements are cut into tokens before any is tested, as stemming can't stand within a lambda.
+    found, query = tokens_of_each(values.strings(), index), token_list(wanted, index, query=True)
+    if not query:
+        return F.lit(False)
+    listed = F.array(*[F.lit(t) for t in query])
     if kind == "text_any":
-        return values.string(lambda x: F.arrays_overlap(tokens(x, index), query))
+        return F.exists(found, lambda have: F.arrays_overlap(have, listed))
     if kind == "text" or not index.phrase_matching:
-        return values.string(lambda x: (F.size(query) > 0) & (F.size(F.array_except(query, tokens(x, index))) == 0))
+        return F.exists(found, lambda have: F.size(F.array_except(listed, have)) == 0)
+
+    def consecutive(have: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(have) - len(query), F.lit(0)))
+        return (F.size(have) >= len(query)) & F.exists(starts, lambda n: F.slice(have, n + 1, len(query)) == listed)
+
+    return F.exists(found, consecutive)
+
+
+def _uuid(x: Column) -> Column:
+    """A uuid in one form, whatever its case, dashes and braces."""
+    return F.lower(F.regexp_replace(x, "[{}-]", ""))
 
-    def consecutive(x: Column) -> Column:
-        have = tokens(x, index)
-        starts = F.sequence(F.lit(0), F.greatest(F.size(have) - F.size(query), F.lit(0)))
-        return (F.size(query) > 0) & (F.size(have) >= F.size(query)) & F.exists(starts, lambda n: F.slice(have, n + 1, F.size(query)) == query)
 
-    return values.string(consecutive)
+def _uuid_text(x: str) -> str:
+    return x.lower().replace("-", "").strip("{}")

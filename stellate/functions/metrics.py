@@ -75,15 +75,24 @@ def similarities(vector: Column, examples: list[list[float]], distance: str) ->
 def max_similarities(vectors: Column, examples: list[list[list[float]]], distance: str) -> Column:
     """For points of several vectors: of each example, itself several, the sum of its vectors' best similarities."""
     wanted = [np.asarray(e, np.float64) for e in examples]
+    every = np.concatenate(wanted)
+    size, bounds = every.shape[1], np.cumsum([0, *map(len, wanted)])
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(column: pa.Array) -> pa.Array:
-        out = []
-        for rows in column.to_pylist():
-            rows = [r for r in rows or [] if r is not None]
-            m = np.asarray(rows, np.float64)
-            out.append([float(similarity_matrix(w, m, distance).max(axis=1).sum()) for w in wanted] if rows else None)
-        return pa.array(out, pa.list_(pa.float64()))
+        inner, length = column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(column)), length)
+        rows, m = matrix_of(inner, size)
+        owner = owner[rows]
+        if not len(rows):
+            return pa.nulls(len(column), pa.list_(pa.float64()))
+        # All vectors of all points in one product, then the greatest of each point's.
+        start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        best = np.maximum.reduceat(similarity_matrix(m, every, distance), start, axis=0)
+        sums = np.add.reduceat(best, bounds[:-1], axis=1)
+        counts, mask = np.zeros(len(column) + 1, np.int32), np.ones(len(column), bool)
+        counts[owner[start] + 1], mask[owner[start]] = len(wanted), False
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(sums.ravel()), mask=pa.array(mask))
 
     return score.asNondeterministic()(vectors)
 
@@ -92,7 +101,17 @@ def sparse_product(vector: Column, indices: list[int], values: list[float]) -> C
     """The product over common indices; null without any."""
     if not indices:
         return F.lit(None).cast("double")
-    keys = F.array(*[F.lit(int(i)).cast("long") for i in indices])
-    weights = F.map_from_arrays(keys, F.array(*[F.lit(float(x)) for x in values]))
-    hits = F.filter(F.arrays_zip(vector["indices"], vector["values"]), lambda e: F.array_contains(keys, e["indices"]))
-    return F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0.0), lambda s, e: s + e["values"].cast("double") * F.element_at(weights, e["indices"])))
+    keys, place = np.unique(np.asarray(indices, np.int64), return_inverse=True)
+    weights = np.bincount(place, np.asarray(values, np.float64))
+
+    @F.arrow_udf(T.DoubleType())
+    def product(dims: pa.Array, entries: pa.Array) -> pa.Array:
+        length = dims.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(dims)), length)
+        dim, entry = (x.flatten().to_numpy(zero_copy_only=False) for x in (dims, entries))
+        at = np.minimum(np.searchsorted(keys, dim), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == dim)
+        total = np.bincount(owner[hit], weights[at[hit]] * entry[hit].astype(np.float64), len(dims))
+        return pa.array(total, mask=np.bincount(owner[hit], minlength=len(dims)) == 0)
+
+    return product.asNondeterministic()(vector["indices"], vector["values"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +59,13 @@ def tokens(text: Column, how: TextIndex = TextIndex(), query: bool = False) -> C
     found = F.filter(found, lambda t: t != "")
     if how.stopwords:
         found = F.filter(found, lambda t: ~t.isin(sorted(how.stopwords)))
-    if how.stemmer == "english":
-        found = _stems(found)
+    if how.stemmer:
+        found = F.element_at(_stems(F.array(found), how.stemmer), 1)
+    return _cut(found, how, query)
+
+
+def _cut(found: Column, how: TextIndex, query: bool = False) -> Column:
+    """Words by their lengths, or as prefixes."""
     low, high = how.min_token_len, how.max_token_len
     if how.tokenizer == "prefix":
         if query:
@@ -71,6 +78,26 @@ def tokens(text: Column, how: TextIndex = TextIndex(), query: bool = False) -> C
     return F.filter(found, lambda t: F.length(t) <= high) if high else found
 
 
+def tokens_of_each(texts: Column, how: TextIndex) -> Column:
+    """The tokens of each text of an array, as an array of arrays."""
+    plain = replace(how, stemmer=None, tokenizer="whitespace" if how.tokenizer == "whitespace" else "word", min_token_len=None, max_token_len=None)
+    words = F.transform(texts, lambda t: tokens(t, plain))
+    words = _stems(words, how.stemmer) if how.stemmer else words
+    return F.transform(words, lambda w: _cut(w, how))
+
+
+def token_list(text: str, how: TextIndex = TextIndex(), query: bool = False) -> list[str]:
+    """As tokens, of a text that a request gives."""
+    text = "".join(fold(c) if len(fold(c)) == 1 else c for c in text) if how.ascii_folding else text
+    text = text.lower() if how.lowercase else text
+    found = [t for t in (text.split() if how.tokenizer == "whitespace" else regex.split(r"[^\p{L}\p{N}]+", text)) if t and t not in how.stopwords]
+    found = [stem(t, how.stemmer) for t in found] if how.stemmer else found
+    low, high = how.min_token_len or 0, how.max_token_len or 1 << 20
+    if how.tokenizer == "prefix":
+        return [t[:high] for t in found] if query else [t[:n] for t in found for n in range(max(1, low), min(high, len(t)) + 1)]
+    return [t for t in found if low <= len(t) <= high]
+
+
 def _folding() -> tuple[str, str]:
     letters = [chr(n) for n in range(0xC0, 0x250) if len(fold(chr(n))) == 1 and fold(chr(n)).isascii()]
     return "".join(letters), "".join(map(fold, letters))
@@ -157,10 +184,65 @@ def english_stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-def _stems(words: Column) -> Column:
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def stems(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else [english_stem(w) for w in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+def _suffix_stem(endings: tuple[str, ...]):
+    """A light stemmer: the longest of some endings is taken off if a stem of three letters is left."""
+    ordered = sorted(endings, key=len, reverse=True)
+
+    def stem_of(word: str) -> str:
+        return next((word[: -len(e)] for e in ordered if word.endswith(e) and len(word) - len(e) >= 3), word)
+
+    return stem_of
+
+
+# Common inflectional endings, for light stemming.
+_ENDINGS = {
+    "german": "e en er em es ern s n st",
+    "french": "e es s ent er ez ée ées és é aient ait ais ons",
+    "spanish": "o a os as e es ar er ir ado ada ados adas ando iendo",
+    "italian": "o a i e are ere ire ato ata ati ate ando endo",
+    "portuguese": "o a os as e es ar er ir ado ada ados adas ando endo",
+    "dutch": "e en s t er eren",
+    "swedish": "a e ar er or en et arna erna orna s",
+    "norwegian": "a e er en et ene ers s",
+    "danish": "e er en et ene erne s",
+    "finnish": "a ä n t ssa ssä sta stä lla llä lta ltä lle in en",
+    "hungarian": "k ok ek ök ban ben nak nek val vel t at et ot",
+    "romanian": "ul ului ii ilor a e i le lor",
+    "russian": "а я о е ы и у ю ой ей ом ем ам ям ами ями ах ях ого его ому ему ый ий ая яя ое ее ые ие ых их",
+    "greek": "α ας ες η ης ο ος ου οι ων ους ι ια ιου",
+    "turkish": "lar ler ı i u ü da de dan den nın nin",
+    "arabic": "ة ه ها ات ون ين ان ية",
+}
+
+
+def stem(word: str, language: str) -> str:
+    """English by the published algorithm; other languages by taking off a common ending."""
+    return _stemmer(language)(word)
+
+
+@lru_cache(maxsize=None)
+def _stemmer(language: str):
+    if language == "english":
+        return english_stem
+    if language not in _ENDINGS:
+        raise ValueError(f"no stemmer of {language!r}; there are {['english', *sorted(_ENDINGS)]}")
+    return _suffix_stem(tuple(_ENDINGS[language].split()))
+
+
+def _stems(words: Column, language: str) -> Column:
+    """Of lists of words."""
+    stem_of = _stemmer(language)
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def stems(rows: pa.Array) -> pa.Array:
+        known: dict[str, str] = {}
+
+        def of(w: str) -> str:
+            if (s := known.get(w)) is None:
+                s = known[w] = stem_of(w)
+            return s
+
+        return pa.array([None if x is None else [[of(w) for w in y] for y in x] for x in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
 
     return stems(words)
 
@@ -181,6 +263,7 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
+@lru_cache(maxsize=1 << 17)
 def token_id(token: str) -> int:
     h = murmur3(token.encode())
     return abs(h - (1 << 32) if h >= 1 << 31 else h)
@@ -194,6 +277,15 @@ def bm25_weights(words: Column, k: float = 1.2, b: float = 0.75, avg_len: float
     return F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("token"), weight(t).alias("weight")))
 
 
+def bm25_vector(text: str, options: dict | None = None) -> dict:
+    """The sparse vector of a text as a query: each different token weighs 1. options: the fields of a TextIndex, language among them."""
+    given = dict(options or {})
+    language = given.pop("language", None)
+    how = TextIndex(**{**({"stemmer": language, "stopwords": stop_words(language)} if language else {}), **given})
+    ids = sorted({token_id(t) for t in token_list(text, how)})
+    return {"indices": ids, "values": [1.0] * len(ids)}
+
+
 _SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.FloatType()))])
 
 

@@ -105,6 +105,10 @@ class Values:
         """Longitude and latitude of the first value that is a place, else null."""
         raise NotImplementedError
 
+    def strings(self) -> Column:
+        """All values that are texts, as an array; empty if there are none."""
+        return F.coalesce(self.scalars("keyword"), F.array().cast("array<string>"))
+
     def scalars(self, kind: str) -> Column:
         """All values of a kind, as an array: keyword, integer, float, bool, datetime (microseconds)."""
         raise NotImplementedError
@@ -229,6 +233,11 @@ class ColumnValues(Values):
         listed: list = strings or integers
         return self._some(lambda x: x.isNotNull() & (~x.isin(listed) if fits and listed else F.lit(True)))
 
+    def strings(self) -> Column:
+        if not isinstance(self.kind, T.StringType):
+            return F.array().cast("array<string>")
+        return F.filter(F.coalesce(self.column, F.array().cast("array<string>")) if self.many else F.array(self.column), lambda x: x.isNotNull())
+
     def _size(self) -> Column:
         return F.coalesce(F.size(self.column), F.lit(0)) if self.many else F.when(self.column.isNull(), 0).otherwise(1)
 

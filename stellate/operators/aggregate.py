@@ -32,28 +32,31 @@ def group_keys(c: Collection, key: str):
 def query_groups(c: Collection, request: dict, group_by: str, group_size: int = 3, limit: int = 10, lookup: Collection | None = None, lookup_payload=True, lookup_vectors=False, others: dict | None = None) -> DataFrame:
     """(group_key, group_rank, hit_rank, id, score): the best groups by their best hit, and of each its best hits.
 
-    A point of several values may be in several groups. With lookup, the point of that collection whose id is the key
+    Groups are complete, and equal ones stand by their key. A point of several values may be in several groups. With lookup, the point of that collection whose id is the key
     is added to each of its hits.
     """
-    q = Query(c, {**request, "limit": 1}, others)
-    condition = request.get("filter")
     from ..filters import merge_filters
 
-    if q.named:
-        condition = merge_filters(condition, {"must_not": [{"has_id": sorted(q.named, key=str)}]})
+    request = {k: v for k, v in request.items() if k not in ("limit", "offset")}
+    q = Query(c, {**request, "limit": None}, others)
     if request.get("prefetch"):
-        ranked = Query(c, {**request, "limit": request.get("candidates", 10_000)}, others).ranked()
+        # All that the prefetches give, which they bound themselves.
+        ranked = q.ranked()
+        keys = q.c.df.select(F.col(c.id).alias("_id"), F.explode(group_keys(c, group_by)).alias("group_key"))
+        hits = keys.join(ranked.df, F.col("id") == F.col("_id")).drop("_id")
     else:
-        ranked = q.scored(c.where(condition), request)
-    ranked = ranked.over(request.get("score_threshold"))
-    keys = c.df.select(F.col(c.id).alias("_id"), F.explode(group_keys(c, group_by)).alias("group_key"))
-    hits = ranked.df.join(keys, F.col("id") == F.col("_id")).drop("_id")
+        condition = request.get("filter")
+        if q.named:
+            condition = merge_filters(condition, {"must_not": [{"has_id": sorted(q.named, key=str)}]})
+        ranked = q.scored(q.c.where(condition), request, (group_keys(c, group_by).alias("group_keys"),))
+        ranked = ranked.over(request.get("score_threshold"))
+        hits = ranked.df.select("*", F.explode("group_keys").alias("group_key")).drop("group_keys")
     order = ranked.order()
     best = hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy("group_key").orderBy(*order))).where(F.col("hit_rank") <= group_size)
     # A row for each group with its few hits; the shuffle of the ranking serves both.
-    groups = best.groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct("hit_rank", "id", "score"))).alias("hits"))
-    groups = groups.withColumn("id", F.col("hits")[0]["id"]).withColumn("score", F.col("hits")[0]["score"]).orderBy(*order).limit(limit)
-    groups = groups.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    groups = best.groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct("hit_rank", "id", "score", F.col(ranked.key).alias("_key")))).alias("hits"))
+    groups = groups.withColumn("id", F.col("hits")[0]["id"]).withColumn(ranked.key, F.col("hits")[0]["_key"]).orderBy(*order, "group_key").limit(limit)
+    groups = groups.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order, "group_key")))
     result = groups.select("group_key", "group_rank", F.explode("hits").alias("hit")).select("group_key", "group_rank", "hit.hit_rank", "hit.id", "hit.score")
     if lookup is not None:
         extra = payload_columns(lookup, lookup_payload) + vector_columns(lookup, lookup_vectors)

@@ -18,26 +18,39 @@ _BLOCK = 1024
 
 
 def nearest_batch(c: Collection, queries: dict[int, list[float]], k: int = 10, using: str = "", filter: dict | None = None) -> DataFrame:
-    """(query_id, id, score). The queries, given with the request, go to each task; every batch of points sends on its k best alone."""
+    """(query_id, id, score). The queries, given with the request, go to each task; every part of the points sends on its k best alone."""
     target = c.vector(using)
     assert isinstance(target, Dense)
     names, wanted = list(queries), np.asarray(list(queries.values()), np.float64)
     larger = metrics.larger_better(target.distance)
 
     def best(batches):
+        held: list = [None] * len(names)  # of each query the best ids and similarities of the part so far, ties with the last included
         for batch in batches:
             rows, m = metrics.matrix_of(batch.column(1), target.size)
             if not len(rows):
                 continue
             like = metrics.similarity_matrix(m, wanted, target.distance)
             ids = batch.column(0).take(pa.array(rows))
-            most = min(k, len(rows))
-            for n, name in enumerate(names):
-                edge = np.partition(like[:, n], -most)[-most]
-                top = np.flatnonzero(like[:, n] >= edge)
-                s = like[top, n]
-                s = s if larger else np.sqrt(np.abs(s)) if target.distance == "Euclid" else np.abs(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), name, np.int64)), ids.take(pa.array(top)), pa.array(s)], names=["query_id", "id", "score"])
+            for n in range(len(names)):
+                score, place = like[:, n], np.arange(len(rows))
+                if held[n] is not None and len(held[n][1]) >= k:
+                    place = np.flatnonzero(score >= held[n][1].min())
+                    if not len(place):
+                        continue
+                elif len(rows) > k:
+                    place = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                new = ids.take(pa.array(place)), score[place]
+                if held[n] is not None:
+                    new = pa.concat_arrays([held[n][0], new[0]]), np.concatenate([held[n][1], new[1]])
+                if len(new[1]) > k:
+                    top = np.flatnonzero(new[1] >= np.partition(new[1], -k)[-k])
+                    new = new[0].take(pa.array(top)), new[1][top]
+                held[n] = new
+        for name, some in zip(names, held):
+            if some is not None:
+                s = some[1] if larger else np.sqrt(np.abs(some[1])) if target.distance == "Euclid" else np.abs(some[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), name, np.int64)), some[0], pa.array(s)], names=["query_id", "id", "score"])
 
     kind = c.df.schema[c.id].dataType.simpleString()
     found = spread(c.where(filter).select(c.id, target.column)).mapInArrow(best, f"query_id long, id {kind}, score double")

@@ -14,11 +14,14 @@ def rerank(vectors: np.ndarray, relevance: np.ndarray, distance: str, diversity:
     if len(vectors) < 2:
         return list(range(len(vectors)))
     weight = 1.0 - diversity
-    like = similarity_matrix(vectors, vectors, distance)
-    left = list(range(len(vectors)))
-    last = lambda scores: len(scores) - 1 - int(np.argmax(np.asarray(scores)[::-1]))
-    chosen = [left.pop(last(relevance))]
-    while left and len(chosen) < limit:
-        gain = weight * relevance[left] - (1 - weight) * like[np.ix_(left, chosen)].max(axis=1)
-        chosen.append(left.pop(last(gain)))
+    last = lambda scores: len(scores) - 1 - int(np.argmax(scores[::-1]))
+    left, nearest, chosen = np.arange(len(vectors)), np.full(len(vectors), -np.inf), []
+    gain = relevance
+    while len(left) and len(chosen) < limit:
+        at = last(np.asarray(gain))
+        chosen.append(int(left[at]))
+        left = np.delete(left, at)
+        # Only the greatest likeness to what is chosen is kept, not that of all pairs.
+        nearest[left] = np.maximum(nearest[left], similarity_matrix(vectors[left], vectors[chosen[-1:]], distance)[:, 0])
+        gain = weight * relevance[left] - (1 - weight) * nearest[left]
     return chosen

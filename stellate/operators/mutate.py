@@ -19,7 +19,8 @@ def _chosen(c: Collection, ids: list | None, filter: dict | None) -> Column:
 
 
 def upsert(c: Collection, points: DataFrame, mode: str = "upsert", filter: dict | None = None) -> Collection:
-    """Puts whole points: what they don't give is dropped. Of points alike in id the last wins, by a column _order if there is one.
+    """Puts whole points: what they don't give is dropped. Of points alike in id the last wins, by a column _order;
+    without that column, ids that occur twice are an error when the result is read.
 
     mode: upsert (with a filter, existing points that fail it stay), insert_only (existing ones stay), update_only
     (only existing ones that meet the filter).
@@ -30,7 +31,9 @@ def upsert(c: Collection, points: DataFrame, mode: str = "upsert", filter: dict
         last = Window.partitionBy(c.id).orderBy(F.col("_order").desc())
         points = points.withColumn("_n", F.row_number().over(last)).where("_n = 1")
     else:
-        points = points.dropDuplicates([c.id])
+        again = F.count("*").over(Window.partitionBy(c.id)) > 1
+        kind = points.schema[c.id].dataType
+        points = points.withColumn("_n", again).withColumn(c.id, F.when(F.col("_n"), F.raise_error(F.lit("points alike in id need a column _order")).cast(kind)).otherwise(F.col(c.id)))
     new = points.select(*[F.col(n) if n in given else F.lit(None).cast(c.df.schema[n].dataType).alias(n) for n in names])
     old, key = c.df, c.id
     if mode == "insert_only":
@@ -45,6 +48,18 @@ def upsert(c: Collection, points: DataFrame, mode: str = "upsert", filter: dict
     return c.with_df(old.join(new.select(key), key, "left_anti").select(*names).unionByName(new.select(*names)))
 
 
+def sync_points(c: Collection, points: DataFrame, from_id=None, to_id=None) -> Collection:
+    """Makes the points whose ids are from from_id up to, without it, to_id exactly those given; no bound on a side if None."""
+    inside = F.lit(True)
+    if from_id is not None:
+        inside = inside & (F.col(c.id) >= F.lit(from_id))
+    if to_id is not None:
+        inside = inside & (F.col(c.id) < F.lit(to_id))
+    outside = c.df.where(~inside)
+    empty = c.with_df(c.df.where(F.lit(False)))
+    return c.with_df(outside.unionByName(upsert(empty, points.where(inside)).df))
+
+
 def delete(c: Collection, ids: list | None = None, filter: dict | None = None) -> Collection:
     return c.with_df(c.df.where(~_chosen(c, ids, filter)))
 
@@ -90,7 +105,7 @@ def clear_payload(c: Collection, ids: list | None = None, filter: dict | None =
     return _payload(c, F.lit("{}"), ids, filter)
 
 
-_OPERATIONS = {f.__name__: f for f in (upsert, delete, update_vectors, delete_vectors, set_payload, overwrite_payload, delete_payload, clear_payload)}
+_OPERATIONS = {f.__name__: f for f in (upsert, sync_points, delete, update_vectors, delete_vectors, set_payload, overwrite_payload, delete_payload, clear_payload)}
 
 
 def update_batch(c: Collection, operations: list[tuple[str, dict]]) -> Collection:

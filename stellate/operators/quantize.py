@@ -23,9 +23,11 @@ class Scalar:
     high: float
 
     @staticmethod
-    def fit(df: DataFrame, column: str, quantile: float = 0.99) -> Scalar:
+    def fit(df: DataFrame, column: str, quantile: float = 0.99, sample: int = 10_000, seed: int = 3) -> Scalar:
+        """From at most sample vectors, by a hash."""
         edge = (1 - quantile) / 2
-        low, high = df.select(F.explode(column).alias("x")).select(F.percentile_approx("x", [edge, 1 - edge], 10000)).first()[0]
+        rows = df.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column, F.lit(seed))).limit(sample)
+        low, high = rows.select(F.explode(column).alias("x")).select(F.percentile_approx("x", [edge, 1 - edge], 10000)).first()[0]
         return Scalar(float(low), float(high))
 
     def encode(self, v: np.ndarray) -> np.ndarray:

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..collection import Collection
 from ..functions.values import parse_time
-from ..plans.query import payload_columns, vector_columns
+from ..plans.query import FEW, payload_columns, vector_columns
 
 
 def _shown(c: Collection, with_payload, with_vectors) -> list:
     return payload_columns(c, with_payload) + vector_columns(c, with_vectors)
 
 
-def ordered(c: Collection, order_by: dict) -> DataFrame:
-    """(id, order_value): a row for each value of the field, not before start_from; points without it are left out."""
+def order_values(c: Collection, order_by: dict) -> Column:
+    """A point's values of the field as an array, those not before start_from."""
     kind = c.index.get(order_by["key"], "float")
     if kind not in ("integer", "float", "datetime"):
         raise ValueError("only numbers and times have an order")
-    rows = c.df.select(F.col(c.id).alias("id"), F.explode(c.values(order_by["key"]).scalars(kind)).alias("order_value"))
-    start = order_by.get("start_from")
-    if start is not None:
-        bound = parse_time(F.lit(start)) if isinstance(start, str) else F.lit(start)
-        rows = rows.where(F.col("order_value") <= bound if order_by.get("direction") == "desc" else F.col("order_value") >= bound)
-    return rows
+    values, start = c.values(order_by["key"]).scalars(kind), order_by.get("start_from")
+    if start is None:
+        return values
+    bound = parse_time(F.lit(start)) if isinstance(start, str) else F.lit(start)
+    return F.filter(values, lambda x: x <= bound if order_by.get("direction") == "desc" else x >= bound)
+
+
+def ordered(c: Collection, order_by: dict) -> DataFrame:
+    """(id, order_value): a row for each value of the field, not before start_from; points without it are left out."""
+    return c.df.select(F.col(c.id).alias("id"), F.explode(order_values(c, order_by)).alias("order_value"))
 
 
 def scroll(c: Collection, filter: dict | None = None, limit: int = 10, offset=None, order_by: dict | str | None = None, with_payload=True, with_vectors=False) -> DataFrame:
@@ -41,7 +45,7 @@ def scroll(c: Collection, filter: dict | None = None, limit: int = 10, offset=No
         page = ordered(c, spec).orderBy(*order).limit(limit)
         extra = _shown(c, with_payload, with_vectors)
         if extra:
-            page = c.df.select(F.col(c.id).alias("_id"), *extra).join(F.broadcast(page), F.col("_id") == F.col("id")).drop("_id").orderBy(*order)
+            page = c.df.select(F.col(c.id).alias("_id"), *extra).join(F.broadcast(page) if limit <= FEW else page, F.col("_id") == F.col("id")).drop("_id").orderBy(*order)
         return page
     rows = c.df if offset is None else c.df.where(F.col(c.id) >= F.lit(offset))
     return rows.select(F.col(c.id).alias("id"), *_shown(c, with_payload, with_vectors)).orderBy("id").limit(limit)
@@ -59,8 +63,7 @@ def retrieve(c: Collection, ids: list, with_payload=True, with_vectors=False) ->
     spark = c.df.sparkSession
     kind = c.df.schema[c.id].dataType.simpleString()
     wanted = spark.createDataFrame([(x, n) for n, x in enumerate(ids)], f"_id {kind}, ordinal int")
-    # The list is part of the request.
-    rows = c.df.join(F.broadcast(wanted), F.col(c.id) == F.col("_id"))
+    rows = c.df.join(F.broadcast(wanted) if len(ids) <= FEW else wanted, F.col(c.id) == F.col("_id"))
     return rows.select(F.col(c.id).alias("id"), "ordinal", *_shown(c, with_payload, with_vectors)).orderBy("ordinal").drop("ordinal")
 
 

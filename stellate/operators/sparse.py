@@ -25,9 +25,11 @@ def idf(n: float, df: float) -> float:
 def inverse_frequencies(corpus: DataFrame, column: str, dims: list[int]) -> dict[int, float]:
     """The weight of each of the query's dimensions, from the corpus of points that have the vector."""
     rows = corpus.where(F.col(column).isNotNull())
-    indices = F.col(column)["indices"]
-    counts = rows.agg(F.count("*"), *[F.count_if(F.array_contains(indices, F.lit(int(d)).cast("long"))) for d in dims]).first()
-    return {d: idf(counts[0], counts[n + 1]) for n, d in enumerate(dims)}
+    wanted = F.array(*[F.lit(int(d)).cast("long") for d in dims])
+    # One pass: a row for each of the query's dimensions that a vector has, and one of no dimension for the vector itself.
+    each = F.concat(F.array_intersect(F.col(column)["indices"], wanted), F.array(F.lit(None).cast("long")))
+    counts = dict(rows.select(F.explode(each).alias("dim")).groupBy("dim").agg(F.count("*")).collect())
+    return {d: idf(counts.get(None, 0), counts.get(int(d), 0)) for d in dims}
 
 
 def batch_products(df: DataFrame, id_: str, column: str, queries: DataFrame, k: int, query_weight: Column | None = None) -> DataFrame:

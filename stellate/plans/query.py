@@ -1,17 +1,20 @@
 """The universal query: a tree of requests, each of which becomes a lazy DataFrame of ids and scores.
 
 A request is a mapping: prefetch (a request or several, nested to any depth up to MAX_DEPTH), query, using, filter, params,
-score_threshold, limit (None: all rows), offset, with_payload, with_vectors, lookup_from. Only what a request itself bounds comes to the
+score_threshold, limit (None: all rows), offset, with_payload, with_vectors, lookup_from, shard_key (a value, several, or target
+and fallback), seed. Other fields are refused. A query input is a vector, an id, or for a sparse vector a document ({"text": ...}),
+which is embedded by BM25. Only what a request itself bounds comes to the
 driver: the vectors of ids that it names, the examples of feedback, and the candidates of a diversity reranking.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..collection import Collection, Dense, Sparse
@@ -19,10 +22,14 @@ from ..filters import merge_filters
 from ..functions import metrics, objectives
 from ..functions.formula import Formula
 from ..functions.jsonops import exclude, include
+from ..functions.text import bm25_vector
 from ..operators import fusion, mmr
 
 MAX_DEPTH = 64
 LIMIT = 10
+#: Chosen rows that are broadcast to fetch their wide columns; more are joined by a shuffle.
+FEW = 10_000
+_FIELDS = {"prefetch", "query", "using", "filter", "params", "score_threshold", "limit", "offset", "with_payload", "with_vectors", "lookup_from", "shard_key", "seed"}
 #: Candidates of a diversity reranking that a request may ask for.
 MAX_CANDIDATES = 16384
 
@@ -35,25 +42,27 @@ class Ranked:
     larger: bool = True
     inclusive: bool = False
     by_id: bool = False  # equal scores by ascending id
+    key: str = "score"  # the column of the order
 
     def order(self) -> list[Column]:
+        key = F.col(self.key)
         if self.by_id:
-            return [F.col("score").desc(), F.col("id")]
-        return [F.col("score").desc(), F.col("id").desc()] if self.larger else [F.col("score"), F.col("id")]
+            return [key.desc(), F.col("id")]
+        return [key.desc(), F.col("id").desc()] if self.larger else [key, F.col("id")]
 
     def over(self, threshold: float | None) -> Ranked:
         if threshold is None:
             return self
         s = F.col("score")
         good = (s >= threshold if self.inclusive else s > threshold) if self.larger else (s <= threshold if self.inclusive else s < threshold)
-        return Ranked(self.df.where(good), self.larger, self.inclusive, self.by_id)
+        return Ranked(self.df.where(good), self.larger, self.inclusive, self.by_id, self.key)
 
     def top(self, limit: int | None, offset: int = 0) -> Ranked:
         if limit is None and not offset:
             return self
         df = self.df.orderBy(*self.order())
         df = df if limit is None else df.limit(limit + offset)
-        return Ranked(df.offset(offset) if offset else df, self.larger, self.inclusive, self.by_id)
+        return Ranked(df.offset(offset) if offset else df, self.larger, self.inclusive, self.by_id, self.key)
 
 
 def _listed(x) -> list:
@@ -64,6 +73,10 @@ def _is_vector(x) -> bool:
     return isinstance(x, dict) and "indices" in x or isinstance(x, list) and bool(x) and isinstance(x[0], (int, float, list))
 
 
+def _is_document(x) -> bool:
+    return isinstance(x, dict) and "text" in x
+
+
 def _is_id(x) -> bool:
     return isinstance(x, (int, str)) and not isinstance(x, bool)
 
@@ -72,7 +85,7 @@ def _inputs(query) -> list:
     """All vector inputs (vectors or ids) of a query."""
     if query is None:
         return []
-    if _is_vector(query) or _is_id(query):
+    if _is_vector(query) or _is_id(query) or _is_document(query):
         return [query]
     if not isinstance(query, dict):
         raise ValueError(f"no query: {query!r}")
@@ -99,19 +112,36 @@ class Query:
     """Compiles one request for a collection; others is where lookup_from finds collections by name."""
 
     def __init__(self, collection: Collection, request: dict, others: dict[str, Collection] | None = None):
-        self.c, self.request, self.others = collection, request, others or {}
-        self.points = collection.df
         self._check(request, 0)
+        self.c, self.request, self.others = self._of_shards(collection, request.get("shard_key")), request, others or {}
+        self.points = self.c.df
         self.known: dict[tuple, object] = {}
         self.named: set = set()
         self.similar: dict[str, Column] = {}  # columns of similarities that the scores at hand refer to
         self._resolve()
 
+    @staticmethod
+    def _of_shards(c: Collection, wanted) -> Collection:
+        """The points of some shard keys; a fallback counts where the target has no points."""
+        if wanted is None:
+            return c
+        if c.shard_key is None:
+            raise ValueError("the collection has no shard keys")
+        of = lambda x: c.df.where(F.col(c.shard_key).isin(_listed(x)))
+        if isinstance(wanted, dict):
+            found = of(wanted["target"])
+            return c.with_df(of(wanted["fallback"]) if wanted.get("fallback") is not None and found.isEmpty() else found)
+        return c.with_df(of(wanted))
+
     # Validation ------------------------------------------------------------------------------------------------------
 
     def _check(self, r: dict, depth: int) -> None:
         if depth > MAX_DEPTH:
             raise ValueError(f"prefetches are nested deeper than {MAX_DEPTH}")
+        if unknown := set(r) - _FIELDS:
+            raise ValueError(f"unknown fields: {sorted(unknown)}")
+        if depth and r.get("shard_key") is not None:
+            raise ValueError("shard keys are chosen for the whole request")
         q, inner = r.get("query"), _listed(r.get("prefetch"))
         kind = next(iter(q)) if isinstance(q, dict) and "indices" not in q else None
         if inner and q is None:
@@ -159,6 +189,10 @@ class Query:
                 raise ValueError(f"points {sorted(map(str, missing))} have no vector {using!r}")
 
     def _vector(self, x, r: dict):
+        if _is_document(x):
+            if not isinstance(self.c.vector(r.get("using", "")), Sparse):
+                raise ValueError("documents are embedded as sparse vectors only")
+            return bm25_vector(x["text"], x.get("options"))
         if not _is_id(x):
             return x
         place = r.get("lookup_from") or {}
@@ -179,10 +213,10 @@ class Query:
         limit, offset = r.get("limit", LIMIT), r.get("offset", 0) if depth == 0 else 0
         sources = [self._node(p, merge_filters(condition, p.get("filter")), depth + 1) for p in _listed(r.get("prefetch"))]
         if isinstance(q, dict) and ("fusion" in q or "rrf" in q):
-            lists = [(s.df, s.larger) for s in sources]
             if q.get("fusion") == "dbsf":
-                found = fusion.score_distribution(lists)
+                found = fusion.score_distribution([(s.df, s.larger) for s in sources])
             else:
+                lists = [(s.df.select("id", F.col(s.key).alias("score")), s.larger) for s in sources]
                 params = q.get("rrf") or {}
                 found = fusion.reciprocal_rank(lists, params.get("k") or 2, params.get("weights"))
             return Ranked(found, inclusive=True, by_id=True).over(r.get("score_threshold")).top(limit, offset)
@@ -197,31 +231,35 @@ class Query:
             return self._diverse(rows, r, q, params, limit, offset)
         return self.scored(rows, r).over(r.get("score_threshold")).top(limit, offset)
 
-    def scored(self, rows: DataFrame, r: dict) -> Ranked:
-        """All rows with their scores."""
+    def scored(self, rows: DataFrame, r: dict, extra: tuple[Column, ...] = ()) -> Ranked:
+        """All rows with their scores, and other columns of theirs."""
         q, id_ = r.get("query"), F.col(self.c.id).alias("id")
         if q is None:
-            return Ranked(rows.select(id_, F.lit(1.0).alias("score")), by_id=True)
+            return Ranked(rows.select(id_, F.lit(1.0).alias("score"), *extra), by_id=True)
         if isinstance(q, dict) and "sample" in q:
-            return Ranked(rows.select(id_, F.rand(r.get("seed")).alias("score")))
+            return Ranked(rows.select(id_, F.lit(1.0).alias("score"), F.rand(r.get("seed")).alias("place"), *extra), key="place")
         if isinstance(q, dict) and "order_by" in q:
-            return self._ordered(rows, q["order_by"])
+            return self._ordered(rows, q["order_by"], extra)
         self.similar = {}
         score, larger = self._score(q, r)
         target = self.c.vector(r.get("using", ""))
         rows = rows.where(F.col(target.column).isNotNull()).withColumns(self.similar)
-        return Ranked(rows.select(id_, score.alias("score")).where("score IS NOT NULL"), larger)
+        return Ranked(rows.select(id_, score.alias("score"), *extra).where("score IS NOT NULL"), larger)
 
-    def _ordered(self, rows: DataFrame, spec) -> Ranked:
-        from ..operators.scroll import ordered
+    def _ordered(self, rows: DataFrame, spec, extra: tuple[Column, ...] = ()) -> Ranked:
+        """Scores of 1, and order_value, of which a point shows its first; points without one are left out."""
+        from ..operators.scroll import order_values
 
-        found = ordered(self.c.with_df(rows), spec if isinstance(spec, dict) else {"key": spec})
-        down = isinstance(spec, dict) and spec.get("direction") == "desc"
-        best = found.groupBy("id").agg((F.max if down else F.min)("order_value").alias("score"))
-        return Ranked(best.withColumn("score", F.col("score").cast("double")), larger=down, inclusive=True)
+        spec = spec if isinstance(spec, dict) else {"key": spec}
+        down = spec.get("direction") == "desc"
+        values = order_values(self.c, spec)
+        best = (F.array_max if down else F.array_min)(values).cast("double").alias("order_value")
+        return Ranked(rows.select(F.col(self.c.id).alias("id"), F.lit(1.0).alias("score"), best, *extra).where("order_value IS NOT NULL"), larger=down, inclusive=True, key="order_value")
 
     def _score(self, q, r: dict) -> tuple[Column, bool]:
         target = self.c.vector(r.get("using", ""))
+        if _is_document(q):
+            q = {"nearest": q}
         if isinstance(target, Dense) and (_is_vector(q) or _is_id(q) or isinstance(q, dict) and "nearest" in q):
             x = self._vector(q["nearest"] if isinstance(q, dict) and "nearest" in q else q, r)
             return metrics.shown(self._similar([x], target)[0], target.distance), metrics.larger_better(target.distance)
@@ -298,7 +336,8 @@ class Query:
         plain = {**r, "query": {"nearest": q["nearest"]}}
         best = self.scored(rows, plain).over(r.get("score_threshold")).top(many)
         vectors = self.points.select(F.col(self.c.id).alias("_id"), F.col(target.column).alias("_v"))
-        found = best.df.join(vectors, F.col("id") == F.col("_id")).select("id", "score", "_v").collect()
+        chosen_ = F.broadcast(best.df) if many <= FEW else best.df
+        found = vectors.join(chosen_, F.col("id") == F.col("_id")).select("id", "score", "_v").collect()
         found.sort(key=lambda x: (-x[1], x[0]) if best.larger else (x[1], x[0]))
         matrix = np.array([x[2] for x in found], np.float64).reshape(len(found), -1)
         like = metrics.similarity_matrix(matrix, np.asarray([self._vector(q["nearest"], r)]), target.distance)[:, 0] if len(found) else np.zeros(0)
@@ -309,6 +348,29 @@ class Query:
         result = spark.createDataFrame([(found[n][0], float(found[n][1]), place) for place, n in enumerate(chosen)], f"id {kind}, score double, place int")
         return _Placed(result)
 
+    def single_vector(self) -> list[float] | None:
+        """The one dense vector that a request without prefetch and with a limit compares with, if that is all it does."""
+        r, q = self.request, self.request.get("query")
+        if q is None or r.get("prefetch") or r.get("limit", LIMIT) is None or r.get("lookup_from"):
+            return None
+        target = self.c.vector(r.get("using", ""))
+        if not isinstance(target, Dense) or target.multi:
+            return None
+        if isinstance(q, dict) and "recommend" in q:
+            spec = q["recommend"]
+            if spec.get("strategy", "average_vector") != "average_vector":
+                return None
+            x = average([self._vector(x, r) for x in _listed_inputs(spec.get("positive"))], [self._vector(x, r) for x in _listed_inputs(spec.get("negative"))])
+        elif isinstance(q, dict):
+            if "nearest" not in q or q.get("mmr") is not None:
+                return None
+            x = self._vector(q["nearest"], r)
+        else:
+            x = self._vector(q, r)
+        if len(x) != target.size:
+            raise ValueError(f"vectors of this name have the size {target.size}")
+        return list(x)
+
     # Results ---------------------------------------------------------------------------------------------------------
 
     def result(self) -> DataFrame:
@@ -375,8 +437,9 @@ def hydrate(c: Collection, found: DataFrame, request: dict, order: list[Column])
     if not extra:
         return found.orderBy(*order).drop("place")
     wide = c.df.select(F.col(c.id).alias("_id"), *extra)
-    # With a limit the chosen rows are few; without one they may be the whole table.
-    chosen = found if request.get("limit", LIMIT) is None else F.broadcast(found)
+    # Without a limit, or with a great one, the chosen rows may be as many as the table has.
+    limit = request.get("limit", LIMIT)
+    chosen = F.broadcast(found) if limit is not None and limit <= FEW else found
     return wide.join(chosen, F.col("_id") == F.col("id")).drop("_id").orderBy(*order).drop("place").select("id", *[x for x in found.columns if x not in ("id", "place")], *[x for x in wide.columns if x != "_id"])
 
 
@@ -385,8 +448,38 @@ def query(collection: Collection, request: dict, others: dict[str, Collection] |
 
 
 def query_batch(collection: Collection, requests: list[dict], others: dict[str, Collection] | None = None) -> DataFrame:
-    """The results of several requests: (query_id, id, score)."""
-    parts = [Query(collection, r, others).ranked().df.select(F.lit(n).alias("query_id"), "id", "score") for n, r in enumerate(requests)]
+    """The results of several requests: (query_id, id, score).
+
+    Searches of one dense vector each (nearest, or recommend by the average) under the same filter share one scan, in which
+    every part keeps the best of each; other requests have a plan of their own.
+    """
+    from ..operators.batch import nearest_batch
+
+    parts, shared = [], {}
+    for n, r in enumerate(requests):
+        q = Query(collection, r, others)
+        vector = q.single_vector()
+        if vector is None:
+            parts.append(q.ranked().df.select(F.lit(n).cast("long").alias("query_id"), "id", "score"))
+        else:
+            shared.setdefault(json.dumps([r.get("using", ""), r.get("filter"), r.get("shard_key")], sort_keys=True, default=str), []).append((n, q, vector))
+    for some in shared.values():
+        first = some[0][1]
+        depth = max((q.request.get("limit", LIMIT) + q.request.get("offset", 0) + len(q.named)) for _, q, _ in some)
+        found = nearest_batch(first.c, {n: v for n, _, v in some}, depth, first.request.get("using", ""), first.request.get("filter"))
+        larger = metrics.larger_better(first.c.vector(first.request.get("using", "")).distance)
+        keep, most, skip = F.lit(True), F.lit(0), F.lit(0)
+        for n, q, _ in some:
+            mine, limit = F.col("query_id") == n, q.request.get("score_threshold")
+            if q.named:
+                keep = keep & ~(mine & F.col("id").isin(sorted(q.named, key=str)))
+            if limit is not None:
+                keep = keep & (~mine | (F.col("score") > limit if larger else F.col("score") < limit))
+            most = F.when(mine, q.request.get("limit", LIMIT)).otherwise(most)
+            skip = F.when(mine, q.request.get("offset", 0)).otherwise(skip)
+        order = [F.col("score").desc(), F.col("id").desc()] if larger else [F.col("score"), F.col("id")]
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        parts.append(found.where(keep).withColumn("_n", place).where((F.col("_n") > skip) & (F.col("_n") <= skip + most)).select("query_id", "id", "score"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,7 +11,7 @@ from .collection import Collection, Dense, Sparse
 from .functions.text import TextIndex, bm25_embedding, bm25_weights, tokens
 from .operators import aggregate, batch, ivf, mutate, quantize, recall, scroll, sparse
 from .operators.shred import plain_json
-from .plans.query import Query, discover, query, recommend
+from .plans.query import discover, query, query_batch, recommend
 from .session import table
 from .sources.catalog import newest_versions
 
@@ -115,10 +115,18 @@ _add("v9_context", lambda s, d: _rounded(discover(embeddings(s, d), None, _PAIRS
 _FEED = {"relevance_feedback": {"target": 0, "feedback": [{"example": 1, "score": 0.9}, {"example": 2, "score": 0.5}, {"example": 3, "score": 0.1}], "strategy": {"naive": {"a": 1.0, "b": 0.5, "c": 0.25}}}}
 _add("v10_relevance_feedback", lambda s, d: _rounded(query(embeddings(s, d), {"query": _FEED})), _best(f"{_cos(0)} + 0.25 * (pow(0.4, 0.5) * ({_cos(1)} - {_cos(2)}) + pow(0.8, 0.5) * ({_cos(1)} - {_cos(3)}) + pow(0.4, 0.5) * ({_cos(2)} - {_cos(3)}))", "0, 1, 2, 3"))
 _add("v19_no_query", lambda s, d: query(embeddings(s, d), {"filter": _LABELS, "limit": 25}), "SELECT vec_id AS id, 1.0::DOUBLE AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY id LIMIT 25")
-_add("v18_sample", lambda s, d: scroll.sample(embeddings(s, d), 10, seed=1))
-_add("v13_mmr", lambda s, d: _rounded(query(embeddings(s, d), {"query": {"nearest": 0, "mmr": {"diversity": 0.4, "candidates_limit": 50}}, "limit": 10})))
-QUERIES["v13_mmr_candidates"] = lambda s, d: _rounded(query(embeddings(s, d), {"query": {"nearest": 0, "mmr": {"diversity": 0.4, "candidates_limit": 12}}, "limit": 12}))
-ORACLES["v13_mmr_candidates"] = _best(_cos(0), "0", 12)
+_add("v18_sample", lambda s, d: query(embeddings(s, d), {"query": {"sample": "random"}, "limit": 10, "seed": 1}))
+_LIKE = _SIM["Cosine"].format(a="c.v", b="{}.v")
+_add(
+    "v13_mmr",
+    lambda s, d: _rounded(query(embeddings(s, d), {"query": {"nearest": 0, "mmr": {"diversity": 0.4, "candidates_limit": 50}}, "limit": 3})),
+    f"""WITH {_E}, c AS (SELECT id, v, {_cos(0)} AS score FROM e WHERE id <> 0 ORDER BY score DESC, id DESC LIMIT 50),
+x AS (SELECT * FROM c ORDER BY score DESC LIMIT 1),
+y AS (SELECT c.* FROM c, x WHERE c.id <> x.id ORDER BY 0.6 * c.score - 0.4 * {_LIKE.format('x', 'x', 'x')} DESC LIMIT 1),
+z AS (SELECT c.* FROM c, x, y WHERE c.id NOT IN (x.id, y.id)
+  ORDER BY 0.6 * c.score - 0.4 * greatest({_LIKE.format('x', 'x', 'x')}, {_LIKE.format('y', 'y', 'y')}) DESC LIMIT 1)
+SELECT id, round(score, 5) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z)""",
+)
 
 # Prefetch, fusion, formula -----------------------------------------------------------------------------------------------
 
@@ -143,8 +151,27 @@ _add("t8_rescore", lambda s, d: _rounded(query(embeddings(s, d), {"prefetch": _T
 _FORMULA = {"formula": {"sum": ["$score", {"mult": [0.5, {"key": "label", "match": {"any": [1, 2]}}]}, {"neg": {"div": {"left": "label", "right": {"sum": ["label", 1]}}}}, {"abs": {"sqrt": {"pow": {"base": "$score[1]", "exponent": 2}}}}, {"exp_decay": {"x": "label", "target": 3, "scale": 2}}, {"gauss_decay": {"x": "label", "scale": 4, "midpoint": 0.25}}, {"lin_decay": {"x": "label", "target": 5, "scale": 8}}, {"ln": {"exp": 0.1}}, {"log10": 100}]}}
 _FSQL = "coalesce(sa, 0) + 0.5 * (label IN (1, 2))::INT - label / (label + 1.0) + abs(sqrt(pow(coalesce(sb, 0), 2))) + exp(ln(0.5) / 2 * abs(label - 3)) + exp(ln(0.25) / 16 * label * label) + greatest(0, 1 - 0.5 / 8 * abs(label - 5)) + 0.1 + 2"
 _add("v14_formula", lambda s, d: _rounded(query(embeddings(s, d), {"prefetch": _TWO, "query": _FORMULA, "limit": 60, "score_threshold": 1.0})), f"WITH {_LISTS}, j AS (SELECT id, max(sa) AS sa, max(sb) AS sb FROM (SELECT id, score AS sa, NULL::DOUBLE AS sb FROM a UNION ALL SELECT id, NULL, score FROM b) GROUP BY id), f AS (SELECT id, {_FSQL} AS score FROM j JOIN e USING (id)) SELECT id, round(score, 5) AS score FROM f WHERE f.score >= 1.0")
-_add("t9_nested_prefetch", lambda s, d: _rounded(query(embeddings(s, d), {"prefetch": [{"prefetch": _TWO, "query": {"fusion": "rrf"}, "limit": 15}], "query": 5, "limit": 8})), None)
-_add("v17_order_by", lambda s, d: query(embeddings(s, d), {"query": {"order_by": {"key": "label", "direction": "desc"}}, "limit": 30}), "SELECT vec_id AS id, label::DOUBLE AS score FROM embeddings ORDER BY score DESC, id DESC LIMIT 30")
+_add(
+    "t9_nested_prefetch",
+    lambda s, d: _rounded(query(embeddings(s, d), {"prefetch": [{"prefetch": _TWO, "query": {"fusion": "rrf"}, "limit": 15}], "query": 5, "limit": 8})),
+    _fused("1.0 / (pos + 2)", "1.0 / (pos + 2)").replace("NOT IN (0, 1)", "NOT IN (0, 1, 5)").replace("SELECT id, round(score, 5) AS score FROM f ORDER BY f.score DESC, id LIMIT 10", "")
+    + f""", g AS (SELECT id FROM f ORDER BY f.score DESC, id LIMIT 15), s AS (SELECT id, {_cos(5)} AS score FROM e JOIN g USING (id))
+SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id DESC LIMIT 8""",
+)
+_add(
+    "v17_order_by",
+    lambda s, d: query(embeddings(s, d), {"query": {"order_by": {"key": "label", "direction": "desc"}}, "limit": 30}),
+    "SELECT vec_id AS id, 1.0::DOUBLE AS score, label::DOUBLE AS order_value FROM embeddings ORDER BY label DESC, id DESC LIMIT 30",
+)
+# A prefetch in another order takes part by its places.
+_add(
+    "v17_order_by_fused",
+    lambda s, d: _rounded(query(embeddings(s, d), {"prefetch": [_TWO[0], {"query": {"order_by": "label"}, "limit": 40}], "query": {"fusion": "rrf"}})),
+    _fused("1.0 / (pos + 2)", "1.0 / (pos + 2)")
+    .replace(f"b AS (SELECT id, {_cos(1)} AS score FROM e WHERE id NOT IN (0, 1) AND label IN (1, 2, 3) ORDER BY score DESC, id DESC LIMIT 20)", "b AS (SELECT id, -label::DOUBLE AS score FROM e WHERE id <> 0 ORDER BY label, id LIMIT 40)")
+    .replace("NOT IN (0, 1)", "NOT IN (0)")
+    .replace("rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) - 1", "rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1"),
+)
 
 # Groups, facets, matrices ------------------------------------------------------------------------------------------------
 
@@ -152,7 +179,58 @@ _GROUPS = f"""{_E}, h AS (SELECT label::VARCHAR AS group_key, id, {_cos(0)} AS s
 r AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY score DESC, id DESC) AS hit_rank FROM h),
 g AS (SELECT group_key, row_number() OVER (ORDER BY score DESC, id DESC) AS group_rank FROM r WHERE hit_rank = 1)"""
 _add("r3_query_groups", lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"query": 0}, "label", 4, 5)), f"WITH {_GROUPS} SELECT group_key, group_rank, hit_rank, id, round(score, 5) AS score FROM r JOIN g USING (group_key) WHERE hit_rank <= 4 AND group_rank <= 5")
-_add("r3_group_lookup", lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"query": 0}, "label", 2, 6, Collection(table(s, d, "nation"), "n_nationkey"), ["n_name"])).select("group_key", "hit_rank", "id", "lookup_n_name"), f"WITH {_GROUPS} SELECT group_key, hit_rank, id, n_name AS lookup_n_name FROM r JOIN g USING (group_key) LEFT JOIN nation ON n_nationkey::VARCHAR = group_key WHERE hit_rank <= 2 AND group_rank <= 6")
+_add("r3_group_lookup", lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"query": 0}, "label", 2, 6, Collection(table(s, d, "nation"), "n_nationkey"), ["n_name"])), f"WITH {_GROUPS} SELECT group_key, group_rank, hit_rank, id, round(score, 5) AS score, n_nationkey AS lookup_id, n_name AS lookup_n_name FROM r JOIN g USING (group_key) LEFT JOIN nation ON n_nationkey::VARCHAR = group_key WHERE hit_rank <= 2 AND group_rank <= 6")
+
+
+def _grouped(hits: str, order: str = "score DESC, id DESC", size: int = 3, most: int = 6, extra: str = "") -> str:
+    """SQL of groups from hits h (group_key, id, score); the best groups by their best hit."""
+    return f"""WITH {hits}, r AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY {order}) AS hit_rank FROM h),
+g AS (SELECT group_key, row_number() OVER (ORDER BY {order}, group_key) AS group_rank FROM r WHERE hit_rank = 1)
+SELECT group_key, group_rank, hit_rank, id, round(score, 5) AS score FROM r JOIN g USING (group_key) WHERE hit_rank <= {size} AND group_rank <= {most}"""
+
+
+_H = "h AS (SELECT label::VARCHAR AS group_key, id, {} AS score FROM e WHERE {})"
+# Groups are complete whatever makes the hits: prefetches of all points, fusion, another order, examples.
+_add(
+    "r3_groups_prefetch",
+    lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"prefetch": [{"query": 0, "limit": 1_000_000}], "query": 2}, "label", 3, 20)),
+    _grouped(f"{_E}, {_H.format(_cos(2), 'id NOT IN (0, 2)')}", most=20),
+)
+_add(
+    "r3_groups_fusion",
+    lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"prefetch": _TWO, "query": {"fusion": "rrf"}}, "label", 3, 6)),
+    _grouped(_fused("1.0 / (pos + 2)", "1.0 / (pos + 2)").split("SELECT id, round(score, 5) AS score FROM f")[0].removeprefix("WITH ") + ", h AS (SELECT label::VARCHAR AS group_key, id, f.score FROM f JOIN e USING (id))", "score DESC, id"),
+)
+_add(
+    "r3_groups_order_by",
+    lambda s, d: aggregate.query_groups(embeddings(s, d), {"query": {"order_by": {"key": "vec_id", "direction": "desc"}}, "filter": _LABELS}, "label", 2, 6),
+    _grouped(f"{_E}, {_H.format('1.0::DOUBLE', 'label IN (1, 2, 3)')}", "id DESC", 2),
+)
+_add(
+    "r6_recommend_groups",
+    lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"query": {"recommend": {"positive": [1, 2], "negative": [3, 4], "strategy": "sum_scores"}}}, "label", 3, 6)),
+    _grouped(f"{_E}, {_H.format(f'{_cos(1)} + {_cos(2)} - {_cos(3)} - {_cos(4)}', 'id NOT IN (1, 2, 3, 4)')}"),
+)
+_add(
+    "r7_discover_groups",
+    lambda s, d: _rounded(aggregate.query_groups(embeddings(s, d), {"query": {"discover": {"target": 0, "context": _PAIRS}}}, "label", 3, 6)),
+    _grouped(f"{_E}, {_H.format(f'sign({_cos(1)} - {_cos(2)}) + sign({_cos(3)} - {_cos(4)}) + {_SIG.format(x=_cos(0))}', 'id NOT IN (0, 1, 2, 3, 4)')}"),
+)
+# Batches: searches of one vector share a scan, whatever their depth, threshold and examples.
+_BATCH = [
+    {"query": 0, "limit": 5}, {"query": {"nearest": 7}, "limit": 4, "offset": 2}, {"query": {"recommend": {"positive": [1, 2], "negative": [3]}}, "limit": 6},
+    {"query": 0, "limit": 40, "score_threshold": 0.2}, {"query": {"discover": {"target": 0, "context": _PAIRS}}, "limit": 5},
+]
+
+
+def _batch_sql() -> str:
+    parts = []
+    for n, (score, named, skip, most, least) in enumerate([(_cos(0), "0", 0, 5, -9), (_cos(7), "7", 2, 4, -9), (_SIM["Cosine"].format(a="e.v", b="(SELECT v FROM mean)"), "1, 2, 3", 0, 6, -9), (_cos(0), "0", 0, 40, 0.2), (f"sign({_cos(1)} - {_cos(2)}) + sign({_cos(3)} - {_cos(4)}) + {_SIG.format(x=_cos(0))}", "0, 1, 2, 3, 4", 0, 5, -9)]):
+        parts.append(f"SELECT * FROM (SELECT {n} AS query_id, id, {score} AS score FROM e WHERE id NOT IN ({named}) ORDER BY score DESC, id DESC LIMIT {most} OFFSET {skip}) WHERE score > {least}")
+    return f"WITH {_E}{_AVG} SELECT query_id, id, round(score, 5) AS score FROM ({' UNION ALL '.join(parts)})"
+
+
+_add("r2_query_batch", lambda s, d: _rounded(query_batch(embeddings(s, d), _BATCH)), _batch_sql())
 _add("r11_facet", lambda s, d: aggregate.facet(embeddings(s, d), "label", limit=5, kind="integer"), "SELECT label AS value, count(*) AS count FROM embeddings GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 
 
@@ -171,6 +249,13 @@ _NUM, _INT = "UBIGINT BIGINT DOUBLE", "UBIGINT BIGINT"
 _add("r11_facet_payload", lambda s, d: aggregate.facet(points(s, d), "city", {"must": [{"key": "color", "match": {"value": "teal"}}]}, 20), f"""WITH {_P}, t AS (SELECT id, payload FROM p WHERE {_some('color', 'VARCHAR', f"{_S} = 'teal'")}),
 y AS (SELECT id, unnest({_items('city')}) AS x FROM t), u AS (SELECT DISTINCT id, {_S} AS value FROM y WHERE json_type(x) = 'VARCHAR')
 SELECT value, count(*) AS count FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+_add(
+    "r3_groups_json",
+    lambda s, d: aggregate.query_groups(points(s, d), {}, "multiId", 3, 30),
+    _grouped(f"""{_P}, k AS (SELECT id, {_items('multiId')} AS items FROM p),
+h AS (SELECT DISTINCT x AS group_key, id, 1.0::DOUBLE AS score FROM (
+  SELECT id, unnest(list_transform(items, lambda x: json_extract_string(x, '$'))) AS x FROM k WHERE len(list_filter(items, lambda x: json_type(x) NOT IN ('VARCHAR', 'UBIGINT', 'BIGINT'))) = 0))""", "id", 3, 30),
+)
 _MATRIX = f"""{_E}, n AS (SELECT * FROM e WHERE id < 40), s AS (SELECT a.id AS a, b.id AS b, {_SIM['Cosine'].format(a='a.v', b='b.v')} AS score FROM n a, n b WHERE a.id <> b.id),
 m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) <= 3)"""
 _add("r12_matrix_pairs", lambda s, d: _rounded(aggregate.matrix_pairs(embeddings(s, d), 40, 3, ids=list(range(40)))), f"WITH {_MATRIX} SELECT a, b, round(score, 5) AS score FROM m")
@@ -231,7 +316,19 @@ _WORDS = f"list_filter(regexp_split_to_array(lower({_S}), '[^\\p{{L}}\\p{{N}}]+'
 _filter("f9_text_tokens", {"must": [_key("title", match={"text": "Plain"})]}, _some("title", "VARCHAR", f"list_contains({_WORDS}, 'plain')"), title=TextIndex())
 _filter("f10_text_any", {"must": [_key("title", match={"text_any": "plain Café notes"})]}, _some("title", "VARCHAR", f"list_has_any({_WORDS}, ['plain', 'café', 'notes'])"), title=TextIndex())
 _filter("f11_phrase_substring", {"must": [_key("title", match={"phrase": "n pres"})]}, _some("title", "VARCHAR", f"contains({_S}, 'n pres')"))
-_filter("f11_phrase_tokens", {"must": [_key("title", match={"phrase": "plain holmerith"})]}, _some("title", "VARCHAR", f"contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' plain holmerith ')"), title=TextIndex(phrase_matching=True))
+_filter("f9_text_stems", {"must": [_key("title", match={"text": "Plains"})]}, _some("title", "VARCHAR", f"list_contains({_WORDS}, 'plain')"), title=TextIndex(stemmer="english"))
+
+
+def _phrase(spark: SparkSession, d: str) -> DataFrame:
+    """The last two words of the first title, as a phrase."""
+    c = points(spark, d, title=TextIndex(phrase_matching=True))
+    title = c.df.select("id", F.get_json_object("payload", "$.title").alias("t")).where("t like '% % %'").orderBy("id").limit(1).collect()
+    return c.where({"must": [_key("title", match={"phrase": " ".join(title[0][1].split()[-2:]) if title else "-"})]}).select("id")
+
+
+_add("f11_phrase_tokens", _phrase, f"""WITH {_P}, t AS (SELECT array_to_string(list_slice(string_split(json_extract_string(payload, '$.title'), ' '), -2, -1), ' ') AS t
+  FROM p WHERE json_extract_string(payload, '$.title') LIKE '% % %' ORDER BY id LIMIT 1)
+SELECT id FROM p, t WHERE {_some('title', 'VARCHAR', f"contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' ' || lower(t.t) || ' ')")}""".replace("lambda t: t <> ''", "lambda w: w <> ''"))
 _filter("f12_prefix", {"must": [_key("city", match={"prefix": "Aby"})]}, _some("city", "VARCHAR", f"starts_with({_S}, 'Aby')"))
 _filter("f13_range", {"must": [_key("price", range={"gte": 10, "lt": 20})]}, _some("price", _NUM, f"{_N} >= 10 AND {_N} < 20"))
 _filter("f14_datetime_range", {"must": [_key("date_rfc3339", range={"gte": "2025-01-01", "lt": "2025-07-01T12:00:00Z"})]}, _some("date_rfc3339", "VARCHAR", f"CAST({_S} AS TIMESTAMPTZ) >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AND CAST({_S} AS TIMESTAMPTZ) < TIMESTAMPTZ '2025-07-01 12:00:00+00'"))
@@ -277,8 +374,18 @@ _add("f26_nested_all", lambda s, d: nested(s, d, True).where(_CITIES).select("id
 _add("f26_nested", lambda s, d: nested(s, d).where(_CITIES).select("id"), """WITH n AS (SELECT id, arg_max_null(wire, version) AS wire, arg_max_null(payload, version) AS payload FROM nested_points GROUP BY id),
 c AS (SELECT id, unnest(CASE WHEN json_type(payload, '$.country.cities') = 'ARRAY' THEN json_extract(payload, '$.country.cities[*]') ELSE [] END) AS x FROM n WHERE wire = 'rest' AND json_valid(payload))
 SELECT DISTINCT id FROM c WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.population') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract_string(x, '$.population') AS DOUBLE) > 1 AND json_type(x, '$.sightseeing') = 'ARRAY' AND json_array_length(x, '$.sightseeing') >= 2""")
-_add("f13_typed_columns", lambda s, d: Collection(table(s, d, "lineitem"), "l_orderkey").where({"must": [_key("l_quantity", range={"gte": 30}), _key("l_returnflag", match={"any": ["A", "R"]}), _key("l_shipdate", range={"lt": "1995-01-01"})]}).groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 30 AND l_returnflag IN ('A', 'R') AND l_shipdate < TIMESTAMP '1995-01-01' GROUP BY 1")
-_add("f30_shard_key", lambda s, d: newest_versions(table(s, d, "points").select("id", "version", "shard_key")).where(F.col("shard_key").startswith("tenant-m")).select("id"), "SELECT id FROM (SELECT id, arg_max_null(shard_key, version) AS shard_key FROM points GROUP BY id) WHERE shard_key LIKE 'tenant-m%'")
+_add("f13_typed_columns", lambda s, d: Collection(table(s, d, "lineitem"), "l_orderkey").where({"must": [_key("l_quantity", range={"gte": 30}), _key("l_returnflag", match={"any": ["A", "R"]}), _key("l_shipdate", range={"lt": "1996-06-01"})]}).groupBy("l_returnflag").agg(F.count("*").alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 30 AND l_returnflag IN ('A', 'R') AND l_shipdate < TIMESTAMP '1996-06-01' GROUP BY 1")
+
+
+def _sharded(spark: SparkSession, d: str) -> DataFrame:
+    """The points of the first three shard keys, as the fallback of one that has none."""
+    df = newest_versions(table(spark, d, "points").select("id", "version", "shard_key"))
+    keys = [r[0] for r in df.select("shard_key").where("shard_key is not null").distinct().orderBy("shard_key").limit(3).collect()]
+    return query(Collection(df, "id", shard_key="shard_key"), {"shard_key": {"target": "no such key", "fallback": keys}, "limit": None}).select("id")
+
+
+_add("f30_shard_key", _sharded, """WITH c AS (SELECT id, arg_max_null(shard_key, version) AS shard_key FROM points GROUP BY id)
+SELECT id FROM c WHERE shard_key IN (SELECT DISTINCT shard_key FROM c WHERE shard_key IS NOT NULL ORDER BY 1 LIMIT 3)""")
 
 # Sparse vectors, several vectors, text -----------------------------------------------------------------------------------
 
@@ -303,7 +410,7 @@ def _sparse(spark: SparkSession, d: str, idf: bool) -> DataFrame:
 _add("v2_sparse_nearest", lambda s, d: _sparse(s, d, False), f"WITH {_SQ} SELECT id, round(sum(weight), 5) AS score FROM w JOIN q USING (dim) GROUP BY id")
 _add("v3_sparse_idf", lambda s, d: _sparse(s, d, True), f"WITH {_SQ}, n AS (SELECT count(*) AS n FROM c WHERE t IS NOT NULL), g AS (SELECT dim, count(*) AS df FROM w GROUP BY dim), i AS (SELECT dim, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM g, n) SELECT id, round(sum(weight * idf), 5) AS score FROM w JOIN q USING (dim) JOIN i USING (dim) GROUP BY id")
 _add("a9_document_frequency", lambda s, d: sparse.document_frequencies(points(s, d, True).df.where("sparse_text IS NOT NULL"), "id", "sparse_text"), f"WITH {_SP} SELECT dim, count(*) AS df FROM w GROUP BY dim")
-_add("r2_sparse_batch", lambda s, d: _rounded(sparse.batch_products(points(s, d, True).df.where("sparse_text IS NOT NULL"), "id", "sparse_text", sparse.postings(points(s, d, True).df.where("sparse_text IS NOT NULL AND id % 50 = 0"), "id", "sparse_text").withColumnRenamed("id", "query_id"), 5)).select("query_id", "score"), f"WITH {_SP}, s AS (SELECT a.id AS query_id, b.id, sum(a.weight * b.weight) AS score FROM w a JOIN w b USING (dim) WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT query_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id DESC) <= 5")
+_add("r2_sparse_batch", lambda s, d: _rounded(sparse.batch_products(points(s, d, True).df.where("sparse_text IS NOT NULL"), "id", "sparse_text", sparse.postings(points(s, d, True).df.where("sparse_text IS NOT NULL AND id % 50 = 0"), "id", "sparse_text").withColumnRenamed("id", "query_id"), 5)), f"WITH {_SP}, s AS (SELECT a.id AS query_id, b.id, sum(a.weight * b.weight) AS score FROM w a JOIN w b USING (dim) WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT query_id, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id DESC) <= 5")
 _MULTI = f"{_E}, m AS (SELECT id % 50 AS id, v FROM e), q AS (SELECT id AS qid, v AS qv FROM e WHERE id IN (3, 4)), x AS (SELECT m.id, qid, max({_SIM['Cosine'].format(a='m.v', b='qv')}) AS best FROM m, q GROUP BY 1, 2)"
 
 
@@ -335,6 +442,18 @@ _add("text_word_tokens", lambda s, d: table(s, d, "points").select("id", F.explo
 _add("text_prefix_tokens", lambda s, d: table(s, d, "points").select(F.explode(tokens(F.get_json_object("payload", "$.title"), TextIndex("prefix", min_token_len=2, max_token_len=4))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), f"SELECT left(t, n) AS token, count(*) AS n FROM (SELECT unnest({_DOCS.replace('text', 'json_extract_string(payload, ' + chr(39) + '$.title' + chr(39) + ')')}) AS t FROM points WHERE json_type(payload, '$.title') = 'VARCHAR'), range(2, 5) r(n) WHERE length(t) >= n GROUP BY 1")
 _add("text_bm25_weights", lambda s, d: table(s, d, "points").where("payload like '%title%'").select("id", "version", F.explode(bm25_weights(tokens(F.get_json_object("payload", "$.title")))).alias("w")).groupBy("w.token").agg(F.round(F.sum("w.weight"), 4).alias("weight")), f"WITH t AS (SELECT payload, {_DOCS.replace('text', 'json_extract_string(payload, ' + chr(39) + '$.title' + chr(39) + ')')} AS ws FROM points WHERE json_type(payload, '$.title') = 'VARCHAR'), u AS (SELECT ws, unnest(list_distinct(ws)) AS token FROM t), c AS (SELECT token, len(ws) AS size, len(list_filter(ws, lambda x: x = token)) AS n FROM u) SELECT token, round(sum(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / 256.0))), 4) AS weight FROM c GROUP BY 1")
 _add("text_bm25_embedding", lambda s, d: table(s, d, "points").select("id", "version", bm25_embedding(tokens(F.get_json_object("payload", "$.title"))).alias("vector")))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document as a query's input: titles as sparse vectors of BM25, those nearest to a text."""
+    c = points(spark, d)
+    df = c.df.withColumn("title", F.get_json_object("payload", "$.title")).where("title is not null").withColumn("words", bm25_embedding(tokens(F.col("title"))))
+    return _rounded(query(Collection(df.select("id", "words"), "id", {}, {"words": Sparse("words")}), {"query": {"text": "Plain notes, spare notes"}, "using": "words", "limit": None}))
+
+
+_add("text_document_query", _documents, f"""WITH {_P}, t AS (SELECT id, {_DOCS.replace('text', 'json_extract_string(payload, ' + chr(39) + '$.title' + chr(39) + ')')} AS ws FROM p WHERE json_type(payload, '$.title') = 'VARCHAR'),
+u AS (SELECT id, ws, unnest(list_distinct(ws)) AS token FROM t), c AS (SELECT id, token, len(ws) AS size, len(list_filter(ws, lambda x: x = token)) AS n FROM u)
+SELECT id, round(sum((n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / 256.0)))::FLOAT::DOUBLE), 5) AS score FROM c WHERE token IN ('plain', 'notes', 'spare') GROUP BY id""")
 _add("text_english_stems", lambda s, d: table(s, d, "part").select("p_partkey", tokens(F.col("p_name"), TextIndex(stemmer="english")).alias("stems")))
 
 # Payload selection, changes ----------------------------------------------------------------------------------------------
@@ -377,6 +496,7 @@ _NEW = "n AS (SELECT vec_id * 2 AS vec_id, -1 AS label, true AS has_vector FROM
 _add("r13_upsert", lambda s, d: _labels(mutate.upsert(embeddings(s, d), _new(s, d))), f"WITH {_NEW} SELECT * FROM o WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n")
 _add("r13_insert_only", lambda s, d: _labels(mutate.upsert(embeddings(s, d), _new(s, d), "insert_only")), f"WITH {_NEW} SELECT * FROM o UNION ALL SELECT * FROM n WHERE vec_id NOT IN (SELECT vec_id FROM o)")
 _add("r13_update_only", lambda s, d: _labels(mutate.upsert(embeddings(s, d), _new(s, d), "update_only", _LABELS)), f"WITH {_NEW}, k AS (SELECT * FROM n WHERE vec_id IN (SELECT vec_id FROM o WHERE label IN (1, 2, 3))) SELECT * FROM o WHERE vec_id NOT IN (SELECT vec_id FROM k) UNION ALL SELECT * FROM k")
+_add("r13_sync_points", lambda s, d: _labels(mutate.sync_points(embeddings(s, d), _new(s, d), 100, 300)), f"WITH {_NEW} SELECT * FROM o WHERE vec_id < 100 OR vec_id >= 300 UNION ALL SELECT * FROM n WHERE vec_id >= 100 AND vec_id < 300")
 _add("r14_delete", lambda s, d: _labels(mutate.delete(embeddings(s, d), [0, 1, 2], _LABELS)), "SELECT vec_id, label, true AS has_vector FROM embeddings WHERE vec_id NOT IN (0, 1, 2) AND label NOT IN (1, 2, 3)")
 _add("r15_delete_vectors", lambda s, d: _labels(mutate.delete_vectors(embeddings(s, d), [""], filter=_LABELS)), "SELECT vec_id, label, label NOT IN (1, 2, 3) AS has_vector FROM embeddings")
 _add("r15_update_vectors", lambda s, d: mutate.update_vectors(embeddings(s, d), table(s, d, "embeddings").where("vec_id < 50").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))).df.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first")), "SELECT vec_id, round(CASE WHEN vec_id < 50 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 5) AS first FROM embeddings")

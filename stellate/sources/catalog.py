@@ -14,13 +14,13 @@ from ..functions.text import TextIndex
 
 def _describe(c: Collection) -> str:
     index = {k: {"text": {**asdict(v), "stopwords": sorted(v.stopwords)}} if isinstance(v, TextIndex) else v for k, v in c.index.items()}
-    return json.dumps({"id": c.id, "vectors": {k: asdict(v) for k, v in c.vectors.items()}, "sparse": {k: asdict(v) for k, v in c.sparse.items()}, "payload": c.payload, "fields": c.fields, "index": index})
+    return json.dumps({"id": c.id, "vectors": {k: asdict(v) for k, v in c.vectors.items()}, "sparse": {k: asdict(v) for k, v in c.sparse.items()}, "payload": c.payload, "fields": c.fields, "index": index, "shard_key": c.shard_key})
 
 
 def _restore(text: str) -> dict:
     d = json.loads(text)
     index = {k: TextIndex(**{**v["text"], "stopwords": frozenset(v["text"]["stopwords"])}) if isinstance(v, dict) else v for k, v in d["index"].items()}
-    return {"id": d["id"], "vectors": {k: Dense(**v) for k, v in d["vectors"].items()}, "sparse": {k: Sparse(**v) for k, v in d["sparse"].items()}, "payload": d["payload"], "fields": d["fields"], "index": index}
+    return {"id": d["id"], "vectors": {k: Dense(**v) for k, v in d["vectors"].items()}, "sparse": {k: Sparse(**v) for k, v in d["sparse"].items()}, "payload": d["payload"], "fields": d["fields"], "index": index, "shard_key": d.get("shard_key")}
 
 
 class Catalog:
@@ -28,9 +28,10 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.aliases: dict[str, str] = {}
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        #: Kept in the folder, so that every session knows them.
+        self.aliases: dict[str, str] = json.loads(self._read("aliases.json")) if self._fs.exists(self._path("aliases.json")) else {}
 
     def _path(self, *parts: str):
         return self._fs_path("/".join([self.folder, *parts]))
@@ -54,8 +55,8 @@ class Catalog:
         out.close()
 
     def create(self, name: str, c: Collection) -> None:
-        if self.exists(name):
-            raise ValueError(f"collection {name!r} exists")
+        if self.exists(name) or name in self.aliases:
+            raise ValueError(f"a collection or an alias {name!r} exists")
         self.save(name, c)
 
     def save(self, name: str, c: Collection) -> None:
@@ -65,6 +66,9 @@ class Catalog:
         c.df.write.parquet(f"{self.folder}/collections/{name}/v{version}")
         self._write(_describe(c), "collections", name, f"v{version}.json")
         self._write(str(version), "collections", name, "current")
+        # The version before may still be read; older ones go.
+        for old in (f"v{version - 2}", f"v{version - 2}.json"):
+            self._fs.delete(self._path("collections", name, old), True)
 
     def get(self, name: str) -> Collection:
         name = self._name(name)
@@ -74,7 +78,7 @@ class Catalog:
         return Collection(self.spark.read.parquet(f"{self.folder}/collections/{name}/v{version}"), **_restore(self._read("collections", name, f"v{version}.json")))
 
     def delete(self, name: str) -> bool:
-        self.aliases = {a: n for a, n in self.aliases.items() if n != name}
+        self._set_aliases({a: n for a, n in self.aliases.items() if n != name})
         return self._fs.delete(self._path("collections", name), True)
 
     def update_aliases(self, actions: list[dict]) -> None:
@@ -84,6 +88,8 @@ class Catalog:
             if "create" in a:
                 if not self.exists(a["create"]["collection"]):
                     raise ValueError(f"no collection {a['create']['collection']!r}")
+                if self._fs.exists(self._path("collections", a["create"]["alias"])):
+                    raise ValueError(f"a collection {a['create']['alias']!r} exists")
                 new[a["create"]["alias"]] = a["create"]["collection"]
             elif "delete" in a:
                 new.pop(a["delete"]["alias"], None)
@@ -91,7 +97,12 @@ class Catalog:
                 new[a["rename"]["new"]] = new.pop(a["rename"]["old"])
             else:
                 raise ValueError(f"no alias {a['rename']['old']!r}")
-        self.aliases = new
+        self._set_aliases(new)
+
+    def _set_aliases(self, new: dict[str, str]) -> None:
+        if new != self.aliases:
+            self._write(json.dumps(new), "aliases.json")
+            self.aliases = new
 
     def snapshot(self, name: str, label: str) -> str:
         """Writes a copy of a collection as it is."""
