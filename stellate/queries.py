@@ -254,7 +254,7 @@ _add(
     lambda s, d: aggregate.query_groups(points(s, d), {}, "multiId", 3, 30),
     _grouped(f"""{_P}, k AS (SELECT id, {_items('multiId')} AS items FROM p),
 h AS (SELECT DISTINCT x AS group_key, id, 1.0::DOUBLE AS score FROM (
-  SELECT id, unnest(list_transform(items, lambda x: json_extract_string(x, '$'))) AS x FROM k WHERE len(list_filter(items, lambda x: json_type(x) NOT IN ('VARCHAR', 'UBIGINT', 'BIGINT'))) = 0))""", "id", 3, 30),
+  SELECT id, unnest(list_transform(items, lambda x: json_extract_string(x, '$'))) AS x FROM k WHERE len(list_filter(items, lambda x: json_type(x) NOT IN ('VARCHAR', 'UBIGINT', 'BIGINT'))) = 0) WHERE x IS NOT NULL)""", "id", 3, 30),
 )
 _MATRIX = f"""{_E}, n AS (SELECT * FROM e WHERE id < 40), s AS (SELECT a.id AS a, b.id AS b, {_SIM['Cosine'].format(a='a.v', b='b.v')} AS score FROM n a, n b WHERE a.id <> b.id),
 m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) <= 3)"""
