@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, join_counted
 from . import spaces
-from .knn import CONFIDENCE, Cells, Space, _binary, by_collection, fit, projection, sampled, search_cell, search_groups, trees_of, unpack
+from .knn import Cells, Space, _binary, by_collection, fit, projection, sampled, search_cell, search_groups, trees_of, unpack
 from .spaces import Params
 
 #: Rows of a block that the rounds aim at; neighbours kept of a row; ids listed of a group of copies.
 BLOCK, NEIGHBOURS, COPIES = 131072, 8, 30
 #: The forest that starts the descent: trees, rows of a leaf. Rounds of descent at most, and neighbours joined in each.
 _TREES, _LEAF, _ROUNDS, _SAMPLE = 12, 256, 4, 5
+#: The confidence of the search of typical members' neighbours.
+CONFIDENCE = 0.999
 #: Neighbours searched of a typical member in a pass; rounds of moves on the graph of block communities.
 _FEW, _MOVES = 8, 12
 #: Random directions of a round, of which each cut takes the widest.

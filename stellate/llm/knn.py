@@ -2,9 +2,9 @@
 
 Vectors are projected by a Gaussian matrix, so that the squared distance of two projections, divided by the true one,
 follows a chi-square law. An upper kd-tree, fitted on a sample, cuts each space into cells of bounded size. In a cell, a
-kd-tree of the projections gives the candidates leaf by leaf, nearest first; candidates are verified on the whole vectors
-until the chi-square test says that what is left, being too far away in the projection, would improve the result with a
-probability below 1 - confidence.
+kd-tree of the projections gives the candidates leaf by leaf, those first in which a neighbour within reach most likely lies;
+candidates are verified on the whole vectors until the leaves left hold one with a probability below 1 - confidence, and
+those that the chi-square test puts too far away to improve the result, with the same confidence, aren't verified.
 
 Where a space has several cells, a border may part two neighbours. It is cut by several trees, each of another projection,
 and every row goes to its cell of every tree: 2 + 1.5 log2(cells) copies of a row, whatever thresholds or distances are. No
@@ -26,11 +26,11 @@ from ..session import checkpoint
 from . import spaces
 from .spaces import Params
 
-#: The probability that a stop leaves out no better neighbour within a cell.
-CONFIDENCE = 0.999
+#: The probability that a stop leaves out no better neighbour within a cell, of the choice of leaves and of candidates each.
+CONFIDENCE = 0.99
 #: Rows of a cell that the trees aim at; rows sampled for each cell to fit them, and for the first ones of a space.
 CELL, SAMPLED, SAMPLE = 131072, 16, 4096
-_LEAF, _BATCH = 256, 256
+_LEAF, _BATCH = 256, 8192
 
 
 def trees_of(cells: int) -> int:
@@ -228,30 +228,61 @@ def unpack(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.concatenate(parts).reshape(-1, size)
 
 
-class Tree:
-    """A kd-tree in leaves of a few hundred rows, kept as an order of the rows and a box for each leaf."""
+class Leaves:
+    """A kd-tree of a cell's projections, in leaves of a few hundred rows; order lists the rows leaf by leaf."""
 
     def __init__(self, rows: np.ndarray, leaf: int = _LEAF):
-        order, bounds, todo = np.arange(len(rows)), [], [(0, len(rows))]
-        while todo:
-            a, b = todo.pop()
-            if b - a <= leaf:
-                bounds.append((a, b))
-                continue
-            part = order[a:b]
-            dim = int(np.argmax(np.ptp(rows[part], axis=0)))
-            middle = (b - a) // 2
-            order[a:b] = part[np.argpartition(rows[part, dim], middle)]
-            todo += [(a, a + middle), (a + middle, b)]
-        self.order = order
-        self.bounds = sorted(bounds)
-        self.low = np.array([rows[order[a:b]].min(axis=0) for a, b in self.bounds])
-        self.high = np.array([rows[order[a:b]].max(axis=0) for a, b in self.bounds])
-
-    def gaps(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The squared distance of each leaf's box from a box."""
-        gap = np.maximum(0, np.maximum(self.low - high, low - self.high))
-        return np.einsum("ij,ij->i", gap, gap)
+        self.cells = Cells.fit(rows, -(-len(rows) // leaf))
+        at = self.cells.place(rows)
+        self.order = np.argsort(at, kind="stable")
+        self.ends = np.searchsorted(at[self.order], np.arange(self.cells.count + 1))
+        # The box of each split.
+        self.low, self.high = (np.full((max(1, len(self.cells.dim)), rows.shape[1]), x) for x in (-np.inf, np.inf))
+        for node, (dim, border, sides) in enumerate(zip(self.cells.dim, self.cells.border, self.cells.sides)):
+            for side, below in enumerate(sides):
+                if below >= 0:
+                    self.low[below], self.high[below] = self.low[node], self.high[node]
+                    (self.low if side else self.high)[below, dim] = border
+
+    def likely(self, places: np.ndarray, reach: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf, rank): for each query the fewest leaves in which a neighbour at the given distance lies with this confidence.
+
+        By the projection's law such a neighbour is spread around the query's place as a normal variable in each dimension.
+        """
+        query, mass = np.flatnonzero(reach >= 0), np.ones(np.count_nonzero(reach >= 0))
+        node = np.zeros(len(query), np.int64) if len(self.cells.dim) else np.full(len(query), -1, np.int64)
+        scale = np.sqrt(2 * np.maximum(reach, 1e-12))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(query):
+            leaf = node < 0
+            done.append((query[leaf], -1 - node[leaf], mass[leaf]))
+            query, node, mass = query[~leaf], node[~leaf], mass[~leaf]
+            dim = self.cells.dim[node]
+            x, wide = places[query, dim], scale[query]
+            low, high, border = (_erf((edge - x) / wide) for edge in (self.low[node, dim], self.high[node, dim], self.cells.border[node]))
+            whole = high - low
+            left = np.where(whole > 1e-12, np.clip((border - low) / np.where(whole > 1e-12, whole, 1), 0, 1), x < self.cells.border[node])
+            query, mass = np.r_[query, query], np.r_[mass * left, mass * (1 - left)]
+            node = np.r_[self.cells.sides[node, 0], self.cells.sides[node, 1]]
+            likely = mass > (1 - confidence) / self.cells.count / 2
+            query, node, mass = query[likely], node[likely], mass[likely]
+        query, leaf, mass = (np.concatenate([d[n] for d in done]) for n in range(3))
+        order = np.lexsort((-mass, query))
+        query, leaf, mass = query[order], leaf[order], mass[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else query
+        size = np.diff(np.r_[first, len(query)])
+        before = np.cumsum(mass) - mass
+        before -= np.repeat(before[first], size)
+        rank = np.arange(len(query)) - np.repeat(first, size)
+        kept = (before < confidence * np.repeat(np.add.reduceat(mass, first), size)) if len(query) else before > 0
+        return query[kept], leaf[kept], rank[kept]
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function, to seven digits, by the approximation of Abramowitz and Stegun, 7.1.26."""
+    t = 1 / (1 + 0.3275911 * np.abs(x))
+    y = 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-np.minimum(x * x, 700))
+    return np.where(x < 0, -y, y)
 
 
 class Best:
@@ -267,7 +298,9 @@ class Best:
         order = np.lexsort((ids, self.sign * score, query))
         query = query[order]
         start = np.maximum.accumulate(np.where(np.r_[True, query[1:] != query[:-1]], np.arange(len(query)), 0)) if len(query) else query
-        keep = np.arange(len(query)) - start < self.k
+        # A pair may come twice.
+        again = np.r_[False, (query[1:] == query[:-1]) & (ids[order[1:]] == ids[order[:-1]])] if len(query) else np.empty(0, bool)
+        keep = (np.arange(len(query)) - start - (np.cumsum(again) - np.cumsum(again)[start] if len(query) else 0) < self.k) & ~again
         kept = order[keep]
         self.query, self.id, self.place, self.score = query[keep], ids[kept], place[kept], score[kept]
 
@@ -286,53 +319,61 @@ def search_cell(s: Space, matrix: np.ndarray, ids: np.ndarray, data: np.ndarray,
     p, k = s.params, s.params.top_k + 1
     rows, places = s.stored(data) @ matrix, s.asked(queries) @ matrix
     far = spaces.chi_square_quantile(confidence, rows.shape[1])
-    tree = Tree(rows)
-    ids, multi = ids[tree.order], multi[tree.order]
-    rows, data = rows[tree.order], data[tree.order]
+    tree = Leaves(rows)
+    ids, multi, rows, data = ids[tree.order], multi[tree.order], rows[tree.order], data[tree.order]
     # A product of these with (-2q, 1, |q|^2 - reach) is the squared distance less what a query reaches.
     wide = np.concatenate([rows, np.einsum("ij,ij->i", rows, rows)[:, None], np.ones((len(rows), 1), np.float32)], axis=1)
-    order = Tree(places).order
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for begin in range(0, len(order), _BATCH):
-        batch = order[begin : begin + _BATCH]
-        q, raw, own = places[batch], queries[batch].astype(np.float64), query_ids[batch]
-        lengths = np.linalg.norm(raw, axis=1)
-        reach = np.broadcast_to(spaces.squared_reach(np.asarray(p.limit), lengths, p, s.most), (len(q),)) * far
+    for begin in range(0, len(places), _BATCH):
+        q, raw, own = places[begin : begin + _BATCH], queries[begin : begin + _BATCH].astype(np.float64), query_ids[begin : begin + _BATCH]
+        lengths, squares = np.linalg.norm(raw, axis=1), np.einsum("ij,ij->i", q, q)
         best = Best(k, p.larger_better)
-        gaps = tree.gaps(q.min(axis=0), q.max(axis=0))
-        left = np.argsort(gaps, kind="stable")
-        at = 0
-        while at < len(left) and gaps[left[at]] <= reach.max():
-            # Leaves come in growing portions, nearest first, so that the reach has shrunk when the far ones come.
-            some = left[at : at + max(2, at)]
-            at += len(some)
-            some = np.sort(some[gaps[some] <= reach.max()])
-            column = np.concatenate([np.arange(*tree.bounds[i]) for i in some])
-            allowed = reach * (1 + 1e-5) + 1e-6
-            ask = np.concatenate([-2 * q, np.ones((len(q), 1), np.float32), (np.einsum("ij,ij->i", q, q) - allowed)[:, None].astype(np.float32)], axis=1)
-            over = (ask @ wide[column].T).ravel()
-            hit = np.flatnonzero(over <= 0)
-            who = hit // len(column)
-            crowded = np.flatnonzero(np.bincount(who, minlength=len(q)) > 8 * k)
-            if len(crowded):
-                # Incremental: the nearest projections of these queries first; what the test then leaves out needs no look.
-                take = np.argpartition(over.reshape(len(q), -1)[crowded], 4 * k, axis=1)[:, : 4 * k]
-                near = np.repeat(crowded, 4 * k), take.ravel()
-                _verify(best, *near, column, ids, data, multi, raw, own, p)
-                over[near[0] * len(column) + near[1]] = np.inf
-                new = np.minimum(reach, far * spaces.squared_reach(best.worst(len(q), p.limit), lengths, p, s.most))
-                hit = hit[over[hit] <= (new - reach)[who]]
-                who = hit // len(column)
-            _verify(best, who, hit % len(column), column, ids, data, multi, raw, own, p)
-            reach = np.minimum(reach, far * spaces.squared_reach(best.worst(len(q), p.limit), lengths, p, s.most))
-        out.append((batch[best.query], best.place, best.score))
+        reach = np.array(np.broadcast_to(spaces.squared_reach(np.asarray(p.limit), lengths, p, s.most), (len(q),)), np.float64)
+
+        def look(who: np.ndarray, leaf: np.ndarray, few: bool) -> None:
+            """Looks up queries in leaves; few: only the nearest projections, which tell how far a query has to reach."""
+            nonlocal reach
+            order = np.argsort(leaf, kind="stable")
+            who, leaf = who[order], leaf[order]
+            hits: list[tuple[np.ndarray, np.ndarray]] = []
+            waiting = 0
+            allowed = (reach * far * (1 + 1e-5) + 1e-6).astype(np.float32)
+            for at in np.split(np.arange(len(who)), np.flatnonzero(np.diff(leaf)) + 1) if len(who) else ():
+                a, z = tree.ends[leaf[at[0]]], tree.ends[leaf[at[0]] + 1]
+                some = who[at]
+                ask = np.concatenate([-2 * q[some], np.ones((len(some), 1), np.float32), (squares[some] - allowed[some])[:, None]], axis=1)
+                over = ask @ wide[a:z].T
+                if few and z - a > 4 * k:
+                    near = np.argpartition(over, 4 * k, axis=1)[:, : 4 * k]
+                    i, j = np.nonzero(np.take_along_axis(over, near, 1) <= 0)
+                    j = near[i, j]
+                else:
+                    i, j = np.nonzero(over <= 0)
+                hits.append((some[i], j + a))
+                waiting += len(i)
+                if waiting > 1_000_000:
+                    _verify(best, *(np.concatenate([h[n] for h in hits]) for n in range(2)), ids, data, multi, raw, own, p)
+                    hits, waiting = [], 0
+                    reach = np.minimum(reach, spaces.squared_reach(best.worst(len(q), p.limit), lengths, p, s.most))
+                    allowed = (reach * far * (1 + 1e-5) + 1e-6).astype(np.float32)
+            if hits:
+                _verify(best, *(np.concatenate([h[n] for h in hits]) for n in range(2)), ids, data, multi, raw, own, p)
+            reach = np.minimum(reach, spaces.squared_reach(best.worst(len(q), p.limit), lengths, p, s.most))
+
+        # The leaf of the query itself tells how far it has to reach; then the leaves follow, the likely ones first.
+        asks = np.flatnonzero(reach >= 0)
+        look(asks, tree.cells.place(q[asks]), True)
+        who, leaf, rank = tree.likely(q, reach, confidence)
+        for low, high in ((0, 8), (8, 64), (64, tree.cells.count)):
+            here = (rank >= low) & (rank < high)
+            look(who[here], leaf[here], False)
+        out.append((begin + best.query, best.place, best.score))
     query, place, score = (np.concatenate([o[n] for o in out]) for n in range(3))
     return query, tree.order[place], score
 
 
-def _verify(best: Best, query, place, column, ids, data, multi, raw, own, p: Params, most: int = 200_000) -> None:
+def _verify(best: Best, query, place, ids, data, multi, raw, own, p: Params, most: int = 200_000) -> None:
     """Scores pairs of queries and candidates by their whole vectors."""
-    place = column[place]
     other = (ids[place] != own[query]) | multi[place]
     query, place = query[other], place[other]
     for a in range(0, len(query), most):
