@@ -27,7 +27,7 @@ from . import spaces
 from .spaces import Params
 
 #: The probability that a stop leaves out no better neighbour within a cell, of the choice of leaves and of candidates each.
-CONFIDENCE = 0.99
+CONFIDENCE = 0.999
 #: Rows of a cell that the trees aim at; rows sampled for each cell to fit them, and for the first ones of a space.
 CELL, SAMPLED, SAMPLE = 131072, 16, 4096
 _LEAF, _BATCH = 256, 8192
