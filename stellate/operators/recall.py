@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..collection import Collection
+from ..collection import Collection, Dense
 from ..functions import metrics
 from ..session import spread
 from . import batch, ivf, quantize
@@ -75,3 +76,26 @@ def bits_needed(coded: Collection, codes: str, limit: int = 10, wanted: float =
         apart = int(np.unpackbits(wanted_codes[place[name]] ^ np.frombuffer(code, np.uint8)).sum())
         ranks.append(int(within[place[name], apart]))
     return _least(ranks, wanted)
+
+
+def quantised_recall(c: Collection, model, limit: int = 10, oversampling: float = 8.0, using: str = "") -> float:
+    """The share of the true best that are among the limit times oversampling best by codes, which are then scored by their vectors."""
+    target, queries = c.vector(using), drawn_queries(c, using)
+    coded = quantize.encode_column(c, model, "codes", using).df
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def decoded(data: pa.Array) -> pa.Array:
+        rows = np.flatnonzero(data.is_valid())
+        codes = np.frombuffer(b"".join(data.drop_null().to_pylist()), np.uint8).reshape(len(rows), -1)
+        m = (model.decode(codes) if isinstance(model, quantize.Scalar) else model.decode(codes, target.size)).astype(np.float32) if len(rows) else np.empty((0, target.size), np.float32)
+        size, mask = np.zeros(len(data) + 1, np.int32), np.ones(len(data), bool)
+        size[rows + 1], mask[rows] = target.size, False
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(m.ravel()), mask=pa.array(mask))
+
+    unit = target.distance == "Cosine"
+    asked = {q: metrics.normalised(np.asarray([v], np.float64))[0].tolist() if unit else v for q, v in queries.items()}
+    rough = Collection(coded.select(F.col(c.id).alias("id"), decoded("codes").alias("v")), "id", {"": Dense("v", target.size, "Dot" if unit else target.distance)})
+    best = batch.nearest_batch(rough, asked, int(limit * oversampling) + 1).select("query_id", "id")
+    wanted = truth(c, queries, limit, using)
+    found = wanted.join(best.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg(F.count("*"), F.sum("hit")).first()
+    return (found[1] or 0) / max(1, found[0])

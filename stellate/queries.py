@@ -538,3 +538,20 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("v22_approximate_cells", _cells)
+
+
+def _recalls(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each kind of approximate search, as the queries above use it, finds 0.9 of the ten best of the ids divisible by 50."""
+    c = embeddings(spark, d)
+    model = ivf.Cells.fit(c, 16)
+    found = {
+        "cells": recall.cells_needed(ivf.index(c, model), model)[1],
+        "binary": recall.bits_needed(quantize.encode_column(c, quantize.Binary(), "codes"), "codes")[1],
+        "scalar": recall.quantised_recall(c, quantize.Scalar.fit(c.df, "embedding")),
+        "product": recall.quantised_recall(c, quantize.Product.fit(c.df, "embedding")),
+        "rotated": recall.quantised_recall(c, quantize.Rotated(4)),
+    }
+    return spark.createDataFrame([(n, bool(x >= 0.9)) for n, x in found.items()], "method string, enough boolean")
+
+
+_add("v22_recall_of_approximate", _recalls, "SELECT * FROM (VALUES ('cells', true), ('binary', true), ('scalar', true), ('product', true), ('rotated', true)) t(method, enough)")
